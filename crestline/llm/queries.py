@@ -20,6 +20,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crestline.llm.edit_fingerprints import edit_fingerprints
+
+    return edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crestline.llm.mixing import mix_schedule
+
+    return mix_schedule(table(spark, sf_dir, "documents"))
+
+
 def op3_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crestline.llm.sharding import interleaved_shards
 
@@ -38,6 +50,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op6_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crestline.llm.embedding_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crestline.llm.simhash import simhash_components
 
@@ -53,6 +71,12 @@ def op8_url_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.withColumn("fetched_at", F.col("fetched_at").cast("string"))
 
 
+def op9_gru_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crestline.llm.gru_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crestline.llm.packing import best_fit_packing
 
@@ -63,11 +87,15 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
+            op1_edit_embedding,
+            op2_temperature_mixing,
             op3_stratified_interleaving,
             op4_license_scan,
             op5_language_id,
+            op6_sorted_projections,
             op7_simhash_covering,
             op8_url_temporal_lists,
+            op9_gru_scoring,
             op10_linear_grouping,
         )
     }
