@@ -297,19 +297,19 @@ def easing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.withColumn("value", F.round("value", 6))
 
 
-@query("""WITH k AS (SELECT o_custkey AS c, o_orderkey AS id, (o_orderkey % 97) / 10.0 AS t, o_totalprice AS x FROM orders WHERE o_custkey % 3 = 0),
+@query("""WITH k AS (SELECT o_custkey AS c, o_orderkey AS id, (o_orderkey % 97) / 10.0::DOUBLE AS t, o_totalprice AS x FROM orders WHERE o_custkey % 3 = 0),
 d AS (SELECT c, t, arg_min(x, id) AS x FROM k GROUP BY c, t),
-moments AS (SELECT DISTINCT c, i * 1.25 AS now FROM k, range(0, 9) AS r(i)),
+moments AS (SELECT DISTINCT c, i * 1.25::DOUBLE AS now FROM k, range(0, 9) AS r(i)),
 sides AS (
   SELECT m.c, m.now, (SELECT max(t) FROM d WHERE d.c = m.c AND t <= now) AS lo, (SELECT min(t) FROM d WHERE d.c = m.c AND t > now) AS hi FROM moments m)
-SELECT b.c, b.now, round(CASE WHEN lo IS NULL THEN h.x WHEN hi IS NULL THEN l.x ELSE l.x + (h.x - l.x) * ((now - lo) / (hi - lo)) END, 2) AS x
+SELECT b.c, b.now, round(CASE WHEN lo IS NULL THEN h.x WHEN hi IS NULL THEN l.x ELSE l.x + (h.x - l.x) * ((now - lo) / (hi - lo)) END, 7) AS x
 FROM sides b LEFT JOIN d l ON l.c = b.c AND l.t = lo LEFT JOIN d h ON h.c = b.c AND h.t = hi""")
 def keyframe_lerp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyframed values at moments: held at the ends, interpolated between."""
     k = load(spark, sf_dir, "orders").filter("o_custkey % 3 = 0").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") % 97) / 10.0).alias("time"), F.col("o_totalprice").alias("x"))
     d = k.groupBy("c", "time").agg(F.min_by("x", "id").alias("x")).groupBy("c").agg(F.collect_list(F.struct("time", F.lit("linear").alias("easing"), "x")).alias("frames"))
     at = d.withColumn("now", F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: i * 1.25)))
-    return at.select("c", "now", F.round(keyframes.resolve_keyframes(F.col("frames"), F.col("now"), ["x"])["x"], 2).alias("x"))
+    return at.select("c", "now", F.round(keyframes.resolve_keyframes(F.col("frames"), F.col("now"), ["x"])["x"], 7).alias("x"))
 
 
 @query(f"""WITH {MESSAGES} SELECT job_id, ord FROM messages WHERE lower('User' || author) NOT IN ('user3', 'user7', 'user11')""")

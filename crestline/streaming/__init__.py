@@ -1,0 +1 @@
+"""Live updates as Structured Streaming jobs."""
