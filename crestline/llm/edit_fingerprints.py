@@ -235,7 +235,7 @@ def near_components(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, edges in runs(batches, keys):
             out = []
-            for a, b in zip(edges, [*edges[1:], len(frame)], strict=True):
+            for a, b in zip(edges, edges[1:], strict=False):
                 if b - a < 2:
                     continue
                 names, unseen = frame["fp"].to_numpy()[a:b], np.arange(b - a)

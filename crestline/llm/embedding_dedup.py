@@ -145,7 +145,7 @@ def count_links(members: DataFrame, threshold: float = THRESHOLD, tile: int = TI
         for frame, edges in runs(batches, keys):
             x, n, linked = _unit(frame["embedding"]), frame["n"].to_numpy(np.int64), np.zeros(len(frame), dtype=np.int64)
             c, i, j = (frame[k].to_numpy() for k in ("c", "i", "j"))
-            for a, b in zip(edges, [*edges[1:], len(frame)], strict=True):
+            for a, b in zip(edges, edges[1:], strict=False):
                 near = x[a:b] @ x[a:b].T >= threshold
                 np.fill_diagonal(near, False)
                 if i[a] != j[a]:

@@ -79,10 +79,12 @@ class LicenceAutomaton:
             parent = self.link[state]
             if parent > 0:
                 self.places[parent] = sorted({*self.places[parent], *self.places[state]})
-        self.phrase_at = [
-            [(self.sizes[n], self.labels[n]) for n in range(len(templates), len(texts)) if (n, self.sizes[n] - 1) in at]
-            for at in (set(p) for p in self.places)
-        ]
+        # A phrase belongs to the one state among whose strings it is.
+        self.phrase_at: list[list[tuple[int, str]]] = [[]]
+        for state in range(1, len(self.length)):
+            at, shorter = set(self.places[state]), self.length[self.link[state]]
+            own = [n for n in range(len(templates), len(texts)) if shorter < self.sizes[n] <= self.length[state] and (n, self.sizes[n] - 1) in at]
+            self.phrase_at.append([(self.sizes[n], self.labels[n]) for n in own])
         # A state deeper than a phrase still ends with it: inherit down the suffix links.
         for state in sorted(range(1, len(self.length)), key=lambda s: self.length[s]):
             up = self.phrase_at[self.link[state]] if self.link[state] > 0 else []

@@ -14,7 +14,7 @@ ranking and look their place up.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +29,7 @@ from crestline.llm._common import ranked, stage
 LIMIT = 2048
 #: Lengths above this share of the limit are large.
 LARGE = 1 / 8
-GROUPS = 40
+GROUPS = 100
 RANK_BUCKETS = 256
 
 
@@ -186,41 +186,48 @@ class PackingPlan:
         total -= whole
         if not total:
             return
-        # Equal-cardinality groups of the descending lengths, as runs (length, count).
-        share, runs, room = -(-total // groups), [[]], -(-total // groups)
+        # Equal-cardinality groups of the descending lengths, each rounded up to its first.
+        share, room, grouped = -(-total // groups), 0, {}
         for n, c in left.items():
             while c:
                 if not room:
-                    runs.append([])
-                    room = share
+                    size, room = n, share
                 take = min(c, room)
-                runs[-1].append([n, take])
+                grouped[size] = grouped.get(size, 0) + take
                 c, room = c - take, room - take
-        merged: dict[int, list[list[int]]] = {}
-        for group in runs:
-            merged.setdefault(group[0][0], []).extend(group)
-        sizes = list(merged)
-        for column, times in _configurations(sizes, [sum(c for _, c in merged[s]) for s in sizes], self.limit):
-            slots = [s for s, many in zip(sizes, column, strict=True) for _ in range(int(many))]
+        order = sorted(left)
+        for column, times in _configurations([*grouped], [*grouped.values()], self.limit):
+            slots = [s for s, many in zip(grouped, column, strict=True) for _ in range(int(many))]
             bins = int(times + 1e-7)
-            while bins:
-                # As many sequences as have the same lengths; one where a run ends inside it.
-                step = min(bins, *(merged[s][0][1] // slots.count(s) for s in slots)) or 1
-                lengths = []
-                for s in slots:
-                    run = merged[s][0]
-                    lengths.append(run[0])
-                    run[1] -= step
-                    if not run[1]:
-                        merged[s].pop(0)
+            while bins and order:
+                lengths = self._substitute(slots, order, left)
+                if not lengths:
+                    break
+                # As many sequences get the same lengths as there are pieces of each.
+                step = min(bins, *(left[n] // lengths.count(n) for n in lengths))
                 self._fill(lengths, step)
+                for n in lengths:
+                    left[n] -= step
+                order = [n for n in order if left[n]]
                 bins -= step
-        rest: dict[int, int] = {}
-        for group in merged.values():
-            for n, c in group:
-                rest[n] = rest.get(n, 0) + c
-        for n in sorted(rest, reverse=True):
-            self._best_fit(n, rest[n])
+        for n in reversed(order):
+            self._best_fit(n, left[n])
+
+    def _substitute(self, slots: list[int], order: list[int], left: dict[int, int]) -> list[int]:
+        """Actual lengths for the places of one configuration, largest first.
+
+        A place takes the largest length that its rounded size covers; the last of several
+        takes the largest that fits in what is left of the sequence.
+        """
+        lengths: list[int] = []
+        for i, size in enumerate(slots):
+            room = self.limit - sum(lengths)
+            at = bisect_right(order, room if 0 < i == len(slots) - 1 else min(size, room)) - 1
+            while at >= 0 and left[order[at]] <= lengths.count(order[at]):
+                at -= 1
+            if at >= 0:
+                lengths.append(order[at])
+        return lengths
 
     def _fill(self, lengths: list[int], bins: int) -> None:
         room = self.limit

@@ -3,7 +3,7 @@
 Rows are shuffled by a seeded hash within each source, ranked, and given the fractional
 rank ``(rank + u) / n`` with an offset ``u`` in (0, 1) drawn once a source.  Sorting
 all rows by that fraction interleaves the sources in proportion, so each contiguous cut of
-the order holds each source's share to within one row.  Everything is DataFrame code:
+the order holds each source's share but for a row or two.  Everything is DataFrame code:
 two passes of bucketed ranking, neither of which gathers a source in a task.
 """
 

@@ -19,11 +19,11 @@ def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("vec_id", *[F.round(c, 6).alias(c) for c in ("speech_presence", "vocal_excitement", "game_audio")])
 
 
-@query("""SELECT p_partkey, round(p_size::DOUBLE + i * ((p_size::DOUBLE + p_retailprice / 100::DOUBLE) - p_size::DOUBLE) / 4, 1) AS t FROM part, range(0, 5) AS r(i)""")
+@query("""SELECT p_partkey, round(p_size::DOUBLE + i * ((p_size::DOUBLE + floor(p_retailprice) / 100::DOUBLE) - p_size::DOUBLE) / 5, 1) AS t FROM part, range(0, 6) AS r(i)""")
 def frame_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five evenly spaced times in every candidate."""
+    """Six evenly spaced times in every candidate."""
     start = F.col("p_size").cast("double")
-    times = tables.frame_times(start, start + F.col("p_retailprice") / 100.0, 5)
+    times = tables.frame_times(start, start + F.col("p_retailprice").cast("long") / 100.0, 6)
     return load(spark, sf_dir, "part").select("p_partkey", F.explode(times).alias("t"))
 
 
