@@ -58,15 +58,16 @@ def masks(radius: int = RADIUS) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp``: the fingerprint of each row as a signed long."""
+    """``doc_id, fp``: the fingerprint of each row as a signed long; ``_h``, a long, is kept where it is there."""
+    extra = [c for c in ("_h",) if c in docs.columns]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.fromiter((fingerprint(t, shingle) for t in batch["text"]), dtype=np.uint64, count=len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp.view(np.int64), **{c: batch[c] for c in extra}})
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
-    return docs.select("doc_id", "text").mapInPandas(read, schema)
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)] + [T.StructField(c, T.LongType()) for c in ("fp", *extra)])
+    return docs.select("doc_id", "text", *extra).mapInPandas(read, schema)
 
 
 def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -128,6 +129,10 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHI
     which is null if no other row is in it.  Repeated rows share their component; other
     columns are ignored.
     """
+    return _components_of(docs.select("doc_id", "text"), radius, shingle)
+
+
+def _components_of(docs: DataFrame, radius: int, shingle: int) -> DataFrame:
     rows = stage(fingerprints(docs, shingle))
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     found = components(covering_links(classes.select("fp"), radius))
@@ -142,12 +147,14 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = S
     """One row of each component of ``docs``, that with the smallest ``doc_id``; all columns stay.
 
     Rows with a null ``doc_id`` cannot be told apart and all stay.  Of repeated rows one
-    stays; rows with one id and different texts all stay if the id is a component's smallest.
+    stays; of rows with one id and different texts that with the least hash of its text.
     """
-    told = simhash_components(docs, radius, shingle).filter(F.col("doc_id") == F.col("component_id"))
-    chosen = told.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
-    chosen = stage(chosen)
-    kept = docs.filter(F.col("doc_id").isNotNull()).join(chosen.select("doc_id"), "doc_id", "left_semi")
+    text_hash = F.xxhash64("text")
+    told = _components_of(docs.select("doc_id", "text", text_hash.alias("_h")), radius, shingle)
+    own = told.filter(F.col("doc_id") == F.col("component_id"))
+    chosen = stage(own.groupBy("doc_id").agg(F.min("_h").alias("__h"), F.count(F.lit(1)).alias("__n")))
+    known = docs.filter(F.col("doc_id").isNotNull()).withColumn("__h", text_hash)
+    kept = known.join(chosen.select("doc_id", "__h"), ["doc_id", "__h"], "left_semi").select(*docs.columns)
     if chosen.filter("__n > 1").take(1):
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
