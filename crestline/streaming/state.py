@@ -69,7 +69,8 @@ def merged_documents(updates: DataFrame) -> DataFrame:
 
     ``updates`` has ``job_id, seq, payload``.  A sequence number already applied is
     skipped, so replays after a restart change nothing.  State of jobs that are quiet for 15
-    minutes is dropped.
+    minutes is dropped.  That timeout keeps batches coming, so an ``availableNow`` query
+    does not end by itself: stop it once its input is read.
     """
     kind = updates.schema["job_id"].dataType.simpleString()
     return updates.select("job_id", "seq", "payload").groupBy("job_id").applyInPandasWithState(
