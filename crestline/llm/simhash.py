@@ -150,7 +150,12 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = S
     stays; of rows with one id and different texts that with the least hash of its text.
     """
     text_hash = F.xxhash64("text")
-    told = _components_of(docs.select("doc_id", "text", text_hash.alias("_h")), radius, shingle)
+    return first_of_each(docs, _components_of(docs.select("doc_id", "text", text_hash.alias("_h")), radius, shingle))
+
+
+def first_of_each(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that name their component in ``told`` (``doc_id``, ``_h``: the text's hash, ``component_id``), as in :func:`drop_near_duplicates`."""
+    text_hash = F.xxhash64("text")
     own = told.filter(F.col("doc_id") == F.col("component_id"))
     chosen = stage(own.groupBy("doc_id").agg(F.min("_h").alias("__h"), F.count(F.lit(1)).alias("__n")))
     known = docs.filter(F.col("doc_id").isNotNull()).withColumn("__h", text_hash)
