@@ -60,6 +60,26 @@ def keyword_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.groupBy("doc_id").agg(F.bool_or(lexicon.has_keyword(F.col("line"), ["license", "clip"])).alias("detected"))
 
 
+@query()
+def lexicon_score_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lexicon_score`` over every line, with Unicode word edges; tested against a plain twin."""
+    means = _lines(spark, sf_dir).groupBy("source").agg(*[F.round(F.avg(lexicon.best_weight(F.col("line"), w)), 6).alias(m) for m, w in _MOODS.items()])
+    intensity, mood = moods(list(_MOODS))
+    return means.withColumn("intensity", intensity).withColumn("mood", mood)
+
+
+@query()
+def emote_density_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``emote_density`` over every line; tested against a plain twin."""
+    return _lines(spark, sf_dir).groupBy("source").agg(F.round(F.avg(lexicon.match_count(F.col("line"), ["of", "to", "in"])), 6).alias("density"))
+
+
+@query()
+def keyword_split_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``keyword_split`` over every line, so with a row for every document; tested against a plain twin."""
+    return _lines(spark, sf_dir).groupBy("doc_id").agg(F.bool_or(lexicon.has_keyword(F.col("line"), ["license", "clip"])).alias("detected"))
+
+
 _TURNS = "turns AS (SELECT conv_id, turn, role, text, turn * 10.0 AS s, turn * 10.0 + 4 + length(text) % 7 AS e FROM conversations)"
 
 
