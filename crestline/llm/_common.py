@@ -19,12 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (a local
-    test session) a folder below ``/tmp/checkpoints`` stands in.
+    Where that is unset, a local session (one process, so one disk) takes ``/tmp/checkpoints``;
+    on a cluster it is an error.
     """
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    conf = spark.sparkContext.getConf()
+    shared, master = conf.get("spark.checkpoint.dir"), conf.get("spark.master", "")
+    if shared:
+        return shared
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "/tmp/checkpoints"
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -49,6 +55,12 @@ def unstage(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns of a row; maps, which have no hash, count as JSON."""
+    quoted = [f"`{name.replace('`', '``')}`" for name in df.columns]
+    return F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, (_, kind) in zip(quoted, df.dtypes, strict=True)])
+
+
 def uniform60(*parts: Column | str) -> Column:
     """A 60-bit integer from the MD5 of the parts joined by ``:`` (null: ``~``)."""
     cols = [F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("~")) for p in parts]

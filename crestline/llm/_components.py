@@ -9,58 +9,104 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm._common import BROADCAST_ROWS, stage, unstage
+from crestline.llm._common import stage, unstage
 
+#: Links that one task settles at the end: two nodes a row, so some megabytes at any size of the input.
+TAIL = 1 << 18
+#: Links that a task gathers before it reduces them to a forest.
+FLUSH = 1 << 20
 
-def _relabel(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
-    """Replace ``column`` by ``names`` (``node``, ``to``), where it is listed there.
 
-    Values with more than a ``BROADCAST_ROWS``-th of the rows are looked up by broadcast.
-    """
-    sizes = rows.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    total = rows.count()
-    facts = names.join(sizes, names["node"] == sizes[column]).select("node", "to", "_n")
-    hot = F.col("_n") > max(1, total // BROADCAST_ROWS)
-    heavy = facts.filter(hot).select(F.col("node").alias("_h"), F.col("to").alias("_hot"))
-    light = facts.filter(~hot).select(F.col("node").alias("_l"), F.col("to").alias("_to"))
-    marked = rows.join(F.broadcast(heavy), F.col(column) == F.col("_h"), "left").drop("_h")
-    done = marked.filter(F.col("_hot").isNotNull()).withColumn(column, F.col("_hot")).drop("_hot")
-    rest = marked.filter(F.col("_hot").isNull()).drop("_hot").join(light, F.col(column) == F.col("_l"), "left")
-    return done.unionByName(rest.withColumn(column, F.coalesce("_to", column)).drop("_to", "_l"))
-
-
-def components(links: DataFrame) -> DataFrame:
-    """``node, root`` for every node of ``links`` (``a``, ``b``).
-
-    Each round maps every node to the first of its neighbours and itself, contracts the
-    links to the images and drops loops and repeats, until none is left.  The order is the
-    nodes' own in the first round, which settles stars around a smallest node at once, and a
-    fresh hash order in later ones, which shortens any chain by a constant factor.  A
-    ``root`` is some node of the component.  Every round is written to the shared folder.
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node of each node's component, for links between the nodes 0 to ``n - 1``."""
+    root = np.arange(n)
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    return root
+
+
+def forest(links: pd.DataFrame) -> pd.DataFrame:
+    """``a, b``: each node of ``links`` that is not the smallest of its component, with the smallest."""
+    codes, nodes = pd.factorize(pd.concat([links["a"], links["b"]], ignore_index=True), sort=True)
+    root = roots(codes[: len(links)], codes[len(links) :], len(nodes))
+    at = np.flatnonzero(root != np.arange(len(nodes)))
+    return pd.DataFrame({"a": np.asarray(nodes)[at], "b": np.asarray(nodes)[root[at]]})
+
+
+def _forests(links: DataFrame) -> DataFrame:
+    """Every partition's ``links`` reduced to at most one link a node."""
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size > FLUSH:
+                held = [forest(pd.concat(held, ignore_index=True))]
+                size = len(held[0])
+                if size > FLUSH // 2:
+                    yield held[0]
+                    held, size = [], 0
+        if size:
+            yield forest(pd.concat(held, ignore_index=True))
+
+    return links.mapInPandas(reduce, links.schema)
+
+
+def _settled(links: DataFrame) -> DataFrame:
+    """``node, root`` for every node of at most ``TAIL`` links, in one task."""
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(batches)
+        if sum(map(len, held)):
+            found = forest(pd.concat(held, ignore_index=True)).rename(columns={"a": "node", "b": "root"})
+            tops = found["root"].unique()
+            yield pd.concat([found, pd.DataFrame({"node": tops, "root": tops})], ignore_index=True)
+
+    kind = links.schema["a"].dataType.simpleString()
+    return links.coalesce(1).mapInPandas(settle, f"node {kind}, root {kind}")
+
+
+def components(links: DataFrame, tail: int | None = None) -> DataFrame:
+    """``node, root`` for every node of ``links`` (``a``, ``b``; loops are ignored).
+
+    Each partition first reduces its own links to a forest.  While more than ``tail`` links
+    are left, a round maps every node to the first of its neighbours and itself, contracts the
+    links to the images and reduces them again; the order is the nodes' own in even
+    rounds, which settles stars around a smallest node, and a fresh hash order in odd ones,
+    which shortens any chain by a constant factor.  One task settles the rest.  A ``root`` is some node
+    of the component.  Every round is written to the shared folder; hot nodes are split by the skew join
+    of adaptive execution.
     """
-    links = stage(links.select("a", "b").filter("a <> b").distinct())
-    label, rounds = None, 0
-    while links.take(1):
-        order = "x" if rounds == 0 else f"struct(xxhash64(x, {rounds}), x)"
-        both = links.select(F.col("a").alias("node"), F.col("b").alias("x")).unionByName(
-            links.select(F.col("b").alias("node"), F.col("a").alias("x"))
-        )
-        first = both.groupBy("node").agg(F.expr(f"min({order})").alias("f"))
-        own = F.col("node") if rounds == 0 else F.struct(F.xxhash64("node", F.lit(rounds)).alias("col1"), F.col("node").alias("x"))
-        least = F.least("f", "node") if rounds == 0 else F.when(F.col("f.x").isNull() | (own < F.col("f")), F.col("node")).otherwise(F.col("f.x"))
-        names = stage(first.select("node", least.alias("to")))
-        old = label
-        label = stage(names.select("node", F.col("to").alias("root")) if old is None else _relabel(old, "root", names))
-        if old is not None:
-            unstage(old)
-        fewer = _relabel(_relabel(links, "a", names), "b", names)
-        fewer = fewer.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        old, links = links, stage(fewer.distinct())
+    tail = TAIL if tail is None else tail
+    links = stage(_forests(links.select("a", "b").filter("a <> b")))
+    named: list[DataFrame] = []
+    while links.count() > tail:
+        turn = len(named)
+        both = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("x")), F.struct(F.col("b").alias("node"), F.col("a").alias("x"))))
+        order = (lambda c: F.struct(F.col(c).alias("x"))) if turn % 2 == 0 else (lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("x")))
+        first = links.select(both.alias("l")).select("l.*").groupBy("node").agg(F.min(order("x")).alias("f"))
+        names = stage(first.select("node", F.least("f", order("node")).getField("x").alias("to")))
+        left, right = (names.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b"))
+        moved = links.join(left, "a").join(right, "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
+        old, links = links, stage(_forests(moved.filter("a <> b")))
         unstage(old)
-        unstage(names)
-        rounds += 1
-    kind = links.schema["a"].dataType.simpleString()
-    return label if label is not None else links.sparkSession.createDataFrame([], f"node {kind}, root {kind}")
+        named.append(names)
+    label = stage(_settled(links))
+    unstage(links)
+    for names in reversed(named):
+        later = label.select(F.col("node").alias("to"), "root")
+        label = names.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
+    if named:
+        label = stage(label)
+        for names in named:
+            unstage(names)
+    return label
 
 
 def runs(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:

@@ -15,11 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crestline.llm._common import BROADCAST_ROWS, attach, stage
+from crestline.llm._common import row_hash, stage
 from crestline.llm._components import components, runs
 
 BITS, SHINGLE, SEED, RADIUS = 64, 4, 42, 4
@@ -27,21 +27,22 @@ BITS, SHINGLE, SEED, RADIUS = 64, 4, 42, 4
 CHUNK = 8192
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Majority bits of the XXH64 hashes of the word shingles of a whole text."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The XXH64 hashes of the word shingles of a whole text, repeats included; a shorter text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[: -shingle] + 1]).tolist()
-    hashes = np.fromiter(
-        (xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)),
-        dtype=np.uint64,
-        count=len(starts),
-    )
+    hashes = (xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True))
+    return np.fromiter(hashes, dtype=np.uint64, count=len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].astype("<u8")
@@ -50,6 +51,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(((2 * counts > len(hashes)).astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum())
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Majority bits of the hashes of the word shingles of a whole text; 0 without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def masks(radius: int = RADIUS) -> list[int]:
     """Masks of the covering tables as signed 64-bit integers."""
     vectors = [1 + i % ((1 << radius + 1) - 1) for i in range(BITS)]
@@ -86,24 +92,27 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
+def covering_keys(fp: Column, radius: int = RADIUS) -> Column:
+    """The buckets ``t, key`` of a fingerprint column: one a table."""
+    return F.array(*[F.struct(F.lit(i).alias("t"), fp.bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks(radius))])
+
+
 def covering_links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """Links ``a, b`` with the same components as all pairs of ``nodes`` (``fp``, distinct) within ``radius``."""
-    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks(radius))])
-    keyed = nodes.select("fp", F.explode(tables).alias("k")).select("fp", "k.t", "k.key")
-    total = nodes.count()
-    if total > chunk:
-        # Fewer than BROADCAST_ROWS buckets hold more than that share of a table's rows.
-        most = max(chunk, total * len(masks(radius)) // BROADCAST_ROWS)
-        large = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
-        large = large.withColumn("m", F.ceil(F.col("n") / most).cast("int")).drop("n")
+    """Links ``a, b`` with the same components as all pairs of ``nodes`` (``fp``, distinct) within ``radius``.
+
+    A bucket of more than ``chunk`` fingerprints is split into pairs of chunks, so the work of a
+    task has the same bound at every size of the input.
+    """
+    keyed = nodes.select("fp", F.explode(covering_keys(F.col("fp"), radius)).alias("k")).select("fp", "k.t", "k.key")
+    keys = ["t", "key"]
+    large = stage(keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk)) if nodes.count() > chunk else None
+    if large is not None and large.take(1):
+        large = large.select(*keys, F.ceil(F.col("n") / chunk).cast("int").alias("m"))
         own = F.pmod(F.xxhash64("fp"), F.col("m")).cast("int")
         pair = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))
-        keyed = keyed.join(F.broadcast(large), ["t", "key"], "left").withColumn(
-            "p", F.explode(F.when(F.col("m").isNotNull(), pair).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))))
-        ).select("fp", "t", "key", "p.i", "p.j")
-        keys = ["t", "key", "i", "j"]
-    else:
-        keys = ["t", "key"]
+        whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+        keyed = keyed.join(large, keys, "left").withColumn("p", F.explode(F.when(F.col("m").isNotNull(), pair).otherwise(whole)))
+        keyed, keys = keyed.select("fp", *keys, "p.i", "p.j"), [*keys, "i", "j"]
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, edges in runs(batches, keys):
@@ -134,32 +143,28 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHI
 
 def _components_of(docs: DataFrame, radius: int, shingle: int) -> DataFrame:
     rows = stage(fingerprints(docs, shingle))
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(covering_links(classes.select("fp"), radius))
-    named = classes.join(found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    named = stage(named.select("fp", "least", "n", "root"))
-    groups = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m"))
-    facts = attach(named, groups, "root", "m", named.count()).select("fp", "component_id", "n")
-    return attach(rows, facts, "fp", "n", rows.count())
+    named = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(named.join(groups, "root").select("fp", "component_id"), "fp")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One row of each component of ``docs``, that with the smallest ``doc_id``; all columns stay.
 
     Rows with a null ``doc_id`` cannot be told apart and all stay.  Of repeated rows one
-    stays; of rows with one id and different texts that with the least hash of its text.
+    stays; of rows that share an id that with the least hash of all its columns.
     """
-    text_hash = F.xxhash64("text")
-    return first_of_each(docs, _components_of(docs.select("doc_id", "text", text_hash.alias("_h")), radius, shingle))
+    return first_of_each(docs, _components_of(docs.select("doc_id", "text", row_hash(docs).alias("_h")), radius, shingle))
 
 
 def first_of_each(docs: DataFrame, told: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that name their component in ``told`` (``doc_id``, ``_h``: the text's hash, ``component_id``), as in :func:`drop_near_duplicates`."""
-    text_hash = F.xxhash64("text")
+    """The rows of ``docs`` that name their component in ``told`` (``doc_id``, ``_h``: the row's hash, ``component_id``), as in :func:`drop_near_duplicates`."""
     own = told.filter(F.col("doc_id") == F.col("component_id"))
     chosen = stage(own.groupBy("doc_id").agg(F.min("_h").alias("__h"), F.count(F.lit(1)).alias("__n")))
-    known = docs.filter(F.col("doc_id").isNotNull()).withColumn("__h", text_hash)
+    known = docs.filter(F.col("doc_id").isNotNull()).withColumn("__h", row_hash(docs))
     kept = known.join(chosen.select("doc_id", "__h"), ["doc_id", "__h"], "left_semi").select(*docs.columns)
     if chosen.filter("__n > 1").take(1):
-        kept = kept.dropDuplicates(["doc_id"])
+        kept = kept.dropDuplicates(["doc_id"])  # what is left of an id is equal in all columns
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from crestline.llm import simhash
 from crestline.llm._components import components, runs
@@ -26,10 +27,12 @@ def closure(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def test_components_of_chains_stars_and_nothing(spark):
+@pytest.mark.parametrize("tail", [None, 0, 40])
+def test_components_of_chains_stars_and_nothing(spark, tail):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(200)] + [(5, 5), (1, 0)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    rng.shuffle(links)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long"), tail).collect()}
     want = closure({x for ab in links for x in ab}, links)
     groups, seen = {}, {}
     for n, root in got.items():
@@ -37,7 +40,14 @@ def test_components_of_chains_stars_and_nothing(spark):
     for n, root in want.items():
         seen.setdefault(root, set()).add(n)
     assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in seen.values() if len(g) > 1)
-    assert components(spark.createDataFrame([], "a string, b string")).count() == 0
+    assert components(spark.createDataFrame([], "a string, b string"), tail).count() == 0
+
+
+def test_components_of_a_long_chain_and_a_large_star(spark):
+    chain = spark.range(100_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    star = spark.range(1, 1_000_000).select((F.col("id") + 1_000_000).alias("a"), F.lit(1_000_000).cast("long").alias("b"))
+    got = components(chain.unionByName(star).repartition(7), tail=1000)
+    assert sorted(r["count"] for r in got.groupBy("root").count().collect()) == [100_001, 1_000_000]
 
 
 def test_runs_over_batches():
