@@ -1,8 +1,11 @@
 """Paged chat as a Spark data source: a recording is read in ranges of time.
 
-The transport is a callable ``fetch(video_id, offset) -> rows`` named by import path in
-the option ``fetch``; a row has ``ts``, ``author`` and ``text``.  Each range is an input
-partition, so ranges are read in parallel and a lost one is read again.
+The transport is a callable ``fetch(video_id, offset, cursor) -> rows, cursor`` named by import
+path in the option ``fetch``; a row has ``ts``, ``author`` and ``text``.  Without a cursor it
+gives the page from ``offset`` seconds on, with one the page that the cursor stands for; the
+cursor it returns stands for the page after, and is null after the last.  So pages join without a
+gap, however many messages a second has.  Each range is an input partition: ranges are
+read in parallel and a lost one is read again.
 """
 
 from __future__ import annotations
@@ -15,9 +18,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from crestline.sources.schemas import MESSAGES
 
 RANGE_SECONDS = 1800
-#: Waits, in stream seconds, after empty pages in a row: doubled from the first up to the last.
+#: Steps ahead, in stream seconds, where a page and all after it are empty: doubled from the first up to the last.
 FIRST_SKIP, LAST_SKIP = 60, 600
-MAX_REQUESTS = 500
 
 
 class ChatRange(InputPartition):
@@ -27,37 +29,42 @@ class ChatRange(InputPartition):
         self.video_id, self.start, self.end = video_id, start, end
 
 
-def page_through(fetch: Callable, video_id: str, start: int, end: int) -> Iterator[tuple[float, str, str]]:
-    """Messages of a range, each once: pages follow one another by the last time seen."""
-    offset, empty, seen = start, 0, set()
-    for _ in range(MAX_REQUESTS):
-        if offset >= end:
-            return
-        rows = fetch(video_id, offset)
-        if not rows:
-            offset += min(FIRST_SKIP << min(empty, 10), LAST_SKIP)
-            empty += 1
-            continue
-        empty, latest = 0, offset
+def page_through(fetch: Callable, video_id: str, start: int, end: int, keep: bool = False) -> Iterator[tuple[float, str, str]]:
+    """Messages of ``start`` up to ``end``, page by page; those without a time are left out.
+
+    An empty page without a cursor may be a quiet stretch: reading goes on a step ahead.  A page that fails
+    fails the range, or, with ``keep``, ends it with what was read.  A cursor that does not move is an error.
+    """
+    offset, cursor, empty = start, None, 0
+    while offset < end:
+        try:
+            rows, following = fetch(video_id, offset, cursor)
+        except Exception:
+            if keep:
+                return
+            raise
         for row in rows:
             ts = row.get("ts")
-            if ts is None:
-                continue
-            if ts >= end:
+            if ts is not None and ts >= end:
                 return
-            message = (float(ts), row.get("author") or "", row.get("text") or "")
-            latest = max(latest, int(ts))
-            if message not in seen:
-                seen.add(message)
-                yield message
-        offset = latest + 1
+            if ts is not None and ts >= start:
+                offset = max(offset, int(ts) + 1)
+                yield float(ts), row.get("author") or "", row.get("text") or ""
+        if following is None and rows:
+            return
+        if following is not None and following == cursor:
+            raise ValueError(f"the cursor of recording {video_id} does not move on from {cursor!r}")
+        if following is None:
+            offset += min(FIRST_SKIP << min(empty, 10), LAST_SKIP)
+            empty += 1
+        cursor = following
 
 
 class ChatReader(DataSourceReader):
     def __init__(self, options: dict):
         self.videos = [v for v in options.get("videos", "").split(",") if v]
         self.duration = float(options.get("duration", "0"))
-        self.fetch = options["fetch"]
+        self.fetch, self.keep = options["fetch"], options.get("keep", "false") == "true"
 
     def partitions(self) -> list[InputPartition]:
         steps = range(0, max(1, int(-(-self.duration // 1))), RANGE_SECONDS)
@@ -66,7 +73,7 @@ class ChatReader(DataSourceReader):
     def read(self, partition: ChatRange) -> Iterator[tuple]:
         module, _, name = self.fetch.partition(":")
         fetch = getattr(importlib.import_module(module), name)
-        for ts, author, text in page_through(fetch, partition.video_id, partition.start, partition.end):
+        for ts, author, text in page_through(fetch, partition.video_id, partition.start, partition.end, self.keep):
             yield partition.video_id, ts, author, text
 
 

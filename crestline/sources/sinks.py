@@ -23,15 +23,70 @@ def save_ranked(df: DataFrame, path: str, job: str, order: Sequence[Column]) ->
     replace_partitions(ranked, path, [job])
 
 
+def _files(spark: SparkSession, path: str):
+    """Hadoop's view of a path and of its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _move(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
 def _swap(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write beside ``path``, then put the new version in its place."""
+    """Write beside ``path``, then put the new version in its place.
+
+    The old version is only renamed before the new one stands, and deleted last, so whenever the driver
+    dies a whole version is there: under ``path``, or with ``-old`` behind it.
+    """
     fresh = f"{path}-{uuid.uuid4().hex}"
     df.write.parquet(fresh)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
-    fs = old.getFileSystem(conf)
-    fs.delete(old, True)
-    fs.rename(new, old)
+    (old, fs), (new, _), (aside, _) = (_files(spark, p) for p in (path, fresh, f"{fresh}-old"))
+    _move(fs, old, aside)
+    _move(fs, new, old)
+    fs.delete(aside, True)
+
+
+def put_object(spark: SparkSession, text: str, path: str) -> None:
+    """Write a small text as one object, in the place of any before it."""
+    at, fs = _files(spark, path)
+    stream = fs.create(at, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+
+
+def copy_object(spark: SparkSession, source: str, target: str) -> None:
+    """Copy a file or folder, also from one store to another; what stood there is replaced."""
+    (a, from_fs), (b, to_fs) = _files(spark, source), _files(spark, target)
+    if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(from_fs, a, to_fs, b, False, True, spark._jsc.hadoopConfiguration()):
+        raise OSError(f"{source} could not be copied to {target}")
+
+
+def delete_object(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder; whether there was one."""
+    at, fs = _files(spark, path)
+    return bool(fs.delete(at, True))
+
+
+def rename_object(spark: SparkSession, source: str, target: str) -> None:
+    """Copy, then delete: what an object store can do in the place of a rename."""
+    copy_object(spark, source, target)
+    delete_object(spark, source)
+
+
+def archive_rows(renders: DataFrame, batch: str, status: str, output: str, done: str = "done") -> DataFrame:
+    """What goes into the archive of each batch: finished rows with an output, and the entry's name.
+
+    Entries of a batch with one base name get a number before the extension.
+    """
+    kept = renders.filter((F.col(status) == done) & (F.coalesce(F.col(output), F.lit("")) != ""))
+    base = F.regexp_extract(output, "([^/]*)$", 1)
+    n = F.row_number().over(W.partitionBy(batch, base).orderBy(output))
+    stem, ext = F.regexp_extract(base, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(base, r"^(.*?)(\.[^.]*)?$", 2)
+    return kept.withColumn("entry", F.when(n == 1, base).otherwise(F.concat(stem, F.lit("-"), n.cast("string"), ext)))
 
 
 def update_table(spark: SparkSession, path: str, updates: DataFrame, key: str) -> None:

@@ -8,12 +8,13 @@ from crestline.operators import external, nested
 from crestline.sources import chat, sinks, tables
 
 
-def fetch(video_id, offset):
-    """Pages of a recording with a message every 100 s, none between 700 and 1,500 s; each page repeats its last."""
-    at = [t for t in range(0, 4000, 100) if not 700 < t < 1500 and t >= offset][:3]
-    if not at or at[0] > offset + 200:
-        return []
-    return [{"ts": t, "author": f"u{t}", "text": f"m{t}"} for t in [*at, at[-1]]] + [{"author": "no time"}]
+def fetch(video_id, offset, cursor):
+    """Pages of a recording with a message every 100 s, none between 700 and 1,500 s, of which nothing tells in advance."""
+    start = int(cursor) if cursor else offset
+    at = [t for t in range(0, 4000, 100) if not 700 < t < 1500 and t >= start][:3]
+    if not at or at[0] > start + 200:
+        return [], None
+    return [{"ts": t, "author": f"u{t}", "text": f"m{t}"} for t in at] + [{"author": "no time"}], None if at[-1] == 3900 else str(at[-1] + 1)
 
 
 def test_chat_pages_cover_every_range_once(spark):
