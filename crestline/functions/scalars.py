@@ -205,3 +205,14 @@ def eased_by(column: Column, t: Column) -> Column:
     for name in EASINGS:
         out = F.when(column == name, eased(name, t)) if out is None else out.when(column == name, eased(name, t))
     return out.otherwise(t)
+
+
+def utc_now(at: Column | None = None) -> Column:
+    """A moment, by default the query's, as ISO text in UTC."""
+    at = F.current_timestamp() if at is None else at
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def random_id(length: int = 32) -> Column:
+    """A random hexadecimal id; another one at every evaluation, so write it before it is read twice."""
+    return F.substring(F.regexp_replace(F.uuid(), "-", ""), 1, length)

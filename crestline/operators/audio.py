@@ -49,6 +49,54 @@ def frame_features(samples: np.ndarray, rate: int, length: int = 2048, hop: int
     }
 
 
+def pitch_variance(samples: np.ndarray, rate: int, low: float = 65.0, high: float = 2093.0, length: int = 2048, hop: int = 512, voiced: float = 0.3) -> float:
+    """Variance of the pitch of the voiced frames, in Hz squared; 0 where fewer than two frames are voiced.
+
+    A frame's pitch is the lag of the highest normalised autocorrelation between the two
+    frequencies; it is voiced where that reaches ``voiced``.
+    """
+    y = np.asarray(samples, dtype=float)
+    n = 1 + (len(y) - length) // hop if len(y) >= length else 0
+    if not n:
+        return 0.0
+    frames = np.stack([y[i * hop : i * hop + length] for i in range(n)])
+    frames -= frames.mean(axis=1, keepdims=True)
+    power = np.abs(np.fft.rfft(frames, 2 * length, axis=1)) ** 2
+    auto = np.fft.irfft(power, axis=1)[:, :length]
+    first, last = max(1, int(rate / high)), min(length - 1, int(rate / low) + 1)
+    share = np.divide(auto[:, first:last], auto[:, :1], out=np.zeros((n, last - first)), where=auto[:, :1] > 0)
+    pitch = rate / (first + share.argmax(axis=1))
+    heard = pitch[share.max(axis=1) >= voiced]
+    return float(heard.var()) if len(heard) > 1 else 0.0
+
+
+def sound_windows(recordings: DataFrame, window: float = 5.0, hop: float = 2.5, pitch_every: int = 5) -> DataFrame:
+    """``path, chunk, k, time`` and the means of frame features for every window of chunks of sound.
+
+    ``recordings`` is as :func:`crestline.sources.tables.read_wav` gives it.  The variance of pitch is
+    measured in every fifth window and lies on a line between; after the last measured one it is 0.
+    """
+    names = ["rms", "zcr", "centroid", "flux", "onset", "pitch_var"]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, chunk, rate, samples in batch[["path", "chunk", "rate", "samples"]].itertuples(index=False):
+                found, y = frame_features(samples, rate), np.asarray(samples)
+                wide, step = int(window * rate / 512), max(1, int(hop * rate / 512))
+                starts = np.arange(0, max(0, len(found["rms"]) - wide + 1), step)
+                rows = {n: [float(found[n][a : a + wide].mean()) for a in starts] for n in names[:-1]}
+                asked = np.arange(0, len(starts), pitch_every)
+                told = [pitch_variance(y[starts[k] * 512 : starts[k] * 512 + int(window * rate)], rate) for k in asked]
+                pitch = np.interp(np.arange(len(starts)), asked, told) if len(asked) else np.zeros(0)
+                if len(asked):
+                    pitch[asked[-1] + 1 :] = 0.0
+                rows |= {"pitch_var": pitch, "k": np.arange(len(starts)), "time": starts * 512 / rate}
+                yield pd.DataFrame({"path": path, "chunk": chunk} | rows)
+
+    schema = "path string, chunk int, k int, time double, " + ", ".join(f"{n} double" for n in names)
+    return recordings.mapInPandas(read, schema)
+
+
 def decoded_frames(chunks: DataFrame, rate: int = 11025) -> DataFrame:
     """``job_id, chunk, i`` and features for every frame of chunks of samples (``samples array<float>``)."""
     names = ["rms", "zcr", "centroid", "flux", "onset"]

@@ -67,31 +67,55 @@ def overlay(base: Column, top: Column, fields: Sequence[str]) -> Column:
     return F.struct(*[F.coalesce(top[f], base[f]).alias(f) for f in fields])
 
 
-def rewrite_layers(layers: Column, base_url: str) -> Column:
-    """Layers (``type, src, ...``) with sources made absolute for the types that have one."""
-    return F.transform(
-        layers,
-        lambda x: F.when(x["type"].isin("video", "image") & ~F.coalesce(x["src"].startswith("http"), F.lit(True)), x.withField("src", F.concat(F.lit(base_url), x["src"]))).otherwise(x),
-    )
+def rewrite_layers(layers: Column, clip_url: str, width: Column, height: Column, asset_url: str) -> Column:
+    """Layers with the sources that a renderer can reach.
+
+    ``gameplay`` and ``facecam`` layers with a ``video`` get the clip's address and native size; an ``asset``
+    whose source is a path of the asset service gets ``asset_url`` with the asset's name.
+    """
+    name = r"/api/assets/(.+)$"
+
+    def rewritten(x: Column) -> Column:
+        video = x["video"].withField("src", F.lit(clip_url)).withField("nativeWidth", width).withField("nativeHeight", height)
+        asset = x["asset"].withField("src", F.concat(F.lit(asset_url), F.regexp_extract(x["asset"]["src"], name, 1)))
+        plays = x["type"].isin("gameplay", "facecam") & x["video"].isNotNull()
+        stored = (x["type"] == "asset") & F.coalesce(x["asset"]["src"].rlike(name), F.lit(False))
+        return F.when(plays, x.withField("video", video)).when(stored, x.withField("asset", asset)).otherwise(x)
+
+    return F.transform(layers, rewritten)
 
 
 def scale_layers(layers: Column, width: Column, height: Column, base: tuple[int, int] = (1080, 1920)) -> Column:
-    """Layers (``x, y, width, height, blur, keyframes``) scaled to an output size.
+    """Layers scaled from the canvas to an output size.
 
-    Positions and sizes are rounded, blur is not; keyframes scale like their layer.  A size within
-    a thousandth of the base leaves everything as it is.
+    A layer has ``transform`` (``x, y, width, height``), ``style`` (``blur, borderRadius``), ``subtitle``, ``text`` and
+    ``chat`` (``fontSize``) and ``keyframes`` with the fields of the first two.  Lengths are rounded, halves up;
+    blur is not.  A size within a thousandth of the canvas leaves everything as it is.
     """
     sx, sy = width / base[0], height / base[1]
     same = (F.abs(sx - 1) < 0.001) & (F.abs(sy - 1) < 0.001)
+    places, looks = (("x", sx), ("y", sy), ("width", sx), ("height", sy)), (("borderRadius", sx),)
 
-    def scaled(x: Column) -> Column:
-        for name, s in (("x", sx), ("y", sy), ("width", sx), ("height", sy)):
-            x = x.withField(name, F.round(x[name] * s, 0))
+    def whole(x: Column, fields: tuple) -> Column:
+        for name, s in fields:
+            x = x.withField(name, F.floor(x[name] * s + 0.5).cast("double"))
+        return x
+
+    def blurred(x: Column) -> Column:
         return x.withField("blur", x["blur"] * sx)
 
-    return F.when(same, layers).otherwise(
-        F.transform(layers, lambda x: scaled(x).withField("keyframes", F.transform(x["keyframes"], scaled)))
-    )
+    def scaled(x: Column) -> Column:
+        x = x.withField("transform", whole(x["transform"], places)).withField("style", blurred(whole(x["style"], looks)))
+        for part in ("subtitle", "text", "chat"):
+            x = x.withField(part, whole(x[part], (("fontSize", sx),)))
+        return x.withField("keyframes", F.transform(x["keyframes"], lambda k: blurred(whole(k, (*places, *looks)))))
+
+    return F.when(same, layers).otherwise(F.transform(layers, scaled))
+
+
+def toggle(items: Column, item: Column) -> Column:
+    """A set with the item taken out if it is in, else put in at the end."""
+    return F.when(F.array_contains(items, item), F.array_remove(items, item)).otherwise(F.array_append(items, item))
 
 
 def bounded_history(history: Column, item: Column, most: int) -> Column:

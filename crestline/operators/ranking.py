@@ -55,3 +55,26 @@ def robust_cluster(clusters: DataFrame, by: Sequence[str], total: Column) -> Dat
     """
     valid = (F.col("clips") >= F.greatest(F.lit(2), F.ceil(total / 2))) & (F.col("spread") < 0.25)
     return top_n(clusters.filter(valid), by, [F.desc("clips"), F.desc("detections"), F.asc("area")], 1, "_best").drop("_best")
+
+
+def with_clip(df: DataFrame, file: str) -> DataFrame:
+    """Candidates whose clip could be cut: those with a file name."""
+    return df.filter(F.coalesce(F.col(file), F.lit("")) != "")
+
+
+def renumbered(words: DataFrame, kept: DataFrame, by: Sequence[str], candidate: str, rank: str) -> DataFrame:
+    """Rows keyed by a candidate's number, re-keyed to its place (from 0) among those kept; others go."""
+    place = F.row_number().over(W.partitionBy(*by).orderBy(rank)) - 1
+    return words.join(kept.select(*by, candidate, place.alias("place")), [*by, candidate])
+
+
+def transcript(df: DataFrame, by: Sequence[str], time: str, line: Column) -> DataFrame:
+    """``by, transcript``: the lines of a recording's candidates in order of time, an empty line between."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), line.alias("line"))))
+    return df.groupBy(*by).agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n\n").alias("transcript"))
+
+
+def active_signals(points: DataFrame, by: Sequence[str], signals: Sequence[str], least: float = 0.01) -> DataFrame:
+    """``by, signal``: the signals that pass ``least`` in some hot point."""
+    tall = points.select(*by, F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("value")) for s in signals])).alias("x"))
+    return tall.select(*by, "x.*").groupBy(*by, "signal").agg(F.max("value").alias("_m")).filter(F.col("_m") > least).drop("_m")

@@ -49,18 +49,12 @@ def chunk_words(
 
 def sentence_groups(df: DataFrame, by: str, order: str, text: str, most: int = 10) -> DataFrame:
     """Number the sentences: each ends with ``.``, ``!``, ``?`` or an ellipsis, or after ``most`` words."""
-
-    def split(group: pd.DataFrame) -> pd.DataFrame:
-        g, out, n, size = group.sort_values(order, kind="stable"), [], 0, 0
-        for word in g[text]:
-            out.append(n)
-            size += 1
-            if size >= most or str(word).rstrip().endswith((".", "!", "?", "…")):
-                n, size = n + 1, 0
-        return g.assign(sentence=out)
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.groupBy(by).applyInPandas(split, f"{kinds}, sentence int")
+    w = W.partitionBy(by).orderBy(order)
+    ends = F.coalesce(F.rtrim(text).rlike(r"[.!?…]$"), F.lit(False)).cast("int")
+    marked = df.withColumn("_stretch", F.coalesce(F.sum(ends).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(W.partitionBy(by, "_stretch").orderBy(order)) - 1
+    opens = marked.withColumn("_opens", (place % most == 0).cast("int"))
+    return opens.withColumn("sentence", (F.sum("_opens").over(w) - 1).cast("int")).drop("_stretch", "_opens")
 
 
 def appearance_index(df: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:

@@ -13,6 +13,20 @@ from pyspark.sql import functions as F
 
 #: Ranges below this count as constant.
 FLAT = 1e-8
+#: Weights of the signals of a window, width of smoothing in windows, least seconds between peaks.
+WEIGHTS = {
+    "rms": 0.10,
+    "chat_speed": 0.18,
+    "flux": 0.12,
+    "onset": 0.14,
+    "pitch_var": 0.14,
+    "centroid": 0.05,
+    "zcr": 0.02,
+    "chat_burst": 0.10,
+    "emote_density": 0.08,
+    "caps_ratio": 0.07,
+}
+SMOOTH_SIGMA, PEAK_DISTANCE = 2.5, 60.0
 
 
 def _sound(x: Column) -> Column:
@@ -23,18 +37,18 @@ def robust_normalize(df: DataFrame, by: Sequence[str], columns: Mapping[str, Col
     """Add ``name: (x - median) / (p95 - median)``, clipped to 0..1, for every entry.
 
     NaN and null count as 0.  A series whose 95th percentile hardly exceeds its median is
-    0 throughout.  One aggregate finds all levels; its rows, one a key, are joined back.
+    0 throughout.  One window over each key finds all levels, so normalising again by the same key shuffles
+    nothing; a percentile holds the distinct values of one series, here the windows of one stream.
     """
-    aggs = []
-    for name, x in columns.items():
-        aggs.append(F.percentile(_sound(x), F.array(F.lit(0.5), F.lit(0.95))).alias(f"_q_{name}"))
-    levels = df.groupBy(*by).agg(*aggs)
-    joined = df.join(levels, list(by))
+    whole, quoted = W.partitionBy(*by), {name: f"_x_{name}" for name in columns}
+    sound = df.withColumns({quoted[name]: _sound(x) for name, x in columns.items()})
+    levels = {f"_q_{name}": F.percentile(x, F.array(F.lit(0.5), F.lit(0.95))).over(whole) for name, x in quoted.items()}
     out = {}
-    for name, x in columns.items():
+    for name, x in quoted.items():
         low, high = F.col(f"_q_{name}")[0], F.col(f"_q_{name}")[1]
-        out[name] = F.when(high - low < FLAT, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(_sound(x) - low, high - low))))
-    return joined.withColumns(out).drop(*[f"_q_{n}" for n in columns])
+        share = F.try_divide(F.col(x) - low, high - low)
+        out[name] = F.when(high - low < FLAT, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
+    return sound.withColumns(levels).withColumns(out).drop(*quoted.values(), *levels)
 
 
 def composite(weights: Mapping[str, float]) -> Column:
@@ -55,18 +69,17 @@ def moment_scores(
     speech: str,
     excitement: str,
     game: str,
+    keep: str | None = None,
 ) -> DataFrame:
-    """Composite score with its boosts, over raw signals.
+    """Composite score with its boosts, over raw signals; ``keep`` names a column for whether speech is ever heard.
 
     Three dependent normalisations: the signals; the agreement of energy and chat, and
     what the speech classes need; the energy of speech.  A key whose sentiment (speech) never passes
     0.05 gets no sentiment (speech) boost.
     """
     raw = {f"n_{c}": F.col(c) for c in dict.fromkeys([*weights, *energy, chat, sentiment, speech, excitement, game])}
-    flags = df.groupBy(*by).agg(
-        (F.coalesce(F.max(sentiment), F.lit(0.0)) > 0.05).alias("_felt"), (F.coalesce(F.max(speech), F.lit(0.0)) > 0.05).alias("_spoken")
-    )
-    n = robust_normalize(df, by, raw).join(flags, list(by))
+    passes = {n: F.coalesce(F.max(c).over(W.partitionBy(*by)), F.lit(0.0)) > 0.05 for n, c in (("_felt", sentiment), ("_spoken", speech))}
+    n = robust_normalize(df.withColumns(passes), by, raw)
     loud = (F.col(f"n_{energy[0]}") + F.col(f"n_{energy[1]}")) / 2
     second = robust_normalize(
         n, by, {"_agree": loud * F.col(f"n_{chat}"), "_voice": F.col(f"n_{speech}") * F.col(f"n_{energy[0]}")}
@@ -75,7 +88,8 @@ def moment_scores(
     score = score * F.when(F.col("_felt"), 1 + 0.15 * F.col(f"n_{sentiment}")).otherwise(1.0)
     quiet_game = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"n_{game}") - F.col(f"n_{speech}")))
     spoken = (score * (1 + 0.15 * F.col("_voice")) + 0.25 * F.col(f"n_{excitement}")) * (1 - 0.15 * quiet_game)
-    return second.withColumn("score", F.when(F.col("_spoken"), spoken).otherwise(score)).drop("_agree", "_voice", "_felt", "_spoken")
+    out = second.withColumn("score", F.when(F.col("_spoken"), spoken).otherwise(score)).drop("_agree", "_voice", "_felt")
+    return out.withColumnRenamed("_spoken", keep) if keep else out.drop("_spoken")
 
 
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
@@ -162,6 +176,31 @@ def peak_rows(df: DataFrame, by: str, index: str, value: str, distance: int, pro
     return df.select(by, index, value).groupBy(by).applyInPandas(pick, schema)
 
 
+def hot_points(features: DataFrame, by: str, index: str, time: str, mood: str, hop: float, top: int = 20, prominence: float = 0.05) -> DataFrame:
+    """The records of the best moments of each stream: ``by, rank, timestamp_seconds, timestamp_display, score, signals, chat_mood``.
+
+    ``features`` has a row for every window, numbered 0, 1, ... by ``index``, with the signals of
+    ``WEIGHTS``, ``sentiment_intensity`` and the class levels ``speech_presence``, ``vocal_excitement`` and
+    ``game_audio``.  Scores are weighted, boosted and smoothed; peaks keep a minute's distance.  A
+    stream in which no speech is heard shows no speech or excitement; null signals count as 0.
+    """
+    from crestline.functions.scalars import clock
+
+    scored = moment_scores(
+        features, [by], WEIGHTS, energy=("rms", "flux"), chat="chat_speed", sentiment="sentiment_intensity",
+        speech="speech_presence", excitement="vocal_excitement", game="game_audio", keep="_heard",
+    )
+    smooth = gaussian_smooth(scored, [by], index, "score", SMOOTH_SIGMA).withColumn("smooth", F.round("smooth", 12))
+    best = peak_rows(smooth, by, index, "smooth", max(1, int(PEAK_DISTANCE / hop)), prominence, top)
+    shown = {"rms": "rms", "spectral_flux": "flux", "pitch_variance": "pitch_var", "spectral_centroid": "centroid", "zcr": "zcr", "chat_speed": "chat_speed"}
+    levels = [F.round(f"n_{c}", 3).alias(name) for name, c in shown.items()]
+    levels += [F.when(F.col("_heard"), F.round(f"n_{c}", 3)).otherwise(0.0).alias(c) for c in ("vocal_excitement", "speech_presence")]
+    told = scored.select(by, index, F.col(time).alias("_t"), F.struct(*levels).alias("signals"), F.col(mood).alias("chat_mood"))
+    return best.join(told, [by, index]).select(
+        by, "rank", F.round("_t", 1).alias("timestamp_seconds"), clock(F.col("_t")).alias("timestamp_display"), F.round("smooth", 3).alias("score"), "signals", "chat_mood"
+    )
+
+
 def frame_windows(df: DataFrame, by: Sequence[str], index: str, columns: Sequence[str], length: int, step: int) -> DataFrame:
     """Means over ``length`` frames, one every ``step`` frames, complete windows only."""
     span = W.partitionBy(*by).orderBy(index).rowsBetween(0, length - 1)
@@ -224,6 +263,36 @@ def quiet_end(
     return marks.join(found, [*by, at], "left").withColumn("snapped", F.coalesce("_below", "_least", at)).drop("_below", "_least")
 
 
+def silence_edge(
+    marks: DataFrame, frames: DataFrame, by: Sequence[str], at: str, time: str, value: str, duration: Column, later: bool, reach: float = 30.0, factor: float = 0.3, least: int = 10
+) -> DataFrame:
+    """Extend each mark (``by, at``) to a silence within ``reach`` seconds, after it if ``later``, else before it: ``snapped``.
+
+    A frame is quiet at ``factor`` of the median of all frames around the mark or below.  The first
+    stretch of at least ``least`` quiet frames counts, failing that the longest, failing any the quietest
+    frame; of equals the earlier.  A later mark takes the stretch's first frame, an earlier one the last frame of
+    the last (or longest) stretch.  Without frames the mark stays.  The result is rounded to a tenth and
+    kept within the recording.
+    """
+    from crestline.operators.align import points_in_intervals
+
+    keys = [*by, at]
+    spans = marks.select(*keys).distinct().withColumns({"_from": F.col(at) - reach, "_to": F.col(at) + reach})
+    near = points_in_intervals(frames.select(*by, time, value), spans, by, time, "_from", "_to", 2 * reach)
+    level = F.percentile(value, F.lit(0.5)).over(W.partitionBy(*keys)) * factor
+    asked = F.col(time) >= F.col(at) if later else F.col(time) <= F.col(at)
+    seen = near.withColumn("_quiet", F.col(value) <= level).filter(asked)
+    runs = islands(seen, keys, time, F.col("_quiet"))
+    long = F.when(F.col("n") >= least, F.col("first" if later else "last"))
+    longest = F.max_by("first" if later else "last", F.struct("n", (-F.col("first")).alias("e")))
+    found = runs.groupBy(*keys).agg((F.min(long) if later else F.max(long)).alias("_sure"), longest.alias("_longest"))
+    quietest = seen.groupBy(*keys).agg(F.min_by(time, F.struct(value, time)).alias("_least"))
+    joined = marks.join(found, keys, "left").join(quietest, keys, "left").withColumn("_d", duration)
+    to = F.coalesce("_sure", "_longest", "_least")
+    snapped = F.when(to.isNull(), F.col(at)).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.col("_d"), to)), 1))
+    return joined.withColumn("snapped", snapped).drop("_sure", "_longest", "_least", "_d")
+
+
 def even_sample(by: Sequence[str], order: Sequence[str | Column], most: int) -> Column:
     """Whether a row is among the at most ``most`` rows at ``int(i * n / most)`` of its key."""
     i = F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1

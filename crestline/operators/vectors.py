@@ -29,17 +29,46 @@ def speaker_totals(turns: DataFrame, by: Sequence[str], speaker: str, start: str
     return per.withColumn("share", F.try_divide("seconds", F.sum("seconds").over(whole))).withColumn("dominant", rank == 1)
 
 
-def reference_match(vectors: DataFrame, references: DataFrame, by: str, vector: str, name: str, least: float = 0.55) -> DataFrame:
-    """Every vector with the most similar of a few references; its name if similar enough.
+#: References of a block: what a task holds of them at a time.
+REFERENCE_BLOCK = 4096
 
-    ``references`` is a small named table (broadcast after its size is checked).
+
+def _best_of(names: list[str], block: np.ndarray):
+    """Pandas UDF: the most similar reference of a block, the last by name of equals."""
+    norms = np.linalg.norm(block, axis=1)
+    unit = block / np.where(norms > 0, norms, 1)[:, None]
+
+    @F.pandas_udf("s double, n string")
+    def best(vectors: pd.Series) -> pd.DataFrame:
+        x = np.stack(vectors.to_numpy()).astype(float)
+        n = np.linalg.norm(x, axis=1)
+        sim = np.round((x / np.where(n > 0, n, 1)[:, None]) @ unit.T, 9)
+        at = sim.shape[1] - 1 - sim[:, ::-1].argmax(axis=1)
+        return pd.DataFrame({"s": sim[np.arange(len(x)), at], "n": [names[i] for i in at]})
+
+    return best
+
+
+def reference_match(vectors: DataFrame, references: DataFrame, by: str, vector: str, name: str, least: float = 0.55, block: int = REFERENCE_BLOCK) -> DataFrame:
+    """Every vector with the most similar reference; its name if similar enough.
+
+    References travel to the tasks in blocks of some ``block`` rows, each of which is scored against all
+    vectors where they lie; so nothing is shuffled, and any number of references is taken in turn.  Vectors
+    and references must be of one length; zero vectors have similarity 0.
     """
-    if references.count() > 10_000:
-        raise ValueError("reference_match takes at most 10,000 references; index larger sets first")
-    pairs = vectors.crossJoin(F.broadcast(references.select(F.col(name).alias("_name"), F.col(vector).alias("_ref"))))
-    sim = pairs.select(by, "_name", cosine(F.col(vector), F.col("_ref")).alias("similarity"))
-    best = sim.groupBy(by).agg(F.max(F.struct(F.round("similarity", 9).alias("s"), F.col("_name").alias("n"))).alias("_b"))
-    return best.select(by, F.col("_b.n").alias("nearest"), F.col("_b.s").alias("similarity"), F.when(F.col("_b.s") >= least, F.col("_b.n")).alias(name))
+    blocks = max(1, -(-references.count() // block))
+    kind, best = references.schema[name].dataType, None
+    for turn in range(blocks):
+        part = references.filter(F.pmod(F.xxhash64(name), F.lit(blocks)) == turn)
+        rows = sorted((r["n"], r["v"]) for r in part.select(F.col(name).cast("string").alias("n"), F.col(vector).alias("v")).collect())
+        if rows:
+            told = _best_of([n for n, _ in rows], np.array([v for _, v in rows], dtype=float))(F.col(vector))
+            best = told if best is None else F.greatest(best, told)
+    if best is None:
+        best = F.lit(None).cast("struct<s: double, n: string>")
+    told = vectors.select(by, best.alias("_b"))
+    nearest = F.col("_b.n").cast(kind)
+    return told.select(by, nearest.alias("nearest"), F.col("_b.s").alias("similarity"), F.when(F.col("_b.s") >= least, nearest).alias(name))
 
 
 def merge_similar(speakers: DataFrame, by: str, name: str, vector: str, seconds: str, least: float = 0.75) -> DataFrame:
@@ -121,3 +150,31 @@ def envelope(df: DataFrame, by: Sequence[str], index: str, value: str, blocks: i
     size = F.greatest(F.lit(1), F.floor(F.col("_n") / blocks))
     cut = df.withColumn("_n", n).withColumn("block", F.floor(F.col(index) / size).cast("int")).filter(F.col("block") < blocks)
     return cut.groupBy(*by, "block").agg(F.max(F.abs(value)).alias("peak"))
+
+
+def dominant_colour(pixels: DataFrame, by: str, rgb: Sequence[str] = ("r", "g", "b"), clusters: int = 5, rounds: int = 10, seed: int = 5) -> DataFrame:
+    """``by, r, g, b``: the centre of the largest of ``clusters`` groups of a clip's pixels, lifted if it is dark.
+
+    Pixels are some thousand sampled from a few small frames, so one clip is one bounded group.  A centre
+    with a mean under 40 is raised to at least 60, 60 and 100.
+    """
+    kind = pixels.schema[by].dataType.simpleString()
+
+    def pick(group: pd.DataFrame) -> pd.DataFrame:
+        x = group[list(rgb)].to_numpy(float)
+        x, times = np.unique(x, axis=0, return_counts=True)
+        rng, centres = np.random.default_rng(seed), x[[times.argmax()]]
+        while len(centres) < min(clusters, len(x)):  # k-means++: far pixels first
+            far = ((x[:, None] - centres) ** 2).sum(axis=2).min(axis=1) * times
+            centres = np.vstack([centres, x[rng.choice(len(x), p=far / far.sum())]])
+        for _ in range(rounds):
+            own = ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+            for k in np.unique(own):
+                centres[k] = np.average(x[own == k], axis=0, weights=times[own == k])
+        own = ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+        r, g, b = centres[np.bincount(own, weights=times).argmax()].astype(int)
+        if (r + g + b) / 3 < 40:
+            r, g, b = max(r, 60), max(g, 60), max(b, 100)
+        return pd.DataFrame({by: [group[by].iloc[0]], "r": [r], "g": [g], "b": [b]})
+
+    return pixels.select(by, *rgb).groupBy(by).applyInPandas(pick, f"{by} {kind}, r int, g int, b int")

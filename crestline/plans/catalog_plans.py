@@ -242,11 +242,11 @@ def share_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {JOBS} SELECT job_id, coalesce(nullif(CASE WHEN job_id % 2 = 0 THEN '' ELSE 'custom ' || job_id END, ''), game) AS title FROM jobs
-ORDER BY title, job_id LIMIT 50""")
+ORDER BY title, job_id""")
 def sorted_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sort by the custom title where there is one."""
     custom = F.when(F.col("job_id") % 2 == 0, "").otherwise(F.concat(F.lit("custom "), F.col("job_id").cast("string")))
-    return _jobs(spark, sf_dir).select("job_id", F.coalesce(F.nullif(custom, F.lit("")), F.col("game")).alias("title")).orderBy("title", "job_id").limit(50)
+    return _jobs(spark, sf_dir).select("job_id", F.coalesce(F.nullif(custom, F.lit("")), F.col("game")).alias("title")).orderBy("title", "job_id")
 
 
 @query(f"""WITH {JOBS} SELECT creator_id, game FROM (
@@ -340,26 +340,26 @@ def propagate_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(first, ["batch", "created"]).select("job_id", "ord", F.round("shared", 2).alias("shared"))
 
 
-@query(f"""WITH {JOBS} SELECT job_id, 'done' AS source FROM jobs WHERE status = 'F' AND job_id % 10 = 0
+@query(f"""WITH {JOBS} SELECT job_id, 'done' AS source FROM jobs WHERE status = 'F'
 UNION ALL SELECT job_id, 'active' FROM jobs WHERE status NOT IN ('F', 'O')""")
 def merge_ranked_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _jobs(spark, sf_dir)
-    a = j.filter((F.col("status") == "F") & (F.col("job_id") % 10 == 0)).select("job_id", F.lit("done").alias("source"))
+    a = j.filter(F.col("status") == "F").select("job_id", F.lit("done").alias("source"))
     return a.unionByName(catalog.status_class(j, "status", "active", "F", "O").select("job_id", F.lit("active").alias("source")))
 
 
-@query(f"""WITH {JOBS}, new AS (SELECT job_id, CASE WHEN job_id % 2 = 0 THEN 'X' END AS status, CAST(NULL AS DOUBLE) AS views FROM jobs WHERE job_id % 5 = 0)
+@query(f"""WITH {JOBS}, new AS (SELECT job_id, CASE WHEN job_id % 2 = 0 THEN 'X' END AS status, CAST(NULL AS DOUBLE) AS views FROM jobs)
 SELECT j.job_id, coalesce(n.status, j.status) AS status, coalesce(n.views, j.views) AS views FROM jobs j LEFT JOIN new n USING (job_id)""")
 def partial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _jobs(spark, sf_dir).select("job_id", "status", "views")
-    new = j.filter(F.col("job_id") % 5 == 0).select("job_id", F.when(F.col("job_id") % 2 == 0, "X").alias("status"), F.lit(None).cast("double").alias("views"))
+    new = j.select("job_id", F.when(F.col("job_id") % 2 == 0, "X").alias("status"), F.lit(None).cast("double").alias("views"))
     return catalog.merge_partial(j, new, "job_id")
 
 
-@query(f"""WITH {JOBS} SELECT job_id, status FROM jobs WHERE job_id % 2 = 0 UNION ALL SELECT job_id, 'NEW' FROM jobs WHERE job_id % 3 = 0 AND job_id % 2 <> 0""")
+@query(f"""WITH {JOBS} SELECT job_id, status FROM jobs UNION ALL SELECT 2 * job_id, 'NEW' FROM jobs WHERE 2 * job_id NOT IN (SELECT job_id FROM jobs)""")
 def insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _jobs(spark, sf_dir).select("job_id", "status")
-    return catalog.insert_absent(j.filter("job_id % 2 = 0"), j.filter("job_id % 3 = 0").withColumn("status", F.lit("NEW")), "job_id")
+    return catalog.insert_absent(j, j.select((F.col("job_id") * 2).alias("job_id"), F.lit("NEW").alias("status")), "job_id")
 
 
 @query(f"""WITH {RENDERS}, {JOBS} SELECT r.job_id, r.ord FROM renders r JOIN jobs j USING (job_id) WHERE j.status <> 'P'""")

@@ -99,11 +99,83 @@ def gaussian_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("job_id", "k", F.round("smooth", 9).alias("smooth"))
 
 
-@query()
+def _peaks_sql(source: str, distance: int, prominence: float, top: int) -> str:
+    """CTE ``best`` (``job_id, k, y, rank``): the highest peaks of ``source`` (``job_id, k, y``), or its highest rows."""
+    return f"""plateaus AS (
+  SELECT job_id, min(k) AS a, max(k) AS b, any_value(y) AS y
+  FROM (SELECT *, k - row_number() OVER (PARTITION BY job_id, y ORDER BY k) AS g FROM {source}) GROUP BY job_id, y, g),
+tops AS (
+  SELECT job_id, (a + b) // 2 AS k, y FROM (
+    SELECT *, lag(y) OVER w AS l, lead(y) OVER w AS r FROM plateaus WINDOW w AS (PARTITION BY job_id ORDER BY a)) WHERE l < y AND r < y),
+apart AS (
+  SELECT job_id, unnest(list_reduce(list([k] ORDER BY y DESC, k DESC),
+    lambda kept, x: CASE WHEN len(list_filter(kept, lambda q: abs(q - x[1]) < {distance})) = 0 THEN list_concat(kept, x) ELSE kept END)) AS k
+  FROM tops GROUP BY job_id),
+walls AS (
+  SELECT p.job_id, p.k, s0.y, max(s.k) FILTER (s.k < p.k AND s.y > s0.y) AS l, min(s.k) FILTER (s.k > p.k AND s.y > s0.y) AS r
+  FROM apart p JOIN {source} s0 ON s0.job_id = p.job_id AND s0.k = p.k JOIN {source} s ON s.job_id = p.job_id GROUP BY p.job_id, p.k, s0.y),
+valleys AS (
+  SELECT w.job_id, w.k, w.y, min(s.y) FILTER (s.k > coalesce(l, -1) AND s.k <= w.k) AS lo, min(s.y) FILTER (s.k >= w.k AND s.k < coalesce(r, 1000000000)) AS hi
+  FROM walls w JOIN {source} s ON s.job_id = w.job_id GROUP BY w.job_id, w.k, w.y),
+peaks AS (SELECT job_id, k, y FROM valleys WHERE y - greatest(lo, hi) >= {prominence}),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY y DESC, k) AS rank FROM peaks
+    UNION ALL SELECT job_id, k, y, row_number() OVER (PARTITION BY job_id ORDER BY y DESC, k DESC) AS rank FROM {source} WHERE job_id NOT IN (SELECT job_id FROM peaks))
+  WHERE rank <= {top})"""
+
+
+@query(f"""WITH {WINDOWS}, {_GAUSS}, rounded AS (SELECT job_id, k, round(smooth, 9) AS y FROM smooth), {_peaks_sql("rounded", 8, 0.00002, 10)}
+SELECT job_id, k, y AS smooth, CAST(rank AS INTEGER) AS rank FROM best""")
 def top_n_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The highest peaks of each smoothed series; tested against a numpy twin."""
-    s = signals.gaussian_smooth(windows(spark, sf_dir), ["job_id"], "k", "chat_speed", 2.5)
-    return signals.peak_rows(s, "job_id", "k", "smooth", distance=8, prominence=0.00002, top=10).withColumn("smooth", F.round("smooth", 9))
+    """The highest peaks of each smoothed series."""
+    s = signals.gaussian_smooth(windows(spark, sf_dir), ["job_id"], "k", "chat_speed", 2.5).withColumn("smooth", F.round("smooth", 9))
+    return signals.peak_rows(s, "job_id", "k", "smooth", distance=8, prominence=0.00002, top=10)
+
+
+# Signals of a window that the events have no sound for, from those that they have.
+_ROLES = {
+    "rms": "weight / 100", "flux": "abs(weight - before)", "onset": "greatest(0.0, weight - before)", "pitch_var": "weight * unique_ratio", "centroid": "unique_ratio",
+    "zcr": "chat_burst * unique_ratio", "chat_speed": "chat_speed", "chat_burst": "chat_burst", "emote_density": "unique_ratio * chat_speed", "caps_ratio": "chat_speed * weight",
+    "sentiment_intensity": "weight / 100", "speech_presence": "unique_ratio", "vocal_excitement": "chat_burst * weight", "game_audio": "weight / 100",
+}
+_MOOD = "CASE WHEN weight > 50 THEN 'hype' ELSE '' END"
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = F.lag("weight").over(W.partitionBy("job_id").orderBy("k"))
+    w = windows(spark, sf_dir).withColumn("before", F.coalesce(before, F.col("weight")))
+    return w.select("job_id", "k", "time", *[F.expr(x).alias(c) for c, x in _ROLES.items()], F.expr(_MOOD).alias("mood"))
+
+
+_FEATURES = f"""features AS (
+  SELECT job_id, k, time, {", ".join(f"{x} AS {c}" for c, x in _ROLES.items())}, {_MOOD} AS mood
+  FROM (SELECT *, coalesce(lag(weight) OVER (PARTITION BY job_id ORDER BY k), weight) AS before FROM windows))"""
+_TEN = " + ".join(f"{w} * n_{c}" for c, w in signals.WEIGHTS.items())
+_HOT_POINTS = f"""{WINDOWS}, {_FEATURES},
+{_norm_cte("h1", "features", {f"n_{c}": c for c in _ROLES})},
+{_norm_cte("h2", "h1", {"agree": "(n_rms + n_flux) / 2 * n_chat_speed", "voice": "n_speech_presence * n_rms"})},
+heard AS (SELECT job_id, max(sentiment_intensity) > 0.05 AS felt, max(speech_presence) > 0.05 AS spoken FROM features GROUP BY job_id),
+boosted AS (
+  SELECT h2.*, spoken, ({_TEN}) * (1 + 0.3 * agree) * CASE WHEN felt THEN 1 + 0.15 * n_sentiment_intensity ELSE 1 END AS b FROM h2 JOIN heard USING (job_id)),
+scores AS (
+  SELECT *, CASE WHEN spoken THEN (b * (1 + 0.15 * voice) + 0.25 * n_vocal_excitement) * (1 - 0.15 * greatest(0, least(1, n_game_audio - n_speech_presence))) ELSE b END AS chat
+  FROM boosted),
+{_GAUSS.replace("chat_speed", "chat").replace("FROM windows", "FROM scores")},
+rounded AS (SELECT job_id, k, round(smooth, 12) AS y FROM smooth),
+{_peaks_sql("rounded", 24, 0.05, 20)}"""
+
+
+@query(f"""WITH {_HOT_POINTS}
+SELECT b.job_id, CAST(b.rank AS INTEGER) AS rank, round(s.time, 1) AS timestamp_seconds,
+  lpad(CAST(CAST(s.time AS BIGINT) // 3600 AS VARCHAR), CAST(greatest(2, length(CAST(CAST(s.time AS BIGINT) // 3600 AS VARCHAR))) AS INTEGER), '0') || ':00:00' AS timestamp_display,
+  round(b.y, 3) AS score, round(n_rms, 3) AS rms, round(n_pitch_var, 3) AS pitch_variance, CASE WHEN spoken THEN round(n_vocal_excitement, 3) ELSE 0 END AS vocal_excitement,
+  CASE WHEN spoken THEN round(n_speech_presence, 3) ELSE 0 END AS speech_presence, mood AS chat_mood
+FROM best b JOIN scores s ON s.job_id = b.job_id AND s.k = b.k""")
+def hot_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the twenty best moments of each stream."""
+    points = signals.hot_points(_features(spark, sf_dir), "job_id", "k", "time", "mood", 2.5)
+    shown = [F.col(f"signals.{c}").alias(c) for c in ("rms", "pitch_variance", "vocal_excitement", "speech_presence")]
+    return points.select("job_id", "rank", "timestamp_seconds", "timestamp_display", "score", *shown, "chat_mood")
 
 
 @query(f"""WITH {MESSAGES}, numbered AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, ord) - 1 AS i FROM messages),
@@ -189,11 +261,11 @@ def activity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segments(spark, sf_dir)
 
 
-_PEAKS = "peaks AS (SELECT job_id, ord, ts AS peak FROM messages WHERE ord % 29 = 0)"
+_PEAKS = "peaks AS (SELECT job_id, ord, ts AS peak FROM messages)"
 
 
 def _peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages(spark, sf_dir).filter(F.col("ord") % 29 == 0).select("job_id", "ord", F.col("ts").alias("peak"))
+    return messages(spark, sf_dir).select("job_id", "ord", F.col("ts").alias("peak"))
 
 
 _FIRST = """firsts AS (
@@ -235,22 +307,22 @@ def clip_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {MESSAGES}, {DURATIONS},
 spans AS (
-  SELECT job_id, greatest(0, ts - 7200) AS s, least(duration, ts + 300) AS e FROM messages JOIN durations USING (job_id) WHERE ord % 41 = 0),
+  SELECT job_id, greatest(0, ts - 7200) AS s, least(duration, ts + 300) AS e FROM messages JOIN durations USING (job_id)),
 reached AS (SELECT *, max(e) OVER (PARTITION BY job_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM spans),
 grouped AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY s, e) AS g FROM reached),
 merged AS (SELECT job_id, min(s) AS "start", max(e) AS "end", count(*) AS n FROM grouped GROUP BY job_id, g)
 SELECT *, CAST(row_number() OVER (PARTITION BY job_id ORDER BY "start") + 100 AS INTEGER) AS rank FROM merged""")
 def detected_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long clips before detections, merged where they touch."""
-    d = messages(spark, sf_dir).filter(F.col("ord") % 41 == 0).join(durations(spark, sf_dir), "job_id")
+    d = messages(spark, sf_dir).join(durations(spark, sf_dir), "job_id")
     return intervals.detected_clips(d, ["job_id"], "ts", F.col("duration"), 7200.0, 300.0)
 
 
-_CLIPS = """clips AS (SELECT job_id, ord AS rank, ts - 1500 AS "start", ts + 1200 AS "end" FROM messages WHERE ord % 7 = 0)"""
+_CLIPS = """clips AS (SELECT job_id, ord AS rank, ts - 1500 AS "start", ts + 1200 AS "end" FROM messages)"""
 
 
 def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = messages(spark, sf_dir).filter(F.col("ord") % 7 == 0)
+    m = messages(spark, sf_dir)
     return m.select("job_id", F.col("ord").alias("rank"), (F.col("ts") - 1500).alias("start"), (F.col("ts") + 1200).alias("end"))
 
 
@@ -269,10 +341,14 @@ def overlap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.overlap_dedup(_clips(spark, sf_dir), "job_id", "rank", "start", "end")
 
 
-@query()
+@query(f"""WITH RECURSIVE {MESSAGES}, kept AS (
+  SELECT job_id, min(ts) AS ts FROM messages GROUP BY job_id
+  UNION ALL
+  SELECT k.job_id, min(m.ts) AS ts FROM kept k JOIN messages m ON m.job_id = k.job_id AND m.ts - k.ts >= 3600 GROUP BY k.job_id)
+SELECT job_id, min(ord) AS ord, ts FROM messages SEMI JOIN kept USING (job_id, ts) GROUP BY job_id, ts""")
 def moment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages at least an hour after the last kept one."""
-    return intervals.spaced_apart(messages(spark, sf_dir).select("job_id", "ord", "ts"), "job_id", "ts", HOUR)
+    return intervals.spaced_apart(messages(spark, sf_dir).select("job_id", "ord", "ts"), "job_id", "ts", HOUR, ["ord"])
 
 
 @query(f"""WITH {MESSAGES}, {_CLIPS}
@@ -327,13 +403,13 @@ def point_in_interval_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = """words AS (SELECT job_id, ord, ts AS ws, ts + 600 AS we FROM messages),
-turns AS (SELECT job_id, ord AS turn, author AS speaker, ts - 900 AS s, ts + 300 + (ord % 5) * 240 AS e FROM messages WHERE ord % 3 = 0)"""
+turns AS (SELECT job_id, ord AS turn, author AS speaker, ts - 900 AS s, ts + 300 + (ord % 5) * 240 AS e FROM messages)"""
 
 
 def _words_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     m = messages(spark, sf_dir)
     words = m.select("job_id", "ord", F.col("ts").alias("ws"), (F.col("ts") + 600).alias("we"))
-    turns = m.filter(F.col("ord") % 3 == 0).select(
+    turns = m.select(
         "job_id", F.col("ord").alias("turn"), F.col("author").alias("speaker"), (F.col("ts") - 900).alias("s"),
         (F.col("ts") + 300 + (F.col("ord") % 5) * 240).alias("e"),
     )
@@ -353,7 +429,7 @@ def max_overlap_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("job_id", "ord").join(best, ["job_id", "ord"], "left")
 
 
-@query(f"""WITH {MESSAGES}, moments AS (SELECT job_id, i * 14400.0 AS now FROM (SELECT DISTINCT job_id FROM messages), range(1, 180) AS r(i)),
+@query(f"""WITH {MESSAGES}, {DURATIONS}, moments AS (SELECT job_id, i * 14400.0 AS now FROM durations, range(1, 1000000) AS r(i) WHERE i * 14400.0 <= duration),
 live AS (
   SELECT n.job_id, n.now, m.ord, row_number() OVER (PARTITION BY n.job_id, n.now ORDER BY m.ts DESC, m.ord DESC) AS recency
   FROM moments n JOIN messages m ON m.job_id = n.job_id AND m.ts <= n.now AND n.now < m.ts + 7200)
@@ -361,7 +437,7 @@ SELECT job_id, now, ord, CAST(recency AS INTEGER) AS recency FROM live WHERE rec
 def expiring_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last three messages still on screen at each moment."""
     m = messages(spark, sf_dir)
-    moments = m.select("job_id").distinct().withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(179)))).select("job_id", (F.col("i") * 14400.0).alias("now"))
+    moments = hopping_grid(durations(spark, sf_dir), ["job_id"], "duration", 0.0, 4 * HOUR).filter("k > 0").select("job_id", F.col("time").alias("now"))
     return align.recent_points(moments, m.select("job_id", "ord", "ts"), ["job_id"], "now", "ts", "ord", 7200.0, 3).select("job_id", "now", "ord", "recency")
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from crestline.functions import scalars
 from crestline.operators import align, intervals, keyframes, lexicon, nested, sequences, vectors
-from crestline.operators.windows import moods, without_bots
+from crestline.operators.windows import hopping_grid, moods, without_bots
 from crestline.plans.catalog import query
-from crestline.plans.roles import HOUR, MESSAGES, load, messages
+from crestline.plans.roles import DURATIONS, HOUR, MESSAGES, durations, load, messages
 
 # Words that occur in the invented prose, as a lexicon.
 _MOODS = {
@@ -21,63 +21,70 @@ _MOODS = {
 
 
 def _best_sql(words: dict[str, float]) -> str:
-    return "greatest(0, " + ", ".join(f"CASE WHEN regexp_matches(line, '(?i)\\b{w}\\b') THEN {x} ELSE 0 END" for w, x in words.items()) + ")"
+    return "greatest(0, " + ", ".join(f"CASE WHEN list_contains(ws, '{w}') THEN {x} ELSE 0 END" for w, x in words.items()) + ")"
 
 
-_LINES = "lines AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line FROM documents)"
+# Every line; ``ws`` are its words in lower case, cut at whatever is no letter, mark, number or underscore.
+_LINES = r"""lines AS (
+  SELECT doc_id, source, regexp_split_to_array(lower(line), '[^\p{L}\p{M}\p{N}_]+') AS ws
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents))"""
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.explode(F.split("text", "\n")).alias("line"))
+    return load(spark, sf_dir, "documents").select("doc_id", "source", F.explode(F.split("text", "\n")).alias("line"))
 
 
-@query(f"""WITH {_LINES}, ascii AS (SELECT * FROM lines WHERE NOT regexp_matches(line, '[^\\x00-\\x7F]')),
-scored AS (SELECT source, {", ".join(f"{_best_sql(w)} AS {m}" for m, w in _MOODS.items())} FROM ascii),
+_SCORE_SQL = f"""WITH {_LINES},
+scored AS (SELECT source, {", ".join(f"{_best_sql(w)} AS {m}" for m, w in _MOODS.items())} FROM lines),
 means AS (SELECT source, {", ".join(f"round(avg({m}), 6) AS {m}" for m in _MOODS)} FROM scored GROUP BY source)
 SELECT *, greatest(hype, fun, rip) AS intensity, CASE WHEN greatest(hype, fun, rip) <= 0.1 THEN '' WHEN hype = greatest(hype, fun, rip) THEN 'hype'
-  WHEN fun = greatest(hype, fun, rip) THEN 'fun' ELSE 'rip' END AS mood FROM means""")
+  WHEN fun = greatest(hype, fun, rip) THEN 'fun' ELSE 'rip' END AS mood FROM means"""
+
+
+@query(_SCORE_SQL)
 def lexicon_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean best weight of each mood over plain-ASCII lines, and the dominant mood."""
-    plain = _lines(spark, sf_dir).filter(~F.col("line").rlike(r"[^\x00-\x7F]"))
-    means = plain.groupBy("source").agg(*[F.round(F.avg(lexicon.best_weight(F.col("line"), w)), 6).alias(m) for m, w in _MOODS.items()])
+    """Mean best weight of each mood over all lines, and the dominant mood."""
+    means = _lines(spark, sf_dir).groupBy("source").agg(*[F.round(F.avg(lexicon.best_weight(F.col("line"), w)), 6).alias(m) for m, w in _MOODS.items()])
     intensity, mood = moods(list(_MOODS))
     return means.withColumn("intensity", intensity).withColumn("mood", mood)
 
 
-@query(f"""WITH {_LINES}, ascii AS (SELECT * FROM lines WHERE NOT regexp_matches(line, '[^\\x00-\\x7F]'))
-SELECT source, round(avg(len(regexp_extract_all(line, '(?i)\\b(?:of|to|in)\\b'))), 6) AS density FROM ascii GROUP BY source""")
+_DENSITY_SQL = f"""WITH {_LINES}
+SELECT source, round(avg(len(list_filter(ws, lambda w: w IN ('of', 'to', 'in')))), 6) AS density FROM lines GROUP BY source"""
+
+
+@query(_DENSITY_SQL)
 def emote_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean matches a line."""
-    plain = _lines(spark, sf_dir).filter(~F.col("line").rlike(r"[^\x00-\x7F]"))
-    return plain.groupBy("source").agg(F.round(F.avg(lexicon.match_count(F.col("line"), ["of", "to", "in"])), 6).alias("density"))
+    return _lines(spark, sf_dir).groupBy("source").agg(F.round(F.avg(lexicon.match_count(F.col("line"), ["of", "to", "in"])), 6).alias("density"))
+
+
+_KEYWORD_SQL = f"""WITH {_LINES}
+SELECT doc_id, bool_or(list_contains(ws, 'license') OR list_contains(ws, 'clip')) AS detected FROM lines GROUP BY doc_id"""
 
 
-@query(f"""WITH {_LINES}, ascii AS (SELECT * FROM lines WHERE NOT regexp_matches(line, '[^\\x00-\\x7F]'))
-SELECT doc_id, bool_or(regexp_matches(line, '(?i)\\b(?:license|clip)\\b')) AS detected FROM ascii GROUP BY doc_id""")
+@query(_KEYWORD_SQL)
 def keyword_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that name a keyword as a word of its own."""
-    plain = _lines(spark, sf_dir).filter(~F.col("line").rlike(r"[^\x00-\x7F]"))
-    return plain.groupBy("doc_id").agg(F.bool_or(lexicon.has_keyword(F.col("line"), ["license", "clip"])).alias("detected"))
+    """Documents that name a keyword as a word of its own: a row for every document with a text."""
+    return _lines(spark, sf_dir).groupBy("doc_id").agg(F.bool_or(lexicon.has_keyword(F.col("line"), ["license", "clip"])).alias("detected"))
 
 
-@query()
+@query(_SCORE_SQL)
 def lexicon_score_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lexicon_score`` over every line, with Unicode word edges; tested against a plain twin."""
-    means = _lines(spark, sf_dir).groupBy("source").agg(*[F.round(F.avg(lexicon.best_weight(F.col("line"), w)), 6).alias(m) for m, w in _MOODS.items()])
-    intensity, mood = moods(list(_MOODS))
-    return means.withColumn("intensity", intensity).withColumn("mood", mood)
+    """The former name of ``lexicon_score`` without a filter."""
+    return lexicon_score(spark, sf_dir)
 
 
-@query()
+@query(_DENSITY_SQL)
 def emote_density_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``emote_density`` over every line; tested against a plain twin."""
-    return _lines(spark, sf_dir).groupBy("source").agg(F.round(F.avg(lexicon.match_count(F.col("line"), ["of", "to", "in"])), 6).alias("density"))
+    """The former name of ``emote_density`` without a filter."""
+    return emote_density(spark, sf_dir)
 
 
-@query()
+@query(_KEYWORD_SQL)
 def keyword_split_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``keyword_split`` over every line, so with a row for every document; tested against a plain twin."""
-    return _lines(spark, sf_dir).groupBy("doc_id").agg(F.bool_or(lexicon.has_keyword(F.col("line"), ["license", "clip"])).alias("detected"))
+    """The former name of ``keyword_split`` without a filter."""
+    return keyword_split(spark, sf_dir)
 
 
 _TURNS = "turns AS (SELECT conv_id, turn, role, text, turn * 10.0 AS s, turn * 10.0 + 4 + length(text) % 7 AS e FROM conversations)"
@@ -138,21 +145,25 @@ def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.chunk_words(_words(spark, sf_dir), "doc_id", "ord", "s", "e").select("doc_id", "ord", "chunk")
 
 
-@query()
+@query("""WITH words AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(0, len(string_split(text, ' ')))) AS ord FROM documents),
+marked AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(rtrim(word, ' '), '[.!?…]$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM words),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, g ORDER BY ord) - 1 AS p FROM marked)
+SELECT doc_id, CAST(ord AS INTEGER) AS ord, CAST(sum(CASE WHEN p % 10 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS INTEGER) AS sentence FROM placed""")
 def sentence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of all documents; tested against a plain twin."""
+    """Sentences of all documents."""
     return sequences.sentence_groups(_words(spark, sf_dir), "doc_id", "ord", "word").select("doc_id", "ord", "sentence")
 
 
 @query("""WITH chunks AS (SELECT doc_id, g, min(i) * 0.4 AS s, max(i) * 0.4 + 0.3 AS e FROM (SELECT doc_id, i, i // 4 AS g FROM (
   SELECT doc_id, unnest(range(0, len(string_split(text, ' ')))) AS i FROM documents)) GROUP BY doc_id, g),
-moments AS (SELECT doc_id, t * 2.75 AS now FROM documents, range(0, 20) AS r(t))
+moments AS (SELECT doc_id, t * 2.75 AS now FROM (SELECT doc_id, unnest(range(0, CAST(ceil(len(string_split(text, ' ')) * 0.4 / 2.75) AS BIGINT))) AS t FROM documents))
 SELECT m.doc_id, m.now, min(g) AS g FROM moments m JOIN chunks c ON c.doc_id = m.doc_id AND round(now, 6) >= round(s - 0.05, 6) AND round(now, 6) <= round(e + 0.05, 6) GROUP BY m.doc_id, m.now""")
 def active_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The subtitle chunk on screen at each moment."""
+    """The subtitle chunk on screen at each moment of a text's whole length."""
     g = F.floor(F.col("ord") / 4).alias("g")
     chunks = _words(spark, sf_dir).groupBy("doc_id", g).agg((F.min("ord") * 0.4).alias("s"), (F.max("ord") * 0.4 + 0.3).alias("e"))
-    moments = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("t")).select("doc_id", (F.col("t") * 2.75).alias("now"))
+    moments = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.ceil(F.size(F.split("text", " ")) * 0.4 / 2.75).cast("int") - 1)).alias("t"))
+    moments = moments.select("doc_id", (F.col("t") * 2.75).alias("now"))
     rounded = chunks.withColumns({"s": F.round(F.col("s") - 0.05, 6), "e": F.round(F.col("e") + 0.05, 6)})
     return sequences.active_chunk(moments.withColumn("now", F.round("now", 6)), rounded, ["doc_id"], "now", "s", "e", "g", slack=0.0)
 
@@ -267,9 +278,12 @@ def best_match_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.reference_match(e, refs, "vec_id", "embedding", "name").withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT vec_id // 10 AS clip, vec_id, embedding::DOUBLE[] AS v, (vec_id * 7) % 13 AS seconds FROM embeddings),
+near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.clip = b.clip AND list_cosine_similarity(a.v, b.v) >= 0.2),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a)
+SELECT CAST(any_value(e.clip) AS BIGINT) AS clip, r.a AS vec_id, arg_min(b, struct_pack(s := -e.seconds, i := b)) AS merged FROM reach r JOIN e ON e.vec_id = r.b GROUP BY r.a""")
 def merge_similar_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar vectors of a small clip become one speaker; tested against a plain twin."""
+    """Similar vectors of a small clip become one speaker."""
     e = load(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("clip"), "vec_id", "embedding", F.pmod(F.col("vec_id") * 7, F.lit(13)).alias("seconds"))
     return vectors.merge_similar(e, "clip", "vec_id", "embedding", "seconds", 0.2)
 
@@ -317,7 +331,7 @@ def easing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.withColumn("value", F.round("value", 6))
 
 
-@query("""WITH k AS (SELECT o_custkey AS c, o_orderkey AS id, (o_orderkey % 97) / 10.0::DOUBLE AS t, o_totalprice AS x FROM orders WHERE o_custkey % 3 = 0),
+@query("""WITH k AS (SELECT o_custkey AS c, o_orderkey AS id, (o_orderkey % 97) / 10.0::DOUBLE AS t, o_totalprice AS x FROM orders),
 d AS (SELECT c, t, arg_min(x, id) AS x FROM k GROUP BY c, t),
 moments AS (SELECT DISTINCT c, i * 1.25::DOUBLE AS now FROM k, range(0, 9) AS r(i)),
 sides AS (
@@ -326,7 +340,7 @@ SELECT b.c, b.now, round(CASE WHEN lo IS NULL THEN h.x WHEN hi IS NULL THEN l.x
 FROM sides b LEFT JOIN d l ON l.c = b.c AND l.t = lo LEFT JOIN d h ON h.c = b.c AND h.t = hi""")
 def keyframe_lerp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyframed values at moments: held at the ends, interpolated between."""
-    k = load(spark, sf_dir, "orders").filter("o_custkey % 3 = 0").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") % 97) / 10.0).alias("time"), F.col("o_totalprice").alias("x"))
+    k = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") % 97) / 10.0).alias("time"), F.col("o_totalprice").alias("x"))
     d = k.groupBy("c", "time").agg(F.min_by("x", "id").alias("x")).groupBy("c").agg(F.collect_list(F.struct("time", F.lit("linear").alias("easing"), "x")).alias("frames"))
     at = d.withColumn("now", F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: i * 1.25)))
     return at.select("c", "now", F.round(keyframes.resolve_keyframes(F.col("frames"), F.col("now"), ["x"])["x"], 7).alias("x"))
@@ -338,16 +352,16 @@ def bot_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_bots(m, "name", ["USER3", "user7", "User11"]).select("job_id", "ord")
 
 
-@query(f"""WITH {MESSAGES}, voiced AS (SELECT job_id, ts AS "on", ts + 400 AS "off" FROM messages WHERE ord % 4 = 0), words AS (SELECT job_id, ord, ts AS s FROM messages WHERE ord % 4 = 1),
+@query(f"""WITH {MESSAGES}, voiced AS (SELECT job_id, ts AS "on", ts + 400 AS "off" FROM messages WHERE weight >= 50), words AS (SELECT job_id, ord, ts AS s FROM messages),
 spoken AS (SELECT DISTINCT w.job_id, w.s FROM words w JOIN voiced v ON v.job_id = w.job_id AND w.s >= v."on" - 5 AND w.s <= v."off" + 5),
 nxt AS (SELECT w.job_id, w.s, min(v."on") AS n FROM words w JOIN voiced v ON v.job_id = w.job_id AND v."on" > w.s + 15 AND v."on" < w.s + 900 GROUP BY w.job_id, w.s)
 SELECT w.job_id, w.ord, round(CASE WHEN p.s IS NULL THEN coalesce(n.n, w.s) ELSE w.s END, 3) AS fixed
 FROM words w LEFT JOIN spoken p ON p.job_id = w.job_id AND p.s = w.s LEFT JOIN nxt n ON n.job_id = w.job_id AND n.s = w.s""")
 def start_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word starts in silence move to the next voiced onset."""
+    """Word starts in silence move to the next voiced onset; loud messages are voiced stretches, all are words."""
     m = messages(spark, sf_dir)
-    voiced = m.filter("ord % 4 = 0").select("job_id", F.col("ts").alias("on"), (F.col("ts") + 400).alias("off"))
-    words = m.filter("ord % 4 = 1").select("job_id", "ord", F.col("ts").alias("s"))
+    voiced = m.filter("weight >= 50").select("job_id", F.col("ts").alias("on"), (F.col("ts") + 400).alias("off"))
+    words = m.select("job_id", "ord", F.col("ts").alias("s"))
     fixed = intervals.corrected_starts(words, voiced, ["job_id"], "s", 5.0, 15.0, 900.0, HOUR)
     return fixed.select("job_id", "ord", F.round("fixed_start", 3).alias("fixed"))
 
@@ -364,12 +378,12 @@ def crop_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", x.cast("long").alias("x"), crop.cast("long").alias("crop"), f0.alias("f0"), f1.alias("f1"))
 
 
-@query(f"""WITH {MESSAGES}, frames AS (SELECT job_id, ts AS t, weight FROM messages WHERE ord % 5 = 0), asked AS (SELECT job_id, ord, ts FROM messages WHERE ord % 50 = 3)
-SELECT a.job_id, a.ord, round(arg_min(f.t, struct_pack(g := abs(f.t - a.ts), t := f.t)), 3) AS frame FROM asked a JOIN frames f ON f.job_id = a.job_id AND abs(f.t - a.ts) < 50000 GROUP BY a.job_id, a.ord""")
+@query(f"""WITH {MESSAGES}, {DURATIONS}, frames AS (SELECT job_id, i * 3600.0 AS t FROM durations, range(0, 1000000) AS r(i) WHERE i * 3600.0 + 3600.0 <= duration)
+SELECT m.job_id, m.ord, arg_min(f.t, struct_pack(g := abs(f.t - m.ts), t := f.t)) AS frame FROM messages m JOIN frames f ON f.job_id = m.job_id AND abs(f.t - m.ts) < 3000 GROUP BY m.job_id, m.ord""")
 def nearest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each moment snaps to the nearest frame."""
-    m = messages(spark, sf_dir)
-    frames = m.filter("ord % 5 = 0").select("job_id", F.col("ts").alias("t"), F.col("ts").alias("frame"))
-    asked = m.filter("ord % 50 = 3").select("job_id", "ord", "ts")
-    near = align.nearest_asof(asked, frames, ["job_id"], "ts", "t", 50000.0, {"frame": None})
-    return near.filter(F.col("frame").isNotNull()).select("job_id", "ord", F.round("frame", 3).alias("frame"))
+    """Every message snaps to the nearest of its stream's hourly frames."""
+    grid = hopping_grid(durations(spark, sf_dir), ["job_id"], "duration", HOUR, HOUR)
+    frames = grid.select("job_id", F.col("time").alias("t"), F.col("time").alias("frame"))
+    asked = messages(spark, sf_dir).select("job_id", "ord", "ts")
+    near = align.nearest_asof(asked, frames, ["job_id"], "ts", "t", 3000.0, {"frame": None})
+    return near.filter(F.col("frame").isNotNull()).select("job_id", "ord", "frame")
