@@ -88,6 +88,17 @@ def insert_absent(base: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return base.unionByName(rows.join(base.select(key), key, "left_anti").select(*base.columns))
 
 
+def update_where(df: DataFrame, condition: Column, values: Mapping[str, Column]) -> DataFrame:
+    """Set columns in the rows that meet a condition; rows of which it is unknown stay as they are."""
+    met = F.coalesce(condition, F.lit(False))
+    return df.withColumns({c: F.when(met, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def clip_class(source: Column) -> Column:
+    """What a clip is from: ``auto``, also where nothing is said, ``detected`` or ``manual``."""
+    return F.when(source == "llm_detected", "detected").when(source == "manual", "manual").otherwise("auto")
+
+
 def exclusive_flag(df: DataFrame, owner: Column, chosen: Column, flag: str) -> DataFrame:
     """Set ``flag`` for the chosen row of an owner and clear it for the owner's others."""
     return df.withColumn(flag, F.when(owner, chosen).otherwise(F.col(flag)))

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -163,6 +164,35 @@ def upsert_creators(creators: DataFrame, updates: DataFrame) -> DataFrame:
     )
 
 
+class ProgressLog(StreamingQueryListener):
+    """Rows read and triggers ended of every stream by name, and what became of it; add it with ``spark.streams.addListener``.
+
+    ``told`` is called with the stream's name and its counters every ``every`` triggers, and at its end.
+    """
+
+    def __init__(self, told: Callable[[str, dict], None], every: int = 1):
+        self.told, self.every, self.streams = told, every, {}
+
+    def onQueryStarted(self, event) -> None:
+        self.streams[str(event.runId)] = {"name": event.name or str(event.id), "triggers": 0, "rows": 0, "error": None}
+
+    def onQueryProgress(self, event) -> None:
+        counters = self.streams.get(str(event.progress.runId))
+        if counters:
+            counters["triggers"] += 1
+            counters["rows"] += event.progress.numInputRows
+            if counters["triggers"] % self.every == 0:
+                self.told(counters["name"], dict(counters))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        counters = self.streams.pop(str(event.runId), None)
+        if counters:
+            self.told(counters["name"], counters | {"error": event.exception, "ended": True})
+
+
 def each_batch(write: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function that skips empty triggers."""
 

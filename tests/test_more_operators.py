@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from crestline.functions import scalars
-from crestline.operators import audio, keyframes, nested, ranking, sequences, signals, vectors
-from crestline.sources import chat, sinks, tables
+from crestline.operators import audio, catalog, keyframes, nested, ranking, sequences, signals, vectors
+from crestline.operators import chat as chat_ops
+from crestline.sources import chat, schemas, sinks, tables
 from crestline.streaming import state, windows
 
 LEVELS = (*signals.WEIGHTS, "sentiment_intensity", "speech_presence", "vocal_excitement", "game_audio")
@@ -139,6 +140,46 @@ def test_references_in_blocks(spark):
     assert vectors.reference_match(vs, rs.limit(0), "id", "v", "name").filter("nearest IS NOT NULL").count() == 0
 
 
+# -- chat, catalog, documents
+
+
+def test_chat_features_of_windows(spark):
+    rows = [
+        ("j", 0.5, "a", "GG WP"), ("j", 1.0, "b", "KEKW kekw lol"), ("j", 2.0, "Nightbot", "POG POG POG"), ("j", 3.0, "a", "f"), ("j", 6.0, None, None),
+        ("j", 6.5, "c", "fog, clutch!"), ("j", 11.0, "d", "oh non, c'est fini"),
+    ]
+    m = spark.createDataFrame(rows, "job string, ts double, author string, text string")
+    got = chat_ops.chat_features(m, spark.createDataFrame([("j", 15.0)], "job string, duration double"), ["job"], "ts", "author", "text").orderBy("k").collect()
+    assert [r["time"] for r in got] == [0.0, 2.5, 5.0, 7.5, 10.0]
+    first = got[0]
+    assert first["chat_speed"] == pytest.approx(3 / 5) and first["unique_ratio"] == pytest.approx(2 / 3)
+    assert first["caps_ratio"] == pytest.approx(1 / 3) and first["emote_density"] == pytest.approx((1 + 3) / 3)
+    assert [first[f"sentiment_{x}"] for x in ("hype", "fun", "rip")] == pytest.approx([0.7 / 3, 1.0 / 3, 0.8 / 3])
+    assert first["dominant_mood"] == "fun" and got[4]["dominant_mood"] == "rip" and got[2]["dominant_mood"] == "hype"
+    assert got[2]["sentiment_hype"] == pytest.approx(0.5) and got[2]["sentiment_intensity"] == pytest.approx(0.5)
+
+
+def test_conditional_updates_and_clip_classes(spark):
+    df = spark.createDataFrame([(1, "active", None), (2, "done", None), (3, None, "u")], "id int, status string, user string")
+    got = catalog.update_where(df, F.col("status") == "active", {"status": F.lit("cancelled")}).orderBy("id").collect()
+    assert [r["status"] for r in got] == ["cancelled", "done", None]
+    got = catalog.update_where(df, F.col("user").isNull(), {"user": F.lit("owner")}).orderBy("id").collect()
+    assert [r["user"] for r in got] == ["owner", "owner", "u"]
+    c = spark.createDataFrame([(x,) for x in (*schemas.CLIP_SOURCES, "", None)], "s string").select(catalog.clip_class(F.col("s")).alias("c"))
+    assert [r["c"] for r in c.collect()] == ["auto", "manual", "detected", "auto", "auto"]
+
+
+def test_documents_are_read_by_their_schemas(spark, tmp_path):
+    (tmp_path / "job.json").write_text('{"job_id": "a", "status": "DONE", "step_timings": {"x": {"start": 1, "duration": 2}},\n "hot_points": [{"score": 0.5, "signals": {"rms": 1}, "clip_source": "manual"}]}')
+    (tmp_path / "bad.json").write_text("{broken")
+    got = {r["job_id"]: r for r in tables.read_documents(spark, str(tmp_path), schemas.JOBS).collect()}
+    assert got["a"]["hot_points"][0]["signals"]["rms"] == 1.0 and got["a"]["step_timings"]["x"]["duration"] == 2.0 and got[None]["hot_points"] is None
+    order = spark.createDataFrame([(s,) for s in reversed(schemas.JOB_STATES)], "s string").select(scalars.progress(F.col("s"), schemas.JOB_STATES).alias("p"))
+    assert [r["p"] for r in order.collect()] == sorted((r["p"] for r in order.collect()), reverse=True)
+    empty = [spark.createDataFrame([], s) for s in (schemas.RENDERS, schemas.CREATORS, schemas.WORDS, schemas.TURNS, schemas.AUDIO_WINDOWS, schemas.CLASS_WINDOWS, schemas.CHAT_WINDOWS, f"k {schemas.KEYFRAMES}")]
+    assert all(df.count() == 0 for df in empty)
+
+
 # -- sound
 
 
@@ -285,6 +326,20 @@ def test_windows_and_sessions_of_a_stream_equal_the_batch(spark, tmp_path):
             assert {str(r) for r in got} <= {str(r) for r in want}
 
 
+def test_progress_of_streams_is_told(spark, tmp_path):
+    told = []
+    listener = state.ProgressLog(lambda name, counters: told.append(counters))
+    spark.streams.addListener(listener)
+    try:
+        streamed(spark, tmp_path, [("a", 1), ("b", 2)], "k string, n int", lambda s: s, files=2)
+        until = time.time() + 20
+        while time.time() < until and not any(c.get("ended") for c in told):
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert told[-1]["ended"] and told[-1]["rows"] == 2 and told[-1]["error"] is None and not listener.streams
+
+
 def test_repeats_and_limits_of_a_stream(spark, tmp_path):
     rows = [("a", moment(1), 1), ("a", moment(1), 1), ("b", moment(2), 2), ("a", moment(3), 1)]
     (tmp_path / "seen").mkdir()
