@@ -153,6 +153,32 @@ def test_vectors_against_brute_force(spark):
     assert near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def brute_force_links(x, threshold=0.95):
+    found = []
+    for at in range(0, len(x), 2000):
+        i, j = np.nonzero(x[at : at + 2000] @ x.T >= threshold)
+        found += [(a + at, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a + at < b]
+    return found
+
+
+@pytest.mark.parametrize("kind", ["even", "mean 0.85", "mean 0.9", "third in a cone"])
+def test_recall_on_large_tables_of_any_shape(spark, kind):
+    """Of 20,000 vectors and 1,000 planted pairs of 0.951 to 0.96, 0.99 of all true links are found, whatever the common mean."""
+    rng = np.random.default_rng(21)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x, top = unit(rng.standard_normal((20_000, 64))), unit(rng.standard_normal(64))
+    mean = {"even": 0.0, "mean 0.85": 0.85, "mean 0.9": 0.9, "third in a cone": np.where(np.arange(20_000) % 3 == 0, 0.9, 0.0)[:, None]}[kind]
+    x = np.sqrt(mean) * top + np.sqrt(1 - mean) * unit(x - (x @ top)[:, None] * top)
+    c = rng.uniform(0.951, 0.96, size=(1000, 1))
+    e = rng.standard_normal((1000, 64))
+    e = unit(e - (e * x[:1000]).sum(1, keepdims=True) * x[:1000])
+    x = np.concatenate([x, c * x[:1000] + np.sqrt(1 - c * c) * e]).astype(np.float32)
+    got = near_duplicate_vectors(spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>"))
+    links = brute_force_links(unit(x.astype(float)))
+    found = got.agg(F.sum("n_links")).first()[0] / 2
+    assert 0.99 * len(links) <= found <= len(links)
+
+
 def test_large_groups_are_counted_tile_by_tile(spark, monkeypatch):
     import crestline.llm.embedding_dedup as e
 
@@ -167,6 +193,8 @@ def test_large_groups_are_counted_tile_by_tile(spark, monkeypatch):
 def test_edit_fingerprints(spark):
     import hashlib
 
+    import crestline.llm.edit_fingerprints as e
+
     rng = random.Random(10)
     texts = ["".join(rng.choice("abcdefgh é日") for _ in range(rng.randrange(200, 3000))) for _ in range(30)]
     rows = list(enumerate(texts)) + [(100, None), (101, ""), (102, "z"), (102, "z"), (103, texts[0]), (104, "long " * 40000)]
@@ -181,30 +209,76 @@ def test_edit_fingerprints(spark):
         h = len(t) // 2
         edited = t[: len(t) - h] + nxt[:h]
         assert hashlib.sha256(edited.encode()).hexdigest() in [r["edited_sha256"] for r in by[i]]
+        assert e._pack(e.fingerprints([edited])[0][:, 0])[0].hex() in [r["edited_fingerprint"] for r in by[i]]
         assert all(r["n_chars"] == len(t) for r in by[i])
     assert by[0][0]["fingerprint"] == by[103][0]["fingerprint"] != by[1][0]["fingerprint"]
     assert {r["fingerprint"] for i in (100, 101) for r in by[i]} == {"0" * 256}
     assert all(0.3 < by[i][0]["near_edited"] < 0.9 and by[i][0]["near_next"] < 0.3 for i in range(29))
+    assert by[0][0]["component_id"] == by[103][0]["component_id"] == 0 and by[1][0]["component_id"] == 1
     alone = edit_fingerprints(docs.filter("doc_id = 3")).collect()[0]
     assert alone["near_next"] == 1.0
     assert edit_fingerprints(docs.limit(0)).count() == 0
 
 
-def test_edit_fingerprints_do_not_depend_on_ranges(spark, monkeypatch):
+@pytest.mark.parametrize("one_id", [False, True])
+def test_edit_fingerprints_do_not_depend_on_ranges(spark, monkeypatch, one_id):
+    """Whatever the ranges: null ids, ids of over 53 bits, and a single id that fills all ranges."""
     import crestline.llm.edit_fingerprints as e
 
-    docs = spark.createDataFrame([(i if i % 17 else None, f"text {i} " * (i % 9), 1, 2, "x") for i in range(120)], DOCS)
-    cols = ["doc_id", "edited_sha256", "edited_fingerprint", "near_edited", "near_next"]
+    ids = lambda i: 7 if one_id else (1 << 60) + i * 999_999 if i % 17 else None
+    docs = spark.createDataFrame([(ids(i), f"text {i} " * (i % 9), 1, 2, "x") for i in range(120)], DOCS)
+    cols = ["doc_id", "edited_sha256", "edited_fingerprint", "near_edited", "near_next", "component_id"]
     whole = sorted(map(str, e.edit_fingerprints(docs).select(*cols).collect()))
-    monkeypatch.setattr(e, "BUCKET_ROWS", 5)
+    monkeypatch.setattr(e, "RANGE_BYTES", (200, 1 << 20))
+    _, _, times, nulls = e._ranges(e._text(docs))
+    assert times.sum() + nulls > 10
     assert sorted(map(str, e.edit_fingerprints(docs.repartition(6)).select(*cols).collect())) == whole
 
 
-def test_edits_stay_near_and_group(spark):
-    rng = random.Random(11)
-    base = ["".join(rng.choice("abcdefghij ") for _ in range(1500)) for _ in range(5)]
-    edited = [b[:700] + "##" + b[703:] for b in base]
-    docs = spark.createDataFrame([(i, t, 1, 2, "en") for i, t in enumerate(base + edited + base[:2])], DOCS)
-    got = {r["doc_id"]: r["component_id"] for r in near_components(docs).collect()}
-    assert all(got[i] == i for i in range(5)) and [got[10], got[11]] == [0, 1]
-    assert sum(got[5 + i] == i for i in range(5)) >= 3
+@pytest.mark.parametrize("which", [0, 2])
+def test_the_walk_against_a_plain_one(which):
+    import crestline.llm.edit_fingerprints as e
+
+    rng = random.Random(12)
+    for size in (0, 1, 7, 300):
+        text = "".join(rng.choice("abcé 日x") for _ in range(size))
+        codes, moves, j, steps, line = e._codes(text), e._BITS[which], 0, [], []
+        for c in codes.tolist():  # the definition: write the character at every step until its bit says to go on
+            steps.append(j)
+            while True:
+                line.append(c)
+                j += 1
+                if moves[(c * e._KINDS[which] & 0xFFFFFFFF) >> 28, (j - 1) % e.PERIOD]:
+                    break
+        (place, got, ends), _ = e.walk([codes, e._codes("other")], np.zeros(2, dtype=np.int64), e.WALKS) if size > 5 else [next(e.walk([codes], np.zeros(1, dtype=np.int64), e.WALKS)), None]
+        assert place == 0 and got[which].tolist() == steps and ends[which] == j
+        nibbles = e.sampled(codes, got[which], e.sampled_steps(ends)[which])
+        assert len(line) or not nibbles.any()
+        for k in range(e.SAMPLES if line else 0):
+            last = max(r for r in e._RECORDS[k].tolist() if r <= j)
+            mixed = ((line[last - 1] + 1) * int(e._SALT[k]) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 60
+            assert nibbles[k] == mixed
+
+
+def edited_copies(rng, words, at_once, count):
+    """Texts of words and copies of them with some words replaced."""
+    base = [[f"w{rng.randrange(9000)}" for _ in range(words)] for _ in range(count)]
+    copies = []
+    for text in base:
+        copy = list(text)
+        for at in rng.sample(range(words), at_once):
+            copy[at] = f"x{rng.randrange(9000)}"
+        copies.append(copy)
+    return [" ".join(t) for t in base], [" ".join(t) for t in copies]
+
+
+@pytest.mark.parametrize(("at_once", "least"), [(1, 0.97), (3, 0.92), (6, 0.85)])
+@pytest.mark.parametrize("chunk", [8192, 4])
+def test_recall_of_edited_copies(spark, at_once, least, chunk):
+    """Copies of 300 words with 1, 3 and 6 words replaced are found; other texts are left alone."""
+    base, copies = edited_copies(random.Random(13), 300, at_once, 150)
+    docs = spark.createDataFrame([(i, t, 1, 2, "en") for i, t in enumerate(base + copies + base[:2])], DOCS)
+    got = {r["doc_id"]: r["component_id"] for r in near_components(docs, chunk=chunk).collect()}
+    assert all(got[i] == i for i in range(150)) and [got[300], got[301]] == [0, 1]
+    assert all(got[150 + i] in (i, 150 + i) for i in range(150))
+    assert sum(got[150 + i] == i for i in range(150)) >= least * 150
