@@ -1,9 +1,11 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Document frequencies are counted over all training documents in the executors.  The
-classifier itself is fitted on a bounded hash sample of them (``SAMPLE`` rows a language)
-by follow-the-regularised-leader with elastic-net penalties, a fifth of the sample being held back to
-calibrate one temperature.  Prediction reads each whole text once; there is no shuffle.
+classifier itself is fitted on a bounded hash sample of them (``SAMPLE`` rows a language, ``ROWS`` in
+all) by follow-the-regularised-leader with elastic-net penalties, a fifth of the sample being held back to
+calibrate one temperature.  Executors turn the sample into features; the driver gets these alone.
+Every language is learned; one costs the driver half a megabyte.  Prediction reads each whole text
+once; there is no shuffle.
 """
 
 from __future__ import annotations
@@ -21,10 +23,8 @@ from crestline.llm._common import uniform60
 
 #: Hash buckets of character n-grams of 1 to 3 characters.
 DIMS = 1 << 15
-#: Expected training rows of a language: the bound of the sample the classifier is fitted on.
-SAMPLE = 600
-#: Distinct languages that are learned: the most frequent ones.
-LANGUAGES = 256
+#: Expected training rows of a language, and of all, that the classifier is fitted on; a language has one at least.
+SAMPLE, ROWS = 600, 12_000
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 2e-5, 1e-5
 UNKNOWN = "und"
 
@@ -138,30 +138,42 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+def features(rows: DataFrame, idf: np.ndarray) -> DataFrame:
+    """``lang, h, at, x``: the sparse TF-IDF rows of ``rows`` (``text, lang, h``), as bytes of 2 and 4 a value."""
+    shared = rows.sparkSession.sparkContext.broadcast(idf)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [tf_idf(t or "", shared.value) for t in batch["text"]]
+            at, x = [a.astype("<u2").tobytes() for a, _ in found], [v.astype("<f4").tobytes() for _, v in found]
+            yield pd.DataFrame({"lang": batch["lang"], "h": batch["h"], "at": at, "x": x})
+
+    return rows.mapInPandas(read, "lang string, h long, at binary, x binary")
+
+
 def train(docs: DataFrame, seed: str = "lang-1", sample: int = SAMPLE) -> LanguageModel:
     """Learn from all rows of ``docs`` (``doc_id``, ``text``, ``lang``) with a language.
 
-    Without any such row the model knows no language and predicts ``und`` for all.
+    A row is in the sample by a hash of its id and text, so null and repeated ids matter
+    no more than others; of equal rows one is taken.  Without any row with a language
+    the model knows none and predicts ``und`` for all.
     """
-    known = docs.filter(F.col("lang").isNotNull())
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    sizes = {r["lang"]: r["n"] for r in counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    languages = sorted(sizes)
+    known = docs.filter(F.col("lang").isNotNull()).select("text", F.col("lang").cast("string"), uniform60(seed, F.col("doc_id"), F.md5("text")).alias("h"))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).collect()
+    languages = sorted(r["lang"] for r in counts)
     if not languages:
         return LanguageModel([], np.zeros(DIMS), np.zeros((DIMS + 1, 0)))
     df, total = document_frequencies(known)
     idf = np.log((1 + total) / (1 + df)) + 1
-    h = uniform60(seed, F.col("doc_id"))
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample / sizes[k]))])
-    picked = (
-        known.select("text", "lang", h.alias("h"))
-        .filter(F.col("lang").isin(languages))
-        .filter(F.col("h") < share[F.col("lang")] * F.lit(2.0**60))
-    )
-    rows = sorted(picked.collect(), key=lambda r: (r["h"] % 1_000_003, r["h"], r["text"] or ""))
-    texts = [tf_idf(r["text"] or "", idf) for r in rows]
+    each = max(1, min(sample, ROWS // len(languages)))
+    below = {r["lang"]: max(r["least"] + 1, int(2**60 * min(1.0, each / r["n"]))) for r in counts}
+    limit = F.create_map(*[F.lit(x) for item in below.items() for x in item])
+    picked = known.filter(F.col("h") < limit[F.col("lang")]).dropDuplicates(["lang", "h"])
+    rows = sorted(features(picked, idf).collect(), key=lambda r: (r["h"] % 1_000_003, r["h"], r["lang"]))
+    texts = [(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(float)) for r in rows]
     labels = [languages.index(r["lang"]) for r in rows]
-    fit = [i for i in range(len(rows)) if i % 5 or len(rows) < 20]
+    first = {label: i for i, label in reversed([*enumerate(labels)])}
+    fit = [i for i, label in enumerate(labels) if i % 5 or len(rows) < 20 or i == first[label]]  # no language is held back whole
     weights = fit_ftrl([texts[i] for i in fit], [labels[i] for i in fit], len(languages))
     held = sorted({*range(len(rows))} - {*fit})
     logits = np.array([texts[i][1] @ weights[texts[i][0]] for i in held]).reshape(-1, len(languages))
@@ -200,9 +212,12 @@ def predict_languages(docs: DataFrame) -> DataFrame:
 def drop_unidentified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Rows of ``docs`` whose language is told with at least ``least`` certainty, all columns.
 
-    Rejected: texts that are null or have no letter (``und``), and texts between languages.
+    Rejected: texts that are null or have no letter (``und``), and texts between languages.  Where no row has a
+    language to learn from, only texts without a letter are rejected.
     """
     model = train(docs.filter(~held_out(F.col("doc_id"))))
+    if not model.languages:
+        return docs.filter(F.coalesce(F.regexp_count("text", F.lit(r"\p{L}")) > 0, F.lit(False)))
     told = F.col("__crestline_told")
     marked = docs.withColumn("__crestline_told", _predictor(docs, model))
     return marked.filter((told.lang_pred != UNKNOWN) & (told.score >= least)).drop("__crestline_told")
