@@ -109,6 +109,25 @@ def components(links: DataFrame, tail: int | None = None) -> DataFrame:
     return label
 
 
+def split_buckets(keyed: DataFrame, keys: list[str], item: str, chunk: int, may_split: bool = True) -> tuple[DataFrame, list[str]]:
+    """``keyed`` with buckets (``keys``) of over ``chunk`` items split into all pairs of chunks, and the columns that deal it out.
+
+    Any two items of a bucket meet in a pair of its chunks; an ``item`` is a column, ``c`` becomes its own chunk.
+    Without a large bucket (``may_split`` says that there can be one) the rows stay as they are.
+    """
+    if not may_split:
+        return keyed, keys
+    large = stage(keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > chunk))
+    if not large.take(1):
+        return keyed, keys
+    large = large.select(*keys, F.ceil(F.col("_n") / chunk).cast("int").alias("_m"))
+    own = F.pmod(F.xxhash64(item), F.col("_m")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("_m") - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    split = keyed.join(large, keys, "left").withColumn("_p", F.explode(F.when(F.col("_m").isNotNull(), pair).otherwise(whole)))
+    return split.select(*keyed.columns, "_p.i", "_p.j", F.coalesce(own, F.lit(0)).alias("c")), [*keys, "i", "j"]
+
+
 def runs(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """Whole runs of equal ``keys`` from the batches of a sorted partition.
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crestline.llm._common import row_hash, stage
-from crestline.llm._components import components, runs
+from crestline.llm._components import components, runs, split_buckets
 
 BITS, SHINGLE, SEED, RADIUS = 64, 4, 42, 4
 #: Fingerprints of a bucket that one task compares; larger buckets are split into pairs of chunks.
@@ -104,15 +104,7 @@ def covering_links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -
     task has the same bound at every size of the input.
     """
     keyed = nodes.select("fp", F.explode(covering_keys(F.col("fp"), radius)).alias("k")).select("fp", "k.t", "k.key")
-    keys = ["t", "key"]
-    large = stage(keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk)) if nodes.count() > chunk else None
-    if large is not None and large.take(1):
-        large = large.select(*keys, F.ceil(F.col("n") / chunk).cast("int").alias("m"))
-        own = F.pmod(F.xxhash64("fp"), F.col("m")).cast("int")
-        pair = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))
-        whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-        keyed = keyed.join(large, keys, "left").withColumn("p", F.explode(F.when(F.col("m").isNotNull(), pair).otherwise(whole)))
-        keyed, keys = keyed.select("fp", *keys, "p.i", "p.j"), [*keys, "i", "j"]
+    keyed, keys = split_buckets(keyed, ["t", "key"], "fp", chunk, nodes.count() > chunk)
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, edges in runs(batches, keys):
