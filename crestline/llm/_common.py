@@ -55,6 +55,11 @@ def unstage(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def buckets_for(rows: int) -> int:
+    """Hash buckets to rank so many rows in: some 4,096 rows each, so the bucket grows only beyond four billion rows."""
+    return min(max(256, rows >> 12), 1 << 20)
+
+
 def row_hash(df: DataFrame) -> Column:
     """A 64-bit hash of all columns of a row; maps, which have no hash, count as JSON."""
     quoted = [f"`{name.replace('`', '``')}`" for name in df.columns]

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm._common import attach, ranked, stage, uniform60
+from crestline.llm._common import attach, buckets_for, ranked, stage, uniform60
 
 #: Target entropy: this share of the way from the natural mix to the uniform one.
 EVENNESS = 0.5
@@ -24,7 +24,6 @@ EVENNESS = 0.5
 MAX_EPOCHS = 2.0
 #: Tokens of a block.
 BLOCK_TOKENS = 1 << 17
-BUCKETS = 1024
 _TOP = 2.0**60
 #: Points a bisection step looks at together, and steps: 16 ** 8 cells of the unit interval.
 _POINTS, _STEPS = 15, 8
@@ -35,6 +34,11 @@ def token_count(text):
     return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^ \t-\r]+")), F.lit(1)).cast("long")
 
 
+def _body():
+    """A text's CRC-32: with the id it tells rows apart in hashes."""
+    return F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+
+
 def _stratum():
     return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
 
@@ -77,7 +81,7 @@ def source_plan(docs: DataFrame, evenness: float = EVENNESS, max_epochs: float =
 
     ``docs`` has ``_stratum`` and ``tokens``.
     """
-    sources = stage(docs.groupBy("_stratum").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).coalesce(1))
+    sources = stage(docs.groupBy("_stratum").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")))
     total = sources.agg(F.sum("tokens")).first()[0] or 1
     alpha = temperature(sources, evenness, max_epochs)
     power = F.pow(F.col("tokens") / F.lit(float(total)), F.lit(alpha))
@@ -91,11 +95,12 @@ def source_plan(docs: DataFrame, evenness: float = EVENNESS, max_epochs: float =
 def _readings(rows: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
     """Each row once for every epoch its source reaches, with its hash in that epoch."""
     facts = plan.select("_stratum", F.col("tokens").alias("_have"), "weight", "alpha", "quota", "rows")
-    joined = attach(rows, facts, "_stratum", "rows", rows.count())
+    n = rows.count()
+    joined = attach(rows, facts, "_stratum", "rows", n)
     epochs = F.sequence(F.lit(0), F.ceil(F.col("quota") / F.col("_have")).cast("int") - 1)
     each = joined.withColumn("epoch", F.explode(epochs))
-    h = uniform60(seed, F.col("epoch"), F.col("doc_id"))
-    return each.withColumn("_h", h).withColumn("_b", F.floor(F.col("_h") / F.lit(_TOP) * BUCKETS).cast("int"))
+    h = uniform60(seed, F.col("epoch"), F.col("doc_id"), F.col("_c"))
+    return each.withColumn("_h", h).withColumn("_b", F.floor(F.col("_h") / F.lit(_TOP) * buckets_for(n)).cast("int"))
 
 
 def mix_schedule(
@@ -113,7 +118,7 @@ def mix_schedule(
     interchangeable.  No rows give no rows.  The last epoch of a source takes documents while
     tokens read before them are under its quota.
     """
-    rows = stage(docs.select("doc_id", _stratum().alias("_stratum"), token_count(F.col("text")).alias("tokens")))
+    rows = stage(docs.select("doc_id", _stratum().alias("_stratum"), token_count(F.col("text")).alias("tokens"), _body().alias("_c")))
     plan = stage(source_plan(rows, evenness, max_epochs))
     blocks = max(1, round((plan.agg(F.sum("quota")).first()[0] or 0) / block_tokens))
     each = _readings(rows, plan, seed).withColumn("_key", F.concat_ws(" ", F.col("epoch").cast("string"), "_stratum"))
@@ -122,7 +127,7 @@ def mix_schedule(
     at = F.col("epoch") * F.col("_have") + F.col("_before")
     taken = placed.withColumn("_at", at).filter(F.col("_at") < F.col("quota"))
     dealt = taken.withColumn("block", F.expr(f"CAST((_at * CAST({blocks} AS DECIMAL(20, 0))) div quota AS LONG)"))
-    dealt = dealt.withColumn("_h", uniform60(seed, F.col("block"), F.col("epoch"), F.col("doc_id"))).drop("_b", "_rank", "_total")
+    dealt = dealt.withColumn("_h", uniform60(seed, F.col("block"), F.col("epoch"), F.col("doc_id"), F.col("_c"))).drop("_b", "_rank", "_total")
     from pyspark.sql import Window as W
 
     order = W.partitionBy("block").orderBy("_h", "_stratum", F.col("doc_id").asc_nulls_first(), "epoch", "tokens")
@@ -143,10 +148,10 @@ def mix_documents(
 ) -> DataFrame:
     """``docs`` with each row repeated as often as the mix reads it; columns stay.
 
-    The rows and counts are those of :func:`mix_schedule`; rows that tie at a source's
-    last hash are all read.
+    The rows and counts are those of :func:`mix_schedule`; rows equal in id and text that are at
+    a source's end are all read.
     """
-    slim = stage(docs.select("doc_id", _stratum().alias("_stratum"), token_count(F.col("text")).alias("tokens")))
+    slim = stage(docs.select("doc_id", _stratum().alias("_stratum"), token_count(F.col("text")).alias("tokens"), _body().alias("_c")))
     plan = stage(source_plan(slim, evenness, max_epochs))
     each = _readings(slim, plan, seed).filter(F.col("epoch") == F.ceil(F.col("quota") / F.col("_have")) - 1)
     placed = ranked(each, "_b", [F.col("_h"), F.col("doc_id").asc_nulls_first(), F.col("tokens")], ["_stratum"], weight="tokens")
@@ -155,7 +160,7 @@ def mix_documents(
     facts = stage(plan.select("_stratum", "rows").join(edges, "_stratum").withColumnRenamed("_stratum", "__stratum"))
     marked = docs.withColumn("__stratum", _stratum())
     read = attach(marked, facts, "__stratum", "rows", slim.count())
-    h = uniform60(seed, F.col("__epoch"), F.col("doc_id"))
+    h = uniform60(seed, F.col("__epoch"), F.col("doc_id"), _body())
     times = F.col("__epoch") + F.when(h <= F.col("__last"), 1).otherwise(0)
     out = read.withColumn("__times", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
     return out.select(*docs.columns)

@@ -22,7 +22,7 @@ WITH {_CRC},
 rows AS (
   SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, crc AS text_crc32,
     coalesce('s' || source, 'n') AS stratum,
-    CAST('0x' || substr(md5('shards-1:' || coalesce(CAST(doc_id AS VARCHAR), '~')), 1, 15) AS BIGINT) AS h
+    CAST('0x' || substr(md5('shards-1:' || coalesce(CAST(doc_id AS VARCHAR), '~') || ':' || CAST(crc AS VARCHAR)), 1, 15) AS BIGINT) AS h
   FROM documents JOIN crcs ON body = coalesce(text, '')),
 within AS (
   SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id NULLS FIRST, text_crc32, size) - 1
@@ -36,6 +36,49 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST((r
 FROM whole
 """
 
+#: The exponent by halving, as both limits loosen while it grows; the rest are windows over the readings.
+OP2 = f"""
+WITH RECURSIVE {_CRC},
+rows AS (
+  SELECT doc_id, coalesce('s' || source, 'n') AS stratum, crc,
+    greatest(len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')), 1) AS tokens
+  FROM documents JOIN crcs ON body = coalesce(text, '')),
+sources AS (SELECT stratum, sum(tokens)::DOUBLE AS tokens, sum(tokens)::DOUBLE / (SELECT sum(tokens) FROM rows) AS q FROM rows GROUP BY stratum),
+target AS (SELECT -sum(q * ln(q)) + 0.5 * (ln(count(*)) + sum(q * ln(q))) AS entropy, min(q) AS least, max(q) AS most FROM sources),
+halving AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high
+  UNION ALL
+  SELECT step + 1, CASE WHEN held THEN low ELSE mid END, CASE WHEN held THEN mid ELSE high END
+  FROM (
+    SELECT h.*, (low + high) / 2 AS mid,
+      ln(z) - (low + high) / 2 * zl / z <= entropy + 1e-12 AND pow(least / most, (low + high) / 2 - 1) <= 2 + 1e-12 AS held
+    FROM halving h, target,
+      LATERAL (SELECT sum(pow(q, (h.low + h.high) / 2)) AS z, sum(pow(q, (h.low + h.high) / 2) * ln(q)) AS zl FROM sources) AS sums
+    WHERE step < 44)),
+chosen AS (
+  SELECT CASE WHEN ln(n) <= entropy + 1e-12 AND most / least <= 2 + 1e-12 THEN 0.0 ELSE round((SELECT high FROM halving WHERE step = 44), 6) END AS alpha
+  FROM target, (SELECT count(*) AS n FROM sources)),
+plan AS (
+  SELECT stratum, tokens, alpha, round(p / sum(p) OVER (), 9) AS weight,
+    greatest(CAST(round(p * max(tokens / p) OVER ()) AS BIGINT), CAST(tokens AS BIGINT)) AS quota
+  FROM (SELECT *, pow(q, alpha) AS p FROM sources, chosen)),
+blocks AS (SELECT CAST(greatest(1, round_even(sum(quota) / 131072.0, 0)) AS BIGINT) AS n FROM plan),
+readings AS (
+  SELECT r.*, CAST(p.tokens AS BIGINT) AS have, alpha, weight, quota, e.epoch,
+    CAST('0x' || substr(md5('mix-1:' || e.epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '~') || ':' || crc), 1, 15) AS BIGINT) AS h
+  FROM rows r JOIN plan p USING (stratum), LATERAL (SELECT unnest(range(0, CAST(ceil(quota::DOUBLE / p.tokens) AS BIGINT))) AS epoch) AS e),
+places AS (
+  SELECT *, epoch * have + coalesce(sum(tokens) OVER (PARTITION BY epoch, stratum ORDER BY h, doc_id NULLS FIRST, tokens
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  FROM readings),
+dealt AS (SELECT p.*, CAST((CAST(place AS HUGEINT) * n) // quota AS BIGINT) AS block FROM places p, blocks WHERE place < quota)
+SELECT doc_id, CASE WHEN stratum = 'n' THEN NULL ELSE substr(stratum, 2) END AS source, tokens, alpha, weight, CAST(epoch AS INTEGER) AS epoch, block,
+  row_number() OVER (PARTITION BY block ORDER BY
+    CAST('0x' || substr(md5('mix-1:' || block || ':' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '~') || ':' || crc), 1, 15) AS BIGINT),
+    stratum, doc_id NULLS FIRST, epoch, tokens) - 1 AS slot
+FROM dealt
+"""
+
 _LOG = ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in DEFAULT_LOG)
 
 OP8 = f"""
@@ -68,6 +111,7 @@ FROM captures c LEFT JOIN verdicts v ON v.page_id = c.page_id AND v.url = c.url
 """
 
 SQL = {
+    "op2_temperature_mixing": OP2,
     "op3_stratified_interleaving": OP3,
     "op8_url_temporal_lists": OP8,
 }
