@@ -12,10 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm._common import ranked, uniform60
+from crestline.llm._common import buckets_for, ranked, uniform60
 
-#: Hash buckets a source is ranked in, and fraction buckets the whole order is ranked in.
-BUCKETS = 4096
 _TOP = 2.0**60
 
 
@@ -24,23 +22,24 @@ def interleaved_shards(docs: DataFrame, shards: int = 16, seed: str = "shards-1"
 
     Reads ``doc_id``, ``text`` and ``source``; other columns are ignored, whatever their
     names.  A null text counts as empty (size 1, CRC 0); null sources form a source of
-    their own; a null ``doc_id`` hashes like a constant.  Repeated rows are dealt one by
-    one; rows equal in id and text are interchangeable.  No rows give no rows.  Shard
+    their own.  The order within a source is by a hash of id and text, so null and repeated ids
+    spread like others.  Repeated rows are dealt one by one; rows equal in id and text are interchangeable.  No rows give no rows.  Shard
     counts differ by at most one row; ``slot`` has no gaps.
     """
-    body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    buckets = buckets_for(docs.count())
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     rows = docs.select(
         "doc_id",
         (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"),
-        F.crc32(body).alias("text_crc32"),
+        crc.alias("text_crc32"),
         F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("_stratum"),
-        uniform60(seed, F.col("doc_id")).alias("_h"),
-    ).withColumn("_b", F.floor(F.col("_h") / F.lit(_TOP) * BUCKETS).cast("int"))
+        uniform60(seed, F.col("doc_id"), crc).alias("_h"),
+    ).withColumn("_b", F.floor(F.col("_h") / F.lit(_TOP) * buckets).cast("int"))
     tie = [F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")]
     within = ranked(rows, "_b", [F.col("_h"), *tie], ["_stratum"])
     offset = (uniform60(seed, F.col("_stratum")) + F.lit(0.5)) / F.lit(_TOP)
     placed = within.withColumn("_frac", (F.col("_rank") + offset) / F.col("_total")).drop("_rank", "_total", "_b")
-    placed = placed.withColumn("_b", F.least(F.floor(F.col("_frac") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+    placed = placed.withColumn("_b", F.least(F.floor(F.col("_frac") * buckets), F.lit(buckets - 1)).cast("int"))
     whole = ranked(placed, "_b", [F.col("_frac"), F.col("_stratum"), *tie])
     shard = F.expr(f"(_rank * {shards}) div _total")
     return whole.withColumn("_shard", shard).select(
