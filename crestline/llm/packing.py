@@ -1,7 +1,7 @@
 """Best-fit packing with the linear grouping scheme.
 
-Texts become token ids; a document over the limit is cut, its full pieces fill sequences
-of their own.  All other lengths are integers below the limit, so the whole packing
+Texts become token ids; a document over the limit is cut, its full pieces are sequences
+of their own, without a rank.  All other lengths are integers below the limit, so the whole packing
 problem is a histogram of at most ``limit`` counts: that alone goes to the driver.
 There the large lengths are sorted and split into groups of equal cardinality,
 each rounded up to its largest length; column generation finds the optimal fractional
@@ -24,13 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crestline.llm._common import ranked, stage
+from crestline.llm._common import buckets_for, ranked, stage
 
 LIMIT = 2048
 #: Lengths above this share of the limit are large.
 LARGE = 1 / 8
 GROUPS = 100
-RANK_BUCKETS = 256
 
 
 @lru_cache(maxsize=2)
@@ -179,11 +178,6 @@ class PackingPlan:
 
     def _pack_large(self, left: dict[int, int], groups: int) -> None:
         total = sum(left.values())
-        whole = left.pop(self.limit, 0)
-        if whole:
-            self._put(self.limit, self.sequences, 1, self.limit, whole)
-            self.sequences += whole
-        total -= whole
         if not total:
             return
         # Equal-cardinality groups of the descending lengths, each rounded up to its first.
@@ -241,11 +235,12 @@ class PackingPlan:
 def pack_pieces(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces (``doc_id``, ``piece``, ``length``).
 
-    Lengths must lie in 1 to ``limit``.  Equal pieces are interchangeable.  ``pieces`` is
-    read twice and should be a table.
+    Lengths must lie in 1 to ``limit``.  Equal pieces are interchangeable.  Sequences of one full
+    piece have numbers below zero.  ``pieces`` is read several times and must be a table.
     """
     counts = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
-    plan = PackingPlan({r["length"]: r["n"] for r in counts}, limit)
+    sizes = {r["length"]: r["n"] for r in counts}
+    plan = PackingPlan({n: c for n, c in sizes.items() if n != limit}, limit)
     steps = np.array(sorted(plan.intervals), dtype=np.int64).reshape(-1, 6)
     shared = pieces.sparkSession.sparkContext.broadcast(steps)
 
@@ -257,10 +252,13 @@ def pack_pieces(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
         k = r - t[at, 1]
         return pd.DataFrame({"sequence_id": t[at, 3] + k // t[at, 4], "offset": t[at, 5] + k % t[at, 4] * n})
 
-    keyed = pieces.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS)).cast("int"))
+    buckets = buckets_for(max((c for n, c in sizes.items() if n != limit), default=0))
+    keyed = pieces.filter(F.col("length") != limit).withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("piece"), F.col("ids_crc32")]
     placed = ranked(keyed, "_b", order, ["length"]).withColumn("_at", place("length", "_rank"))
-    return placed.select(*pieces.columns, "_at.sequence_id", "_at.offset")
+    # A full piece is a sequence of its own, whose number needs no rank: below zero, by its place in the table.
+    alone = pieces.filter(F.col("length") == limit).withColumn("sequence_id", -1 - F.monotonically_increasing_id())
+    return placed.select(*pieces.columns, "_at.sequence_id", "_at.offset").unionByName(alone.withColumn("offset", F.lit(0).cast("long")))
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = 0) -> DataFrame:
