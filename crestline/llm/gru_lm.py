@@ -8,8 +8,10 @@ the word within a head class, and a smoothed count ``(c + 1) / (N + V + 1)`` the
 tail class, with one place for all unseen words.  The model is thus a distribution over all
 words.
 
-Training is truncated backpropagation through time in numpy over a hash sample of ``SAMPLE``
-training documents, dealt over ``SHARDS`` tasks whose weights are averaged each round.
+Training is truncated backpropagation through time in numpy over all training documents: each
+of ``ROUNDS`` rounds reads one part of them, every task trains on the rows of its own partition from
+the same weights, and the weights are averaged by tokens in a tree.  So what is learned from grows
+with the input, and so does the number of tasks.
 Scoring reads every whole text: documents advance in lockstep in windows of ``WINDOW`` tokens,
 their states carried from window to window.  Counts of words among the ``HOT`` most frequent
 are looked up in a broadcast table of that size; the other words go through a join, in
@@ -18,6 +20,7 @@ which, by that choice, no word is frequent.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,14 +32,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crestline.llm._common import stage, uniform60
+from crestline.llm._common import stage, unstage
 
-HEAD, HEAD_CLASSES, TAIL_CLASSES, HIDDEN = 1024, 32, 32, 24
+HEAD, HEAD_CLASSES, TAIL_CLASSES, HIDDEN = 576, 24, 16, 16
 #: Words whose counts are broadcast.
 HOT = 100_000
-#: Expected training documents of the network: the bound of its sample.
-SAMPLE, SHARDS, ROUNDS = 4096, 8, 3
-STREAMS, WINDOW, RATE = 64, 24, 0.02
+#: Parts of the training documents, one a round, and the least updates a task makes in a round: a task with
+#: few tokens reads them again until it has made so many.
+ROUNDS, UPDATES = 4, 100
+#: Tokens that a task lays out at a time, most streams they are cut into, and steps of a window.
+TOKENS, STREAMS, WINDOW, RATE = 1 << 21, 512, 24, 0.02
 #: Distinct words a counting task holds before it hands them on.
 FLUSH = 200_000
 #: Documents of an output frame of scoring, and rows of a slice of output logits.
@@ -136,14 +141,18 @@ class GRU:
     def pack(self) -> np.ndarray:
         return np.concatenate([self.params[k].ravel() for k in self.shapes()])
 
-    def step(self, h: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """State after reading ``token``, and what the way back needs."""
-        p, n = self.params, HIDDEN
-        x, u = p["x"][token], h @ p["u"]
-        g = 1 / (1 + np.exp(-(x[:, : 2 * n] + u[:, : 2 * n])))
-        z, r = g[:, :n], g[:, n:]
-        cand = np.tanh(x[:, 2 * n :] + r * u[:, 2 * n :])
-        return cand + z * (h - cand), (h, token, z, r, cand, u[:, 2 * n :])
+    def step(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """State after reading ``token``."""
+        n = HIDDEN
+        x, u = np.take(self.params["x"], token, axis=0), h @ self.params["u"]
+        cand = x[:, 2 * n :]
+        u[:, 2 * n :] *= _gated(x, u)
+        cand += u[:, 2 * n :]
+        np.tanh(cand, out=cand)
+        out = h - cand
+        out *= x[:, :n]
+        out += cand
+        return out
 
     def log_probs(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Natural log of P(class) and, for head tokens, of P(class) P(word in class)."""
@@ -151,90 +160,167 @@ class GRU:
         for lo in range(0, len(token), SLICE):
             logits = h[lo : lo + SLICE] @ self.params["c"][:-1] + self.params["c"][-1]
             out[lo : lo + SLICE] = _log_softmax_at(logits, kind[lo : lo + SLICE])
-        for k in range(HEAD_CLASSES):
-            at = np.flatnonzero(token // _EACH == k)
-            if len(at):
-                w = self.params["w"][k]
-                out[at] += _log_softmax_at(h[at] @ w[:-1] + w[-1], token[at] % _EACH)
+        order = np.argsort(token, kind="stable")
+        edges = np.searchsorted(token[order], np.arange(0, HEAD + 1, _EACH))
+        for k in np.flatnonzero(np.diff(edges)):
+            at, w = order[edges[k] : edges[k + 1]], self.params["w"][k]
+            out[at] += _log_softmax_at(h[at] @ w[:-1] + w[-1], token[at] % _EACH)
         return out
 
 
+def _gated(x: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Turn the first two thirds of ``x`` into the gates of the inputs ``x + u``; the second gate."""
+    gates = x[:, : 2 * HIDDEN]
+    gates += u[:, : 2 * HIDDEN]
+    np.negative(gates, out=gates)
+    np.minimum(gates, _TOP, out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    return gates[:, HIDDEN:]
+
+
 def classes_of(token: np.ndarray) -> np.ndarray:
     return np.where(token < HEAD, token // _EACH, token - HEAD + HEAD_CLASSES)
 
 
 def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = logits.max(axis=1)
-    total = np.exp(logits - top[:, None]).sum(axis=1)
-    return logits[np.arange(len(at)), at] - top - np.log(total)
+    """Log probabilities of the places ``at``; ``logits`` is overwritten."""
+    np.minimum(logits, _TOP, out=logits)
+    own = logits[np.arange(len(at)), at]
+    np.exp(logits, out=logits)
+    return own - np.log(logits.sum(axis=1))
+
+
+def _softmax_error(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Probabilities less the places ``at``, in the place of ``logits``."""
+    np.minimum(logits, _TOP, out=logits)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    logits[np.arange(len(at)), at] -= 1
+    return logits
 
 
 _START = HEAD + TAIL_CLASSES
+#: Logits above this count as this: their exponentials stay far within single precision.
+_TOP = np.float32(60)
+
 
+def window_gradients(model: GRU, h: np.ndarray, before: np.ndarray, target: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Sums of the gradients of the log loss over one window, and the states after it.
 
-def train_shard(flat: np.ndarray, docs: list[np.ndarray], seed: int) -> np.ndarray:
-    """One pass of truncated backpropagation over documents laid end to end in streams."""
-    model, n = GRU.unpack(flat), HIDDEN
-    p = model.params
-    order = np.random.default_rng(seed).permutation(len(docs))
-    line = np.concatenate([docs[i] for i in order])
-    steps = len(line) // STREAMS
-    if steps < 2:
-        return flat
-    grid = line[: steps * STREAMS].reshape(STREAMS, steps).T
-    first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    h, before, update = np.zeros((STREAMS, n), dtype=np.float32), np.full(STREAMS, _START), 0
-    for t0 in range(0, steps, WINDOW):
-        target = grid[t0 : t0 + WINDOW]
-        states, tapes = [], []
-        for t in range(len(target)):
-            ended = before == 0  # token 0 is the end of a document: the next one starts afresh
-            if ended.any():
-                h = h * ~ended[:, None]
-                before = np.where(ended, _START, before)
-            h, tape = model.step(h, before)
-            states.append(h)
-            tapes.append((tape, ended))
-            before = target[t]
-        grad = {k: np.zeros_like(v) for k, v in p.items()}
-        flat_h, flat_t = np.concatenate(states), target.reshape(-1)
-        dh_all = np.zeros_like(flat_h)
-        logits = flat_h @ p["c"][:-1] + p["c"][-1]
-        e = np.exp(logits - logits.max(axis=1, keepdims=True))
-        d = e / e.sum(axis=1, keepdims=True)
-        d[np.arange(len(flat_t)), classes_of(flat_t)] -= 1
-        grad["c"][:-1], grad["c"][-1] = flat_h.T @ d, d.sum(0)
-        dh_all += d @ p["c"][:-1].T
-        for k in range(HEAD_CLASSES):
-            at = np.flatnonzero(flat_t // _EACH == k)
-            if len(at):
-                w = p["w"][k]
-                logits = flat_h[at] @ w[:-1] + w[-1]
-                e = np.exp(logits - logits.max(axis=1, keepdims=True))
-                d = e / e.sum(axis=1, keepdims=True)
-                d[np.arange(len(at)), flat_t[at] % _EACH] -= 1
-                grad["w"][k, :-1], grad["w"][k, -1] = flat_h[at].T @ d, d.sum(0)
-                dh_all[at] += d @ w[:-1].T
-        carry = np.zeros((STREAMS, n), dtype=np.float32)
-        for t in range(len(target) - 1, -1, -1):
-            (h0, token, z, r, cand, uc), ended = tapes[t]
-            dh = dh_all[t * STREAMS : (t + 1) * STREAMS] + carry
-            dcand = dh * (1 - z) * (1 - cand * cand)
-            dz = dh * (h0 - cand) * z * (1 - z)
-            dr = dcand * uc * r * (1 - r)
-            du = np.concatenate([dz, dr, dcand * r], axis=1)
-            np.add.at(grad["x"], token, np.concatenate([dz, dr, dcand], axis=1))
-            grad["u"] += h0.T @ du
-            carry = (dh * z + du @ p["u"].T) * ~ended[:, None]
-        update += 1
-        size = len(flat_t)
-        for k in p:
-            g = grad[k] / size
-            np.clip(g, -0.1, 0.1, out=g)
-            first[k] += 0.1 * (g - first[k])
-            second[k] += 0.001 * (g * g - second[k])
-            p[k] -= RATE * (first[k] / (1 - 0.9**update)) / (np.sqrt(second[k] / (1 - 0.999**update)) + 1e-6)
-    return model.pack()
+    ``h`` are the states ahead of it, a row a stream, ``before`` the tokens read last and ``target`` the tokens
+    to be told, a row a step.  A stream starts afresh after token 0, the end of a document.
+    """
+    p, n, (steps, streams) = model.params, HIDDEN, target.shape
+    token = np.vstack([before, target[:-1]])
+    ended = token == 0
+    fresh = ended.any(axis=1)
+    token[ended] = _START
+    gates = np.take(p["x"], token.ravel(), axis=0).reshape(steps, streams, 3 * n)  # in the end: z, r and the candidate
+    ahead, inner, after = (np.empty((steps, streams, n), dtype=np.float32) for _ in range(3))
+    u = np.empty((streams, 3 * n), dtype=np.float32)
+    for t in range(steps):
+        np.copyto(ahead[t], h)
+        if fresh[t]:
+            ahead[t][ended[t]] = 0
+        np.matmul(ahead[t], p["u"], out=u)
+        np.copyto(inner[t], u[:, 2 * n :])
+        u[:, 2 * n :] *= _gated(gates[t], u)
+        gates[t, :, 2 * n :] += u[:, 2 * n :]
+        np.tanh(gates[t, :, 2 * n :], out=gates[t, :, 2 * n :])
+        h = after[t]
+        np.subtract(ahead[t], gates[t, :, 2 * n :], out=h)
+        h *= gates[t, :, :n]
+        h += gates[t, :, 2 * n :]
+    flat_h, flat_t = after.reshape(-1, n), target.reshape(-1)
+    grad = {"w": np.zeros_like(p["w"]), "x": np.zeros_like(p["x"])}
+    d = _softmax_error(flat_h @ p["c"][:-1] + p["c"][-1], classes_of(flat_t))
+    grad["c"] = np.vstack([flat_h.T @ d, d.sum(0)])
+    dh = d @ p["c"][:-1].T
+    order = np.argsort(flat_t, kind="stable")
+    edges = np.searchsorted(flat_t[order], np.arange(0, HEAD + 1, _EACH))
+    for k in np.flatnonzero(np.diff(edges)):
+        at, w = order[edges[k] : edges[k + 1]], p["w"][k]
+        own = flat_h[at]
+        d = _softmax_error(own @ w[:-1] + w[-1], flat_t[at] % _EACH)
+        grad["w"][k, :-1], grad["w"][k, -1] = own.T @ d, d.sum(0)
+        dh[at] += d @ w[:-1].T
+    z, r, cand = gates[..., :n], gates[..., n : 2 * n], gates[..., 2 * n :]
+    dh, way = dh.reshape(steps, streams, n), np.empty((steps, streams, 3, n), dtype=np.float32)
+    of_cand = (1 - z) * (1 - cand * cand)
+    np.multiply((ahead - cand) * z, 1 - z, out=way[:, :, 0])
+    np.multiply(of_cand * inner * r, 1 - r, out=way[:, :, 1])
+    np.multiply(of_cand, r, out=way[:, :, 2])
+    back = np.ascontiguousarray(p["u"].T)
+    for t in range(steps - 1, -1, -1):
+        way[t] *= dh[t][:, None]
+        if t:
+            carry = way[t].reshape(streams, 3 * n) @ back
+            carry += dh[t] * z[t]
+            if fresh[t]:
+                carry[ended[t]] = 0
+            dh[t - 1] += carry
+    grad["u"] = ahead.reshape(-1, n).T @ way.reshape(-1, 3 * n)
+    np.multiply(of_cand, dh, out=way[:, :, 2])
+    flat_x = token.ravel()
+    order = np.argsort(flat_x, kind="stable")
+    ranked = flat_x[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    grad["x"][ranked[first]] = np.add.reduceat(way.reshape(-1, 3 * n)[order], first, axis=0)
+    return grad, h
+
+
+class Trainer:
+    """Adam over windows of truncated backpropagation, from given weights."""
+
+    def __init__(self, flat: np.ndarray):
+        self.model, self.update = GRU.unpack(flat), 0
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in self.model.params.items()} for _ in range(2))
+
+    def read(self, line: np.ndarray) -> None:
+        """One pass over documents laid end to end, cut into streams that are read side by side."""
+        streams = int(min(STREAMS, max(8, len(line) // (WINDOW * UPDATES))))
+        steps = len(line) // streams
+        if steps < 2:
+            return
+        grid = np.ascontiguousarray(line[: steps * streams].reshape(streams, steps).T)
+        h, before = np.zeros((streams, HIDDEN), dtype=np.float32), np.full(streams, _START)
+        for t0 in range(0, steps, WINDOW):
+            target = grid[t0 : t0 + WINDOW]
+            grad, h = window_gradients(self.model, h, before, target)
+            before = target[-1]
+            self.move(grad, target.size)
+
+    def move(self, grad: dict[str, np.ndarray], size: int) -> None:
+        self.update += 1
+        for k, p in self.model.params.items():
+            g = np.clip(grad[k] / np.float32(size), -0.1, 0.1)
+            self.first[k] += 0.1 * (g - self.first[k])
+            self.second[k] += 0.001 * (g * g - self.second[k])
+            p -= RATE * (self.first[k] / (1 - 0.9**self.update)) / (np.sqrt(self.second[k] / (1 - 0.999**self.update)) + 1e-6)
+
+
+def train_shard(flat: np.ndarray, lines: Iterator[np.ndarray]) -> tuple[np.ndarray, int]:
+    """Weights after all ``lines`` (token ids of documents, each with its end), and the tokens read.
+
+    Some ``TOKENS`` tokens are held at a time; where these are all and few, they are read again.
+    """
+    trainer, tokens, held, size, line = Trainer(flat), 0, [], 0, np.zeros(0, dtype=np.int64)
+    for own in lines:
+        held.append(own)
+        size += len(own)
+        if size >= TOKENS:
+            line = np.concatenate(held)
+            trainer.read(line)
+            tokens, held, size = tokens + size, [], 0
+    if size:
+        line = np.concatenate(held)
+        trainer.read(line)
+        tokens += size
+    while 0 < trainer.update < UPDATES:
+        trainer.read(line)
+    return trainer.model.pack(), tokens
 
 
 @dataclass
@@ -280,18 +366,43 @@ def frequent(counts: DataFrame, most: int = HOT) -> DataFrame:
     return counts.filter(F.col("seen") >= least)
 
 
-def _fitter(shared, turn: int):
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        known, flat = shared.value
-        rows = group.sort_values(["_h", "text"])
-        lines = [np.append(known.places(words_of(t))[1], 0) for t in rows["text"]]
-        return pd.DataFrame({"weights": [train_shard(flat, lines, turn).astype("<f4").tobytes()], "n": [sum(map(len, lines))]})
+def _averaged(parts: DataFrame) -> DataFrame:
+    """One row ``weights, n`` a partition of ``parts``: the sum of weights times tokens, and the tokens."""
 
-    return fit
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, tokens = 0.0, 0
+        for batch in batches:
+            for weights, n in zip(batch["weights"], batch["n"], strict=True):
+                total = total + np.frombuffer(weights, "<f4").astype(float) * n
+                tokens += n
+        if tokens:
+            yield pd.DataFrame({"weights": [total.tobytes()], "n": [tokens]})
+
+    return parts.mapInPandas(add, "weights binary, n long")
+
+
+def _round(known: DataFrame, shared, turn: int) -> np.ndarray | None:
+    """The mean of the weights that the tasks have come to on one part of the documents."""
 
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, flat = shared.value
+        lines = (np.append(model.places(words_of(t))[1], 0) for batch in batches for t in batch["text"])
+        weights, tokens = train_shard(flat, lines)
+        if tokens:
+            yield pd.DataFrame({"weights": [weights.astype("<f4").tobytes()], "n": [tokens]})
 
-def learn(docs: DataFrame, counts: DataFrame, seed: str = "lm-1") -> LanguageModel:
-    """Word tables from ``counts`` (a table), and the network from a sample of ``docs`` (``doc_id``, ``text``, ``train``)."""
+    part = known.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == turn).select("text")
+    parts = stage(part.mapInPandas(fit, "weights binary, n long"))
+    tree = max(1, math.isqrt(parts.count()))
+    sums = _averaged(parts.repartition(tree)).collect()  # the root of the number of tasks
+    unstage(parts)
+    if not sums:
+        return None
+    return (sum(np.frombuffer(r["weights"], "<f8") for r in sorted(sums, key=lambda r: bytes(r["weights"]))) / sum(r["n"] for r in sums)).astype(np.float32)
+
+
+def learn(docs: DataFrame, counts: DataFrame) -> LanguageModel:
+    """Word tables from ``counts`` (a table), and the network from the training rows of ``docs`` (``doc_id``, ``text``, ``train``)."""
     total, distinct = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     hot = frequent(counts.filter(F.col("word") != END)).collect()
     ends = counts.filter(F.col("word") == END).agg(F.sum("c")).first()[0] or 0
@@ -324,18 +435,11 @@ def learn(docs: DataFrame, counts: DataFrame, seed: str = "lm-1") -> LanguageMod
         words,
     )
     network = GRU.fresh(np.array([ends, *(r["c"] for r in head)], dtype=float), tokens).pack()
-    known = docs.filter(F.col("train"))
-    n = known.count()
-    picked = known.withColumn("_h", uniform60(seed, F.col("doc_id"))).filter(F.col("_h") < F.lit(2.0**60 * min(1.0, SAMPLE / max(1, n))))
-    sample = stage(picked.select("text", "_h", F.pmod(F.col("_h"), F.lit(SHARDS)).cast("int").alias("shard")))
     for turn in range(ROUNDS):
         shared = docs.sparkSession.sparkContext.broadcast((model, network))
-
-        parts = sample.groupBy("shard").applyInPandas(_fitter(shared, turn), "weights binary, n long").collect()  # SHARDS rows
-        if parts:
-            parts.sort(key=lambda r: bytes(r["weights"]))
-            sizes = np.array([r["n"] for r in parts], dtype=float)
-            network = (np.stack([np.frombuffer(r["weights"], "<f4") for r in parts]).astype(np.float64) * (sizes / sizes.sum())[:, None]).sum(0).astype(np.float32)
+        told = _round(docs.filter("train"), shared, turn)
+        network = network if told is None else told
+        shared.unpersist()
     model.network = network
     return model
 
@@ -361,7 +465,7 @@ def network_scores(model: LanguageModel, docs: list[np.ndarray], most: int = 409
                 b = int(np.searchsorted(-sizes[:a], -(t0 + t), side="left"))
                 if not b:
                     break
-                h[:b], _ = net.step(h[:b], before[:b])
+                h[:b] = net.step(h[:b], before[:b])
                 states.append(h[:b].copy())
                 tokens.append(block[:b, t])
                 owners.append(np.arange(b))

@@ -56,6 +56,83 @@ def test_without_languages_all_are_unknown(spark):
     got = language_id.predict_languages(docs(spark, [(1, "some text", None, "s"), (2, None, None, None)])).collect()
     assert {r["lang_pred"] for r in got} == {"und"}
     assert language_id.predict_languages(docs(spark, [])).count() == 0
+    kept = language_id.drop_unidentified(docs(spark, [(1, "some text", None, "s"), (2, None, None, None), (3, "12 !", None, "s")]))
+    assert [r["doc_id"] for r in kept.collect()] == [1]
+
+
+@pytest.mark.parametrize("doc_id", [None, 4])
+def test_null_and_repeated_ids_are_learned_from(spark, monkeypatch, doc_id):
+    """All rows share one id, and a hash sample of a few rows a language still holds every language."""
+    monkeypatch.setattr(language_id.train, "__defaults__", ("lang-1", 40))
+    rng = random.Random(14)
+    rows = [(doc_id, invented(rng, lang := rng.choice(["aa", "bb", "cc"]), rng.randrange(8, 60)), lang, "s") for _ in range(400)]
+    rows += [(doc_id, "zz zyzz zzy " * 9, "zz", "s")] * 300
+    d = docs(spark, rows)
+    told = d.select("lang", language_id._predictor(d, language_id.train(d)).alias("t")).select("lang", "t.lang_pred").collect()
+    assert {r["lang_pred"] for r in told} == {"aa", "bb", "cc", "zz"}
+    assert sum(r["lang"] == r["lang_pred"] for r in told) > 0.97 * len(told)
+
+
+def test_many_languages_are_all_learned(spark):
+    rows = [(3 * i, f"{chr(0x4E00 + i)}{chr(0x4E00 + i)} " * 5, f"l{i}", "s") for i in range(300) for _ in range(2)]
+    model = language_id.train(docs(spark, rows))
+    assert len(model.languages) == 300
+    assert sum(model.predict(t)[0] == lang for _, t, lang, _ in rows) > 0.95 * len(rows)
+
+
+def plain_ftrl(rows, labels, classes):
+    """Coordinate by coordinate, as published: alpha, beta, L1 and L2 per coordinate and class."""
+    z, n = ([[0.0] * classes for _ in range(language_id.DIMS + 1)] for _ in range(2))
+    e = language_id
+
+    def weight(i, k):
+        if abs(z[i][k]) <= e.L1:
+            return 0.0
+        return -(z[i][k] - math.copysign(e.L1, z[i][k])) / ((e.BETA + math.sqrt(n[i][k])) / e.ALPHA + e.L2)
+
+    for _ in range(e.EPOCHS):
+        for (at, x), label in zip(rows, labels, strict=True):
+            w = {(i, k): weight(i, k) for i in at for k in range(classes)}
+            scores = [sum(v * w[i, k] for i, v in zip(at, x, strict=True)) for k in range(classes)]
+            total = sum(math.exp(s) for s in scores)
+            for i, v in zip(at, x, strict=True):
+                for k in range(classes):
+                    g = v * (math.exp(scores[k]) / total - (k == label))
+                    sigma = (math.sqrt(n[i][k] + g * g) - math.sqrt(n[i][k])) / e.ALPHA
+                    z[i][k] += g - sigma * w[i, k]
+                    n[i][k] += g * g
+    return {(i, k): weight(i, k) for at, _ in rows for i in at for k in range(classes)}
+
+
+def test_follow_the_leader_and_features_against_plain_forms():
+    texts = ["ka lo mi", "schung ein", "que oux lle", "mi tu re ka", "keit ber", "eau tion que"]
+    rng = np.random.default_rng(15)
+    idf = rng.uniform(1, 4, language_id.DIMS)
+    rows = [language_id.tf_idf(t, idf) for t in texts]
+    for t, (at, x) in zip(texts, rows, strict=True):  # TF-IDF by definition
+        grams = Counter()
+        for size in (1, 2, 3):
+            for i in range(len(t) - size + 1):
+                h = 0
+                for c in t[i : i + size]:
+                    h = (h * 0x100000001B3 + ord(c)) & (1 << 64) - 1
+                grams[(h * int(language_id._MIX[size - 1]) & (1 << 64) - 1) >> 49] += 1
+        raw = {b: (1 + math.log(c)) * idf[b] for b, c in grams.items()}
+        norm = math.sqrt(sum(v * v for v in raw.values()))
+        assert dict(zip(at.tolist(), x.tolist(), strict=True)) == pytest.approx({b: v / norm for b, v in raw.items()} | {language_id.DIMS: 1.0})
+    labels = [0, 1, 2, 0, 1, 2]
+    got = language_id.fit_ftrl(rows, labels, 3)
+    for (i, k), w in plain_ftrl([(at.tolist(), x.tolist()) for at, x in rows], labels, 3).items():
+        assert got[i, k] == pytest.approx(w, abs=1e-9)
+
+
+def test_the_temperature_is_the_best_of_a_grid():
+    rng = np.random.default_rng(17)
+    logits = rng.standard_normal((400, 4)) * 5
+    labels = np.array([rng.choice(4, p=language_id.softmax(z / 2.5)) for z in logits])
+    loss = lambda t: -sum(math.log(language_id.softmax(z / t)[y]) for z, y in zip(logits, labels, strict=True))
+    found = language_id.fit_temperature(logits, labels)
+    assert loss(found) <= min(loss(t) for t in np.exp(np.linspace(-3, 3, 121))) + 1e-6
 
 
 def test_follow_the_leader_separates_and_prunes():
@@ -111,13 +188,73 @@ def test_the_network_learns_order(spark):
     assert held and sum(r["score"] for r in held) > 0.75 * sum(r["base_score"] for r in held)
 
 
+def plain_log_probability(p, line):
+    """Natural log probability of one document under the network, word by word, by definition."""
+    n, h, before, total = gru_lm.HIDDEN, np.zeros(gru_lm.HIDDEN), gru_lm._START, 0.0
+    p = {k: v.astype(float) for k, v in p.items()}
+    for token in line.tolist():
+        x, u = p["x"][before], h @ p["u"]
+        z, r = (1 / (1 + np.exp(-(x[i * n : (i + 1) * n] + u[i * n : (i + 1) * n]))) for i in (0, 1))
+        cand = np.tanh(x[2 * n :] + r * u[2 * n :])
+        h = z * h + (1 - z) * cand
+        kind = token // gru_lm._EACH if token < gru_lm.HEAD else token - gru_lm.HEAD + gru_lm.HEAD_CLASSES
+        logits = h @ p["c"][:-1] + p["c"][-1]
+        total += logits[kind] - np.log(np.exp(logits).sum())
+        if token < gru_lm.HEAD:
+            logits = h @ p["w"][kind, :-1] + p["w"][kind, -1]
+            total += logits[token % gru_lm._EACH] - np.log(np.exp(logits).sum())
+        before = token
+    return total
+
+
+def test_scores_against_a_plain_forward_pass():
+    rng = np.random.default_rng(16)
+    model = gru_lm.GRU.fresh(rng.integers(1, 90, gru_lm.HEAD).astype(float), np.ones(gru_lm.TAIL_CLASSES))
+    lines = [np.append(rng.integers(1, gru_lm._START, size=n), 0) for n in (0, 5, 40, 90)]
+    assert np.allclose(gru_lm.network_scores(_lm(model.pack()), lines), [plain_log_probability(model.params, x) for x in lines], rtol=1e-4)
+
+
 def test_gradients_by_differences():
+    """The way back against central differences of a plain forward pass, weights of every kind."""
     rng = np.random.default_rng(6)
     model = gru_lm.GRU.fresh(np.ones(20) * 5, np.ones(gru_lm.TAIL_CLASSES))
-    line = [rng.integers(1, 20, size=400) for _ in range(8)]
+    lines = np.stack([rng.integers(1, 20, size=12) for _ in range(3)])
+    lines[:, 3] = gru_lm.HEAD + 5
+    lines[1, 5] = 0  # a document ends within the window: what follows starts afresh
+    got, h = gru_lm.window_gradients(model, np.zeros((3, gru_lm.HIDDEN), dtype=np.float32), np.full(3, gru_lm._START), np.ascontiguousarray(lines.T))
+    assert h.shape == (3, gru_lm.HIDDEN)
+    lines = [lines[0], lines[1][:6], lines[1][6:], lines[2]]
+    loss = lambda p: -sum(plain_log_probability(p, x) for x in lines)
+    for k, grad in got.items():
+        places = [np.unravel_index(i, grad.shape) for i in np.argsort(-np.abs(grad).ravel())[rng.integers(0, 60, 6)]]
+        for at in places:
+            sides = []
+            for e in (1e-4, -1e-4):
+                moved = {n: v.astype(float) for n, v in model.params.items()}
+                moved[k][at] += e
+                sides.append(loss(moved))
+            assert grad[at] == pytest.approx((sides[0] - sides[1]) / 2e-4, rel=2e-2, abs=2e-3)
+
+
+def test_training_lowers_the_loss_and_reads_all_parts():
+    rng = np.random.default_rng(6)
+    model = gru_lm.GRU.fresh(np.ones(20) * 5, np.ones(gru_lm.TAIL_CLASSES))
+    line = [np.append(rng.integers(1, 20, size=400), 0) for _ in range(8)]
     before = gru_lm.network_scores(_lm(model.pack()), line).sum()
-    after = gru_lm.network_scores(_lm(gru_lm.train_shard(model.pack(), [np.append(x, 0) for x in line], 1)), line).sum()
-    assert after > before
+    flat, tokens = gru_lm.train_shard(model.pack(), iter(line))
+    assert tokens == 8 * 401
+    assert gru_lm.network_scores(_lm(flat), line).sum() > before
+    assert gru_lm.train_shard(model.pack(), iter([]))[1] == 0
+
+
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_rows_that_share_an_id_are_learned_from(spark, doc_id):
+    """The network trains whatever the ids are: order is learned from rows without one, and from rows of one id."""
+    cycle = [f"w{i}" for i in range(12)]
+    rng = random.Random(5)
+    rows = [(doc_id, " ".join(cycle[(k + at) % 12] for k in range(120)), "x", "s") for at in (rng.randrange(12) for _ in range(250))]
+    got = gru_lm.score_documents(docs(spark, rows)).collect()
+    assert sum(r["score"] for r in got) > 0.75 * sum(r["base_score"] for r in got)
 
 
 def _lm(flat):
