@@ -141,18 +141,14 @@ class GRU:
     def pack(self) -> np.ndarray:
         return np.concatenate([self.params[k].ravel() for k in self.shapes()])
 
-    def step(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """State after reading ``token``."""
-        n = HIDDEN
-        x, u = np.take(self.params["x"], token, axis=0), h @ self.params["u"]
-        cand = x[:, 2 * n :]
-        u[:, 2 * n :] *= _gated(x, u)
-        cand += u[:, 2 * n :]
-        np.tanh(cand, out=cand)
-        out = h - cand
-        out *= x[:, :n]
-        out += cand
-        return out
+    def layers(self) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs and recurrence by gate, each gate's block in one piece: update, reset, candidate."""
+        return tuple(np.ascontiguousarray(self.params[k].reshape(-1, 3, HIDDEN).swapaxes(0, 1)) for k in ("x", "u"))
+
+    def step(self, layers: tuple[np.ndarray, np.ndarray], h: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """State after reading ``token``, given :meth:`layers`."""
+        x, u = np.take(layers[0], token, axis=1), h @ layers[1]
+        return _moved(x, u, h)
 
     def log_probs(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Natural log of P(class) and, for head tokens, of P(class) P(word in class)."""
@@ -168,16 +164,21 @@ class GRU:
         return out
 
 
-def _gated(x: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Turn the first two thirds of ``x`` into the gates of the inputs ``x + u``; the second gate."""
-    gates = x[:, : 2 * HIDDEN]
-    gates += u[:, : 2 * HIDDEN]
+def _moved(x: np.ndarray, u: np.ndarray, h: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """The next state from inputs and recurrence by gate; ``x`` becomes the gates and the candidate."""
+    gates, cand = x[:2], x[2]
+    gates += u[:2]
     np.negative(gates, out=gates)
     np.minimum(gates, _TOP, out=gates)
     np.exp(gates, out=gates)
     gates += 1
     np.reciprocal(gates, out=gates)
-    return gates[:, HIDDEN:]
+    cand += u[2] * gates[1]
+    np.tanh(cand, out=cand)
+    out = np.subtract(h, cand, out=out)
+    out *= gates[0]
+    out += cand
+    return out
 
 
 def classes_of(token: np.ndarray) -> np.ndarray:
@@ -217,22 +218,17 @@ def window_gradients(model: GRU, h: np.ndarray, before: np.ndarray, target: np.n
     ended = token == 0
     fresh = ended.any(axis=1)
     token[ended] = _START
-    gates = np.take(p["x"], token.ravel(), axis=0).reshape(steps, streams, 3 * n)  # in the end: z, r and the candidate
+    x3, u3 = model.layers()
+    gates = np.take(x3, token.ravel(), axis=1).reshape(3, steps, streams, n)  # in the end: z, r and the candidate
     ahead, inner, after = (np.empty((steps, streams, n), dtype=np.float32) for _ in range(3))
-    u = np.empty((streams, 3 * n), dtype=np.float32)
+    u = np.empty((3, streams, n), dtype=np.float32)
     for t in range(steps):
         np.copyto(ahead[t], h)
         if fresh[t]:
             ahead[t][ended[t]] = 0
-        np.matmul(ahead[t], p["u"], out=u)
-        np.copyto(inner[t], u[:, 2 * n :])
-        u[:, 2 * n :] *= _gated(gates[t], u)
-        gates[t, :, 2 * n :] += u[:, 2 * n :]
-        np.tanh(gates[t, :, 2 * n :], out=gates[t, :, 2 * n :])
-        h = after[t]
-        np.subtract(ahead[t], gates[t, :, 2 * n :], out=h)
-        h *= gates[t, :, :n]
-        h += gates[t, :, 2 * n :]
+        np.matmul(ahead[t], u3, out=u)
+        np.copyto(inner[t], u[2])
+        h = _moved(gates[:, t], u, ahead[t], after[t])
     flat_h, flat_t = after.reshape(-1, n), target.reshape(-1)
     grad = {"w": np.zeros_like(p["w"]), "x": np.zeros_like(p["x"])}
     d = _softmax_error(flat_h @ p["c"][:-1] + p["c"][-1], classes_of(flat_t))
@@ -246,28 +242,30 @@ def window_gradients(model: GRU, h: np.ndarray, before: np.ndarray, target: np.n
         d = _softmax_error(own @ w[:-1] + w[-1], flat_t[at] % _EACH)
         grad["w"][k, :-1], grad["w"][k, -1] = own.T @ d, d.sum(0)
         dh[at] += d @ w[:-1].T
-    z, r, cand = gates[..., :n], gates[..., n : 2 * n], gates[..., 2 * n :]
-    dh, way = dh.reshape(steps, streams, n), np.empty((steps, streams, 3, n), dtype=np.float32)
+    z, r, cand = gates
+    dh, way = dh.reshape(steps, streams, n), np.empty((3, steps, streams, n), dtype=np.float32)
     of_cand = (1 - z) * (1 - cand * cand)
-    np.multiply((ahead - cand) * z, 1 - z, out=way[:, :, 0])
-    np.multiply(of_cand * inner * r, 1 - r, out=way[:, :, 1])
-    np.multiply(of_cand, r, out=way[:, :, 2])
-    back = np.ascontiguousarray(p["u"].T)
+    np.multiply((ahead - cand) * z, 1 - z, out=way[0])
+    np.multiply(of_cand * inner * r, 1 - r, out=way[1])
+    np.multiply(of_cand, r, out=way[2])
+    back = np.ascontiguousarray(u3.swapaxes(1, 2))
     for t in range(steps - 1, -1, -1):
-        way[t] *= dh[t][:, None]
+        own = way[:, t]
+        own *= dh[t]
         if t:
-            carry = way[t].reshape(streams, 3 * n) @ back
+            carry = np.matmul(own, back, out=u).sum(axis=0)
             carry += dh[t] * z[t]
             if fresh[t]:
                 carry[ended[t]] = 0
             dh[t - 1] += carry
-    grad["u"] = ahead.reshape(-1, n).T @ way.reshape(-1, 3 * n)
-    np.multiply(of_cand, dh, out=way[:, :, 2])
-    flat_x = token.ravel()
+    flat_x, flat_way = token.ravel(), way.reshape(3, -1, n)
+    grad["u"] = np.concatenate([ahead.reshape(-1, n).T @ w for w in flat_way], axis=1)
+    np.multiply(of_cand, dh, out=way[2])
     order = np.argsort(flat_x, kind="stable")
     ranked = flat_x[order]
     first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    grad["x"][ranked[first]] = np.add.reduceat(way.reshape(-1, 3 * n)[order], first, axis=0)
+    for k, w in enumerate(flat_way):
+        grad["x"][ranked[first], k * n : (k + 1) * n] = np.add.reduceat(w[order], first, axis=0)
     return grad, h
 
 
@@ -449,6 +447,7 @@ def network_scores(model: LanguageModel, docs: list[np.ndarray], most: int = 409
     out = np.zeros(len(docs))
     order = sorted(range(len(docs)), key=lambda d: -len(docs[d]))
     net = GRU.unpack(model.network)
+    layers = net.layers()
     for lo in range(0, len(order), most):
         part = order[lo : lo + most]
         sizes = np.array([len(docs[d]) for d in part])
@@ -465,7 +464,7 @@ def network_scores(model: LanguageModel, docs: list[np.ndarray], most: int = 409
                 b = int(np.searchsorted(-sizes[:a], -(t0 + t), side="left"))
                 if not b:
                     break
-                h[:b] = net.step(h[:b], before[:b])
+                h[:b] = net.step(layers, h[:b], before[:b])
                 states.append(h[:b].copy())
                 tokens.append(block[:b, t])
                 owners.append(np.arange(b))
