@@ -83,3 +83,23 @@ def test_intervals_of_the_default_log(spark):
     spans = validity_intervals(default_log(spark)).collect()
     assert all(r["valid_to"] is None or r["valid_to"] > r["valid_from"] for r in spans)
     assert sum(r["pattern"] == "ads-track.example.org" for r in spans) == 2
+
+
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_long_urls_and_lists_that_tie_on_a_pattern(spark, broadcast_rows):
+    """A URL of many labels and path parts is matched at every depth; of two lists with one pattern a block goes before an allow."""
+    deep = ".".join(f"h{i}" for i in range(60)) + ".tie.org"
+    long = f"https://{deep}/" + "/".join(f"p{i}" for i in range(400)) + "?" + "q" * 20_000
+    log = spark.createDataFrame(
+        [
+            ("b", "allow", "domain", "tie.org", "add", "2024-01-01"), ("a", "block", "domain", "tie.org", "add", "2024-01-01"),
+            ("z", "block", "host", "www.same.org", "add", "2024-01-01"), ("y", "allow", "domain", "www.same.org", "add", "2024-01-01"),
+            ("c", "allow", "prefix", f"{deep}/p0/p1", "add", "2024-01-01"),
+        ],
+        LOG,
+    )
+    got = filter_urls(pages(spark, [long, f"https://{deep}/q", "http://www.same.org/x"]), log, F.lit("2024-06-01"), broadcast_rows)
+    out = {r["page_id"]: r for r in got.collect()}
+    assert not out[0]["blocked"] and out[0]["n_active"] == 3 and out[0]["lists"] == "a,b,c" and out[0]["rule"].startswith("prefix ")
+    assert out[1]["blocked"] and out[1]["lists"] == "a,b" and out[1]["rule"] == "domain tie.org"
+    assert out[2]["blocked"] and out[2]["lists"] == "y,z" and out[2]["rule"] == "host www.same.org"
