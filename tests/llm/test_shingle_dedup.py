@@ -44,11 +44,11 @@ def rows():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("small", [8])
-def test_stage_against_all_pairs(spark, rows, small):
+@pytest.mark.parametrize(("pivots", "chunk"), [(shingle_dedup.PIVOTS, shingle_dedup.CHUNK), ((), 512), ((), 7), ((1,), 7)])
+def test_stage_against_all_pairs(spark, rows, pivots, chunk):
     want, pairs = plain_components(rows)
     docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
-    kept = shingle_dedup.drop_similar(docs, small)
+    kept = shingle_dedup.drop_similar(docs, pivots, chunk)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({*want.values()})
     # The rule of op7 reaches few of these pairs.
