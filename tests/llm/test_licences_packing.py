@@ -65,6 +65,42 @@ def test_scan_cases(spark):
     assert scan_licences(docs(spark, [])).count() == 0
 
 
+def plain_spans(text):
+    """Labels by definition: chains of the longest common runs of a text with a template, in order, close together."""
+    words, labels = words_of(text), set()
+    for label, template in TEMPLATES:
+        t, i, found = words_of(template), 0, []
+        while i < len(words):
+            best = max((next((k for k in range(min(len(words) - i, len(t) - j)) if words[i + k] != t[j + k]), min(len(words) - i, len(t) - j)), -j) for j in range(len(t)))
+            if best[0] >= 4:
+                found.append((i, -best[1], best[0]))
+            i += max(1, best[0])
+        covered, end, place = 0, None, 0
+        for at, j, n in found:
+            if end is None or at - end > 12 or j + n <= place:
+                covered, place = 0, 0
+            covered, end, place = covered + min(n, j + n - max(place, j)), at + n, j + n
+            if covered >= 0.6 * len(t):
+                labels.add(label)
+    return labels
+
+
+def test_whole_notices_and_their_shares_against_a_plain_scan():
+    automaton, rng = LicenceAutomaton(), random.Random(5)
+    for label, template in TEMPLATES:
+        words = template.split()
+        assert label in automaton.scan("intro " + template + " outro")["labels"].split(",")
+        if len(words) < 30:
+            continue
+        kept = words[: len(words) * 7 // 10]
+        kept[len(kept) // 2] = "zzz"
+        assert label in automaton.scan(" ".join(kept))["labels"].split(",")
+        few = words[: max(4, len(words) * 3 // 10)]
+        assert plain_spans(" ".join(few)) >= {x for x in automaton.scan(" ".join(few))["labels"].split(",") if x} - {x for _, x in PHRASES}
+        noise = " ".join(rng.choice(["alpha", "beta", "the", "of", "software"]) for _ in range(80))
+        assert automaton.scan(noise)["labels"] == ""
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_places_everything_near_the_bound(seed):
     rng = random.Random(seed)
