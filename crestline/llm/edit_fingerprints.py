@@ -44,7 +44,9 @@ CHUNK = 8192
 #: Character classes and steps of the shared table of moves; steps beyond it start over.
 CLASSES, PERIOD = 16, 1 << 14
 #: Characters that walk in lockstep at a time, in one task, each by all walks.
-LOCKSTEP = 4_000_000
+LOCKSTEP = 1_500_000
+#: Rows of a range whose texts are unpacked at a time.
+SLICE = 3000
 #: Bytes of a range of ids: the first for the first ``FINE`` ranges, the second beyond.  A
 #: range costs the driver 32 bytes, so 100 TB cost it 13 MB.
 RANGE_BYTES, FINE = (8 << 20, 256 << 20), 2048
@@ -314,7 +316,7 @@ def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [[r[1] for r, _ in pairs], sizes, sha, *hexed, likeness(own, edited), likeness(own, after), [r[6] for r, _ in pairs]]
         return pd.DataFrame(dict(zip(_COLUMNS, columns, strict=True)))
 
-    for batch in batches:
+    for batch in (b.iloc[lo : lo + SLICE] for b in batches for lo in range(0, len(b), SLICE)):
         rows = [] if carry is None else [carry]
         for ghost, doc_id, text, *facts in zip(*(batch[c] for c in ("_ghost", "doc_id", "text", "fp", "half", "step", "component_id")), strict=True):
             if text is None:
