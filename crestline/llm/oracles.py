@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from crestline.llm import fill_in_middle
 from crestline.llm.url_filters import DEFAULT_LOG
 
 #: CRC-32 of a text's bytes, a byte at a time over a table made by the polynomial's rule.
@@ -114,4 +115,5 @@ SQL = {
     "op2_temperature_mixing": OP2,
     "op3_stratified_interleaving": OP3,
     "op8_url_temporal_lists": OP8,
+    "op13_fill_in_middle": fill_in_middle.SQL,
 }

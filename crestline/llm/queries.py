@@ -83,6 +83,15 @@ def op10_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crestline.llm.fill_in_middle import fill_in_middle, restored
+
+    out = fill_in_middle(table(spark, sf_dir, "documents"))
+    text = restored(F.col("output"), F.col("form"))
+    digests = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(text, 256)}
+    return out.withColumns(digests).drop("output")
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -97,6 +106,7 @@ def queries() -> dict[str, Query]:
             op8_url_temporal_lists,
             op9_gru_scoring,
             op10_linear_grouping,
+            op13_fill_in_middle,
         )
     }
 
