@@ -83,6 +83,12 @@ def op10_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_block_lanczos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crestline.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crestline.llm.fill_in_middle import fill_in_middle, restored
 
@@ -106,6 +112,7 @@ def queries() -> dict[str, Query]:
             op8_url_temporal_lists,
             op9_gru_scoring,
             op10_linear_grouping,
+            op11_block_lanczos,
             op13_fill_in_middle,
         )
     }
