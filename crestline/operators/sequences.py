@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from crestline.operators.greedy import follow, left_join, placed
+
 
 def consecutive_groups(df: DataFrame, by: Sequence[str], order: str, value: str, name: str = "grp") -> DataFrame:
     """Number, from 0, the stretches of rows with the same value; nulls are equal."""
@@ -25,26 +26,35 @@ def lines_by_speaker(df: DataFrame, by: Sequence[str], order: str, speaker: str,
 
 
 def chunk_words(
-    df: DataFrame, by: str, order: str, start: str, end: str, most: int = 4, longest: float = 3.0, speaker: str | None = None
+    df: DataFrame, by: str, order: str, start: str, end: str, most: int = 4, longest: float = 3.0, speaker: str | None = None, part: int = 4096
 ) -> DataFrame:
     """Number the subtitle chunks: up to ``most`` words and ``longest`` seconds each, one speaker.
 
-    A word that would make its chunk too long opens the next one.
+    A word that would make its chunk too long opens the next one.  Which word that is follows from the ``most``
+    words after a chunk's first alone, so every word knows the one that would open the next chunk, and
+    :func:`crestline.operators.greedy.follow` walks from opening to opening.  ``order`` is a number without ties or nulls in a key;
+    stretches of ``part`` places, each with the next ``most`` words as a halo, are windows of their own.
     """
-
-    def chunk(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(order, kind="stable")
-        out, size, began, who, n = [], 0, None, None, -1
-        speakers = g[speaker] if speaker else [None] * len(g)
-        for s, e, p in zip(g[start], g[end], speakers, strict=True):
-            if n < 0 or size >= most or e - began > longest or p != who:
-                n, size, began, who = n + 1, 0, s, p
-            size += 1
-            out.append(n)
-        return g.assign(chunk=out)
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.groupBy(by).applyInPandas(chunk, f"{kinds}, chunk int")
+    who = F.col(speaker) if speaker else F.lit(0)
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(by).alias("_by"), F.col(order).alias("_o"), F.col(start).alias("_s"), F.col(end).alias("_e"), who.alias("_who"))
+    rows = placed(rows.withColumn("_part", F.floor(F.col("_o") / part)), ["_by"], "_part", ["_o"]).withColumn("_part", F.floor(F.col("_place") / part))
+    halo = F.when(F.col("_place") % part < most, F.array(F.col("_part"), F.col("_part") - 1)).otherwise(F.array("_part"))
+    w = W.partitionBy("_by", "_in").orderBy("_place")
+    opener = F.lead("_place", most).over(w)
+    for k in range(most - 1, 0, -1):
+        too_long = F.coalesce(F.lead("_e", k).over(w) - F.col("_s") > longest, F.lit(False))
+        other = ~F.lead("_who", k).over(w).eqNullSafe(F.col("_who"))
+        there = F.lead("_place", k).over(w)
+        opener = F.when(there.isNotNull() & (too_long | other), there).otherwise(opener)
+    links = rows.select("_by", "_place", "_part", "_s", "_e", "_who", F.explode(halo).alias("_in")).withColumn("_next", opener)
+    opened = follow(links.filter(F.col("_part") == F.col("_in")), ["_by"], "_place", "_next").withColumn("_opens", F.lit(1))
+    marked = left_join(rows, opened, ["_by", "_place"])
+    per = marked.groupBy("_by", "_part").agg(F.count("_opens").alias("_n"))
+    earlier = W.partitionBy("_by").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = per.select("_by", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    here = F.count("_opens").over(W.partitionBy("_by", "_part").orderBy("_place"))
+    numbered = left_join(marked.withColumn("_here", here), before, ["_by", "_part"])
+    return numbered.select("_row.*", (F.col("_before") + F.col("_here") - 1).cast("int").alias("chunk"))
 
 
 def sentence_groups(df: DataFrame, by: str, order: str, text: str, most: int = 10) -> DataFrame:

@@ -139,10 +139,28 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "ord", "word", start.alias("s"), (start + 0.3 + (F.length("word") % 5) * 0.1).alias("e"))
 
 
-@query()
+def _chunk_twin(most: int = 4, longest: float = 1.65, levels: int = 20) -> str:
+    """SQL for chunks: jumps of 2^k chunks, then from the first word all chunks by the digits of their number."""
+    soon = " ".join(f"WHEN lead(e, {k}) OVER w - s > {longest}::DOUBLE THEN lead(ord, {k}) OVER w" for k in range(1, most))
+    jumps = ", ".join(
+        f"j{k} AS MATERIALIZED (SELECT a.doc_id, a.ord, b.nx FROM j{k - 1} a JOIN j{k - 1} b ON a.doc_id = b.doc_id AND a.nx = b.ord WHERE b.nx IS NOT NULL)" for k in range(1, levels)
+    )
+    walks = ", ".join(
+        f"v{k} AS MATERIALIZED (SELECT doc_id, ord FROM v{k + 1} UNION ALL SELECT v.doc_id, j.nx FROM v{k + 1} v JOIN j{k} j ON v.doc_id = j.doc_id AND v.ord = j.ord WHERE j.nx IS NOT NULL)"
+        for k in reversed(range(levels))
+    )
+    return f"""WITH split AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(0, len(string_split(text, ' ')))) AS ord FROM documents),
+timed AS (SELECT doc_id, ord, ord * 0.4::DOUBLE AS s, ord * 0.4::DOUBLE + 0.3::DOUBLE + (length(word) % 5) * 0.1::DOUBLE AS e FROM split),
+j0 AS MATERIALIZED (SELECT doc_id, ord, CASE {soon} ELSE lead(ord, {most}) OVER w END AS nx FROM timed WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+{jumps}, v{levels} AS (SELECT doc_id, min(ord) AS ord FROM timed GROUP BY doc_id), {walks}
+SELECT t.doc_id, CAST(t.ord AS INTEGER) AS ord, CAST(count(v.ord) OVER (PARTITION BY t.doc_id ORDER BY t.ord) - 1 AS INTEGER) AS chunk
+FROM timed t LEFT JOIN v0 v ON v.doc_id = t.doc_id AND v.ord = t.ord"""
+
+
+@query(_chunk_twin())
 def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subtitle chunks of all documents' words; tested against a plain twin."""
-    return sequences.chunk_words(_words(spark, sf_dir), "doc_id", "ord", "s", "e").select("doc_id", "ord", "chunk")
+    """Subtitle chunks of all documents' words: up to four words and 1.65 seconds."""
+    return sequences.chunk_words(_words(spark, sf_dir), "doc_id", "ord", "s", "e", longest=1.65).select("doc_id", "ord", "chunk")
 
 
 @query("""WITH words AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(0, len(string_split(text, ' ')))) AS ord FROM documents),

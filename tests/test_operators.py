@@ -122,6 +122,24 @@ def test_overlap_dedup_against_a_plain_twin(spark):
         assert {r: got[job, r] for r in want} == want
 
 
+@pytest.mark.parametrize("share", [0.8, 0.3])
+def test_absorption_by_index_against_the_plain_twin(share):
+    rng = random.Random(7)
+    for n in (1, 2, 30, 200):
+        clips = [(i, s, s + rng.choice([0.0, 1.0, 5.0, 30.0, rng.random() * 200])) for i, s in enumerate(rng.choice([rng.random() * 400, 50.0]) for _ in range(n))]
+        owner, s, e = intervals.absorbing(np.array([c[1] for c in clips]), np.array([c[2] for c in clips]), share)
+        assert {i: (owner[i], s[i], e[i]) for i in range(n)} == absorbed(clips, share)
+
+
+def test_a_million_clips_in_one_stretch_take_seconds():
+    rng, n = np.random.default_rng(0), 1_000_000
+    start = rng.random(n) * n / 2
+    began = time.perf_counter()
+    owner, s, e = intervals.absorbing(start, start + rng.choice([45.0, 60.0, 90.0], n), 0.8)
+    assert time.perf_counter() - began < 60
+    assert (owner <= np.arange(n)).all() and (owner[owner] == owner).all() and len(set(owner.tolist())) < n / 10
+
+
 def test_overlap_share_is_strict(spark):
     df = spark.createDataFrame([("a", 1, 0.0, 10.0), ("a", 2, 2.0, 12.0), ("b", 1, 0.0, 10.0), ("b", 2, 1.9, 11.9)], "job string, rank int, s double, e double")
     got = {(r["job"], r["rank"]): r["kept_rank"] for r in intervals.overlap_dedup(df, "job", "rank", "s", "e").collect()}
