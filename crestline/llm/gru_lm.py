@@ -37,8 +37,8 @@ from crestline.llm._common import stage, unstage
 HEAD, HEAD_CLASSES, TAIL_CLASSES, HIDDEN = 576, 24, 16, 16
 #: Words whose counts are broadcast.
 HOT = 100_000
-#: Parts of the training documents, one a round, and the least updates a task makes in a round: a task with
-#: few tokens reads them again until it has made so many.
+#: Parts of the training documents, one a round, and the updates that a task's tokens are laid out for where they are
+#: few: then fewer streams are read side by side, so that each is longer.  Every token is read once.
 ROUNDS, UPDATES = 4, 100
 #: Tokens that a task lays out at a time, most streams they are cut into, and steps of a window.
 TOKENS, STREAMS, WINDOW, RATE = 1 << 21, 512, 24, 0.02
@@ -211,9 +211,13 @@ def window_gradients(model: GRU, h: np.ndarray, before: np.ndarray, target: np.n
     """Sums of the gradients of the log loss over one window, and the states after it.
 
     ``h`` are the states ahead of it, a row a stream, ``before`` the tokens read last and ``target`` the tokens
-    to be told, a row a step.  A stream starts afresh after token 0, the end of a document.
+    to be told, a row a step; places beyond the last token hold -1 and count for nothing.  A stream starts afresh after
+    token 0, the end of a document.
     """
     p, n, (steps, streams) = model.params, HIDDEN, target.shape
+    beyond = np.flatnonzero(target.reshape(-1) < 0)
+    if len(beyond):
+        target = np.maximum(target, 0)
     token = np.vstack([before, target[:-1]])
     ended = token == 0
     fresh = ended.any(axis=1)
@@ -232,10 +236,15 @@ def window_gradients(model: GRU, h: np.ndarray, before: np.ndarray, target: np.n
     flat_h, flat_t = after.reshape(-1, n), target.reshape(-1)
     grad = {"w": np.zeros_like(p["w"]), "x": np.zeros_like(p["x"])}
     d = _softmax_error(flat_h @ p["c"][:-1] + p["c"][-1], classes_of(flat_t))
+    d[beyond] = 0
     grad["c"] = np.vstack([flat_h.T @ d, d.sum(0)])
     dh = d @ p["c"][:-1].T
-    order = np.argsort(flat_t, kind="stable")
-    edges = np.searchsorted(flat_t[order], np.arange(0, HEAD + 1, _EACH))
+    asked = flat_t
+    if len(beyond):
+        asked = flat_t.copy()
+        asked[beyond] = -1
+    order = np.argsort(asked, kind="stable")
+    edges = np.searchsorted(asked[order], np.arange(0, HEAD + 1, _EACH))
     for k in np.flatnonzero(np.diff(edges)):
         at, w = order[edges[k] : edges[k + 1]], p["w"][k]
         own = flat_h[at]
@@ -273,22 +282,24 @@ class Trainer:
     """Adam over windows of truncated backpropagation, from given weights."""
 
     def __init__(self, flat: np.ndarray):
-        self.model, self.update = GRU.unpack(flat), 0
+        self.model, self.update, self.tokens = GRU.unpack(flat), 0, 0
         self.first, self.second = ({k: np.zeros_like(v) for k, v in self.model.params.items()} for _ in range(2))
 
     def read(self, line: np.ndarray) -> None:
-        """One pass over documents laid end to end, cut into streams that are read side by side."""
+        """One pass over documents laid end to end, cut into streams that are read side by side; the last ones may be shorter."""
         streams = int(min(STREAMS, max(8, len(line) // (WINDOW * UPDATES))))
-        steps = len(line) // streams
-        if steps < 2:
-            return
-        grid = np.ascontiguousarray(line[: steps * streams].reshape(streams, steps).T)
+        steps = -(-len(line) // streams)
+        whole = np.full(steps * streams, -1, dtype=line.dtype)
+        whole[: len(line)] = line
+        grid = np.ascontiguousarray(whole.reshape(streams, steps).T)
         h, before = np.zeros((streams, HIDDEN), dtype=np.float32), np.full(streams, _START)
         for t0 in range(0, steps, WINDOW):
             target = grid[t0 : t0 + WINDOW]
             grad, h = window_gradients(self.model, h, before, target)
-            before = target[-1]
-            self.move(grad, target.size)
+            before = np.maximum(target[-1], 0)
+            size = int((target >= 0).sum())
+            self.tokens += size
+            self.move(grad, size)
 
     def move(self, grad: dict[str, np.ndarray], size: int) -> None:
         self.update += 1
@@ -302,23 +313,18 @@ class Trainer:
 def train_shard(flat: np.ndarray, lines: Iterator[np.ndarray]) -> tuple[np.ndarray, int]:
     """Weights after all ``lines`` (token ids of documents, each with its end), and the tokens read.
 
-    Some ``TOKENS`` tokens are held at a time; where these are all and few, they are read again.
+    Some ``TOKENS`` tokens are held at a time, and every token is a target once.
     """
-    trainer, tokens, held, size, line = Trainer(flat), 0, [], 0, np.zeros(0, dtype=np.int64)
+    trainer, held, size = Trainer(flat), [], 0
     for own in lines:
         held.append(own)
         size += len(own)
         if size >= TOKENS:
-            line = np.concatenate(held)
-            trainer.read(line)
-            tokens, held, size = tokens + size, [], 0
+            trainer.read(np.concatenate(held))
+            held, size = [], 0
     if size:
-        line = np.concatenate(held)
-        trainer.read(line)
-        tokens += size
-    while 0 < trainer.update < UPDATES:
-        trainer.read(line)
-    return trainer.model.pack(), tokens
+        trainer.read(np.concatenate(held))
+    return trainer.model.pack(), trainer.tokens
 
 
 @dataclass

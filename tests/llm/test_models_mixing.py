@@ -247,6 +247,36 @@ def test_training_lowers_the_loss_and_reads_all_parts():
     assert gru_lm.train_shard(model.pack(), iter([]))[1] == 0
 
 
+@pytest.mark.parametrize("sizes", [[1], [7], [9, 1, 1], [100, 3], [5000, 77, 1, 12]])
+def test_every_token_is_a_target_once(monkeypatch, sizes):
+    """Ends of lines that fill no row of streams count like all tokens, each once."""
+    monkeypatch.setattr(gru_lm, "TOKENS", 4000)
+    rng, seen, real = np.random.default_rng(2), Counter(), gru_lm.window_gradients
+
+    def told(model, h, before, target):
+        seen.update(target[target >= 0].tolist())
+        return real(model, h, before, target)
+
+    monkeypatch.setattr(gru_lm, "window_gradients", told)
+    lines = [np.append(rng.integers(1, gru_lm._START, size=n), 0) for n in sizes]
+    model = gru_lm.GRU.fresh(np.ones(20) * 5, np.ones(gru_lm.TAIL_CLASSES))
+    assert gru_lm.train_shard(model.pack(), iter(lines))[1] == sum(n + 1 for n in sizes)
+    assert seen == Counter(np.concatenate(lines).tolist())
+
+
+def test_places_beyond_the_end_have_no_gradient():
+    rng = np.random.default_rng(8)
+    model = gru_lm.GRU.fresh(np.ones(20) * 5, np.ones(gru_lm.TAIL_CLASSES))
+    grid = rng.integers(1, 20, size=(10, 3))
+    start = lambda n: (np.zeros((n, gru_lm.HIDDEN), dtype=np.float32), np.full(n, gru_lm._START))
+    ended = grid.copy()
+    ended[6:, 1] = -1
+    got, _ = gru_lm.window_gradients(model, *start(3), ended)
+    parts = [gru_lm.window_gradients(model, *start(1), np.ascontiguousarray(grid[:n, i : i + 1]))[0] for i, n in enumerate((10, 6, 10))]
+    for k in got:
+        assert np.allclose(got[k], sum(p[k] for p in parts), rtol=1e-3, atol=1e-5)
+
+
 @pytest.mark.parametrize("doc_id", [None, 5])
 def test_rows_that_share_an_id_are_learned_from(spark, doc_id):
     """The network trains whatever the ids are: order is learned from rows without one, and from rows of one id."""
