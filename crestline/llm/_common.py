@@ -60,6 +60,17 @@ def buckets_for(rows: int) -> int:
     return min(max(256, rows >> 12), 1 << 20)
 
 
+def spare(columns: Sequence[str], *stems: str) -> list[str]:
+    """A column name for each stem that none of ``columns`` has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def row_hash(df: DataFrame) -> Column:
     """A 64-bit hash of all columns of a row; maps, which have no hash, count as JSON."""
     quoted = [f"`{name.replace('`', '``')}`" for name in df.columns]
@@ -115,9 +126,10 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int)
     heavy = facts.filter(hot).drop(count)
     light = facts.filter(~hot).drop(count)
     added = [c for c in heavy.columns if c != key]
+    (fact,) = spare([*rows.columns, *added], "_fact")
     marked = rows.join(
-        F.broadcast(heavy.select(key, F.struct(*added).alias("_fact"))), key, "left"
+        F.broadcast(heavy.select(key, F.struct(*added).alias(fact))), key, "left"
     )
-    done = marked.filter(F.col("_fact").isNotNull()).select(*rows.columns, "_fact.*")
-    rest = marked.filter(F.col("_fact").isNull()).drop("_fact").join(light, key)
+    done = marked.filter(F.col(fact).isNotNull()).select(*rows.columns, f"{fact}.*")
+    rest = marked.filter(F.col(fact).isNull()).drop(fact).join(light, key)
     return done.unionByName(rest.select(*rows.columns, *added))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crestline.llm._common import uniform60
+from crestline.llm._common import spare, uniform60
 
 #: Hash buckets of character n-grams of 1 to 3 characters.
 DIMS = 1 << 15
@@ -218,6 +218,6 @@ def drop_unidentified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     model = train(docs.filter(~held_out(F.col("doc_id"))))
     if not model.languages:
         return docs.filter(F.coalesce(F.regexp_count("text", F.lit(r"\p{L}")) > 0, F.lit(False)))
-    told = F.col("__crestline_told")
-    marked = docs.withColumn("__crestline_told", _predictor(docs, model))
-    return marked.filter((told.lang_pred != UNKNOWN) & (told.score >= least)).drop("__crestline_told")
+    (told,) = spare(docs.columns, "_told")
+    marked = docs.withColumn(told, _predictor(docs, model))
+    return marked.filter((F.col(told).lang_pred != UNKNOWN) & (F.col(told).score >= least)).drop(told)

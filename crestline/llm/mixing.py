@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm._common import attach, buckets_for, ranked, stage, uniform60
+from crestline.llm._common import attach, buckets_for, ranked, spare, stage, uniform60
 
 #: Target entropy: this share of the way from the natural mix to the uniform one.
 EVENNESS = 0.5
@@ -149,18 +149,18 @@ def mix_documents(
     """``docs`` with each row repeated as often as the mix reads it; columns stay.
 
     The rows and counts are those of :func:`mix_schedule`; rows equal in id and text that are at
-    a source's end are all read.
+    a source's end are all read.  Any other columns keep their values, whatever they are called.
     """
     slim = stage(docs.select("doc_id", _stratum().alias("_stratum"), token_count(F.col("text")).alias("tokens"), _body().alias("_c")))
     plan = stage(source_plan(slim, evenness, max_epochs))
     each = _readings(slim, plan, seed).filter(F.col("epoch") == F.ceil(F.col("quota") / F.col("_have")) - 1)
     placed = ranked(each, "_b", [F.col("_h"), F.col("doc_id").asc_nulls_first(), F.col("tokens")], ["_stratum"], weight="tokens")
     last = placed.filter(F.col("epoch") * F.col("_have") + F.col("_before") < F.col("quota"))
-    edges = last.groupBy("_stratum").agg(F.max("_h").alias("__last"), F.max("epoch").alias("__epoch"))
-    facts = stage(plan.select("_stratum", "rows").join(edges, "_stratum").withColumnRenamed("_stratum", "__stratum"))
-    marked = docs.withColumn("__stratum", _stratum())
-    read = attach(marked, facts, "__stratum", "rows", slim.count())
-    h = uniform60(seed, F.col("__epoch"), F.col("doc_id"), _body())
-    times = F.col("__epoch") + F.when(h <= F.col("__last"), 1).otherwise(0)
-    out = read.withColumn("__times", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
+    stratum, last_h, epoch, rows, turn = spare(docs.columns, "_stratum", "_last", "_epoch", "_rows", "_turn")
+    edges = last.groupBy("_stratum").agg(F.max("_h").alias(last_h), F.max("epoch").alias(epoch))
+    facts = stage(plan.select("_stratum", F.col("rows").alias(rows)).join(edges, "_stratum").withColumnRenamed("_stratum", stratum))
+    read = attach(docs.withColumn(stratum, _stratum()), facts, stratum, rows, slim.count())
+    h = uniform60(seed, F.col(epoch), F.col("doc_id"), _body())
+    times = F.col(epoch) + F.when(h <= F.col(last_h), 1).otherwise(0)
+    out = read.withColumn(turn, F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
     return out.select(*docs.columns)

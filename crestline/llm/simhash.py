@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crestline.llm._common import row_hash, stage
+from crestline.llm._common import row_hash, spare, stage
 from crestline.llm._components import components, runs, split_buckets
 
 BITS, SHINGLE, SEED, RADIUS = 64, 4, 42, 4
@@ -153,10 +153,11 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = S
 
 def first_of_each(docs: DataFrame, told: DataFrame) -> DataFrame:
     """The rows of ``docs`` that name their component in ``told`` (``doc_id``, ``_h``: the row's hash, ``component_id``), as in :func:`drop_near_duplicates`."""
+    (h,) = spare(docs.columns, "_h")
     own = told.filter(F.col("doc_id") == F.col("component_id"))
-    chosen = stage(own.groupBy("doc_id").agg(F.min("_h").alias("__h"), F.count(F.lit(1)).alias("__n")))
-    known = docs.filter(F.col("doc_id").isNotNull()).withColumn("__h", row_hash(docs))
-    kept = known.join(chosen.select("doc_id", "__h"), ["doc_id", "__h"], "left_semi").select(*docs.columns)
-    if chosen.filter("__n > 1").take(1):
+    chosen = stage(own.groupBy("doc_id").agg(F.min("_h").alias(h), F.count(F.lit(1)).alias("_n")))
+    known = docs.filter(F.col("doc_id").isNotNull()).withColumn(h, row_hash(docs))
+    kept = known.join(chosen.select("doc_id", h), ["doc_id", h], "left_semi").select(*docs.columns)
+    if chosen.filter("_n > 1").take(1):
         kept = kept.dropDuplicates(["doc_id"])  # what is left of an id is equal in all columns
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -100,3 +100,16 @@ def test_very_long_texts(spark):
     packed = best_fit_packing(docs, tokenizer_path())
     assert packed.filter("length = 2048").count() == packed.filter("sequence_id < 0").count() > 100
     assert packed.filter("sequence_id < 0").agg(F.count_distinct("sequence_id")).first()[0] == packed.filter("sequence_id < 0").count()
+
+
+def test_stages_keep_columns_called_like_helpers(spark, corpus):
+    """Any column of the input comes out with its values, also those called like a stage's own helpers."""
+    odd = ["_h", "__h", "__n", "_n", "_stratum", "__stratum", "_last", "__last", "_epoch", "__epoch", "_times", "__times", "_turn", "rows", "_rows", "_FACT", "_fact", "_told", "__crestline_told", "tokens", "epoch", "quota", "sid", "keys", "fp"]
+    names = [c for i, c in enumerate(odd) if c.lower() not in {x.lower() for x in odd[:i]}]
+    base = spark.createDataFrame([(i, t, lang, s, 1) for i, t, lang, s in corpus], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = base.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    for name, apply in corpus_pipeline.STAGES[:3]:
+        out = apply(spark, docs, "")
+        assert out.columns == docs.columns, name
+        rows = out.select("doc_id", *names).collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in names), name
