@@ -11,16 +11,17 @@ the first row along the successors.  :func:`follow` finds them without reading a
 2. That table is contracted again, with wider blocks, until every key is short, and the walk over it is made.
 3. On the way back each block is told its one entry and walks from there.
 
-Every step is a shuffle on (key, block); no task holds more than a block.
+Every step is a shuffle on (key, block); no task holds more than a block, and the walks hold one row.
 """
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,56 +63,71 @@ def _exits(key, nodes: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def _walk(key, nodes: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-    out = entries.iloc[:0]
-    if len(nodes) and len(entries):
-        at, _, hop = _hops(nodes)
-        hop, seen = hop.tolist(), np.zeros(len(at), dtype=bool)
-        for i in np.searchsorted(at, entries["_at"].to_numpy()).tolist():
-            while not seen[i]:
-                seen[i] = True
-                i = hop[i]
-        out = entries.iloc[np.zeros(int(seen.sum()), dtype=int)].assign(_at=at[seen])
-    return out
+def _walk(rows: DataFrame, keys: Sequence[str], entry: Column) -> DataFrame:
+    """The rows that a walk visits which enters each group of ``keys`` at the row where ``entry`` holds.
+
+    In the order of places, the next row visited is the one whose place the last one named: a single pass, whatever the groups.
+    """
+    w = W.partitionBy(*keys).orderBy("_at")
+    marked = rows.withColumns({"_top": F.row_number().over(w) == 1, "_in": entry})
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None
+        for batch in batches:
+            seen = []
+            for at, to, top, enters in zip(*(batch.column(c).to_pylist() for c in ("_at", "_to", "_top", "_in")), strict=True):
+                if top:
+                    wanted = None
+                if enters:
+                    wanted = at
+                seen.append(at == wanted)
+                if at == wanted:
+                    wanted = to
+            yield batch.filter(pa.array(seen, pa.bool_()))
+
+    return marked.mapInArrow(read, marked.schema).select(*rows.columns)
 
 
 def follow(links: DataFrame, by: Sequence[str], place: str, successor: str, block: int = BLOCK, top: int = TOP) -> DataFrame:
     """``by, place`` of the rows on the walk from each key's first row along the successors.
 
     ``place`` is a whole number, unique in its key; ``successor`` the place of a later row of the key, or null at
-    the end of a walk.  A block takes the rows of ``block`` places; where links reach so far that blocks of this
-    width do not shorten the table, wider ones are taken.
+    the end of a walk.  Keys of up to ``top`` rows are walked at once.  In others a block takes the rows of ``block`` places;
+    where links reach so far that blocks of this width do not shorten the table, wider ones are taken.
     """
     by = list(by)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in links.schema.fields if f.name in by)
-    starts = links.groupBy(*by).agg(F.min(place).cast("long").alias("_at"))
     level = cut_lineage(links.select(*by, F.col(place).cast("long").alias("_at"), F.coalesce(F.col(successor).cast("long"), F.lit(_END)).alias("_to")))
-    starts = cut_lineage(starts)
-
-    def longest(df: DataFrame) -> int:
-        return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    sizes = level.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_start"))
+    far = cut_lineage(sizes.filter(F.col("_rows") > top))
+    first = F.row_number().over(W.partitionBy(*by).orderBy("_at")) == 1
+    if not far.take(1):
+        return _walk(level, by, first).select(*by, F.col("_at").alias(place))
+    told = left_join(level, far, by)
+    short, level = told.filter(F.col("_rows").isNull()).select(*level.columns), told.filter(F.col("_rows").isNotNull()).select(*level.columns)
+    starts = far.select(*by, F.col("_start").alias("_at"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in links.schema.fields if f.name in by)
 
     def of_block(column: str, width: int) -> Column:
         return F.floor(F.col(column) / width).alias("_block")
 
-    levels, width, rows, size = [], block, level.count(), longest(level)
+    level = cut_lineage(level)
+    levels, width, rows, size = [], block, level.count(), top + 1
     while size > top:
         crossing = level.filter((F.col("_to") < _END) & (of_block("_to", width) != of_block("_at", width)))
         entries = crossing.select(*by, F.col("_to").alias("_at")).union(starts).distinct().select("*", of_block("_at", width))
         nodes = level.select("*", of_block("_at", width))
         pairs = nodes.groupBy(*by, "_block").cogroup(entries.groupBy(*by, "_block"))
         shorter = cut_lineage(pairs.applyInPandas(_exits, f"{kinds}, _at long, _block long, _to long").drop("_block").select(*by, "_at", "_to"))
-        fewer, now = shorter.count(), longest(shorter)
-        if fewer <= rows // 2 or now <= top:
+        fewer, size = shorter.count(), shorter.groupBy(*by).count().agg(F.max("count")).first()[0]
+        if fewer <= rows // 2 or size <= top:
             levels.append((level, width))
-            level, rows, size = shorter, fewer, now
+            level, rows = shorter, fewer
         width *= 8
-    seen = level.groupBy(*by).cogroup(starts.groupBy(*by)).applyInPandas(_walk, f"{kinds}, _at long")
+    seen = _walk(level, by, first).select(*by, "_at")
     for level, width in reversed(levels):
-        nodes, entries = (df.select("*", of_block("_at", width)) for df in (level, seen))
-        pairs = nodes.groupBy(*by, "_block").cogroup(entries.groupBy(*by, "_block"))
-        seen = pairs.applyInPandas(_walk, f"{kinds}, _at long, _block long").drop("_block")
-    return seen.select(*by, F.col("_at").alias(place))
+        told = left_join(level, seen.withColumn("_seen", F.lit(True)), [*by, "_at"])
+        seen = _walk(told.select("*", of_block("_at", width)), [*by, "_block"], F.col("_seen").isNotNull()).select(*by, "_at")
+    return seen.union(_walk(short, by, first).select(*by, "_at")).select(*by, F.col("_at").alias(place))
 
 
 def placed(df: DataFrame, by: Sequence[str], part: str, order: Sequence[str | Column], name: str = "_place") -> DataFrame:
@@ -129,9 +145,13 @@ def placed(df: DataFrame, by: Sequence[str], part: str, order: Sequence[str | Co
 
 
 def left_join(df: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on ``keys``, nulls equal, that adds the other columns of ``facts``."""
+    """Left join on ``keys``, nulls equal, that adds the other columns of ``facts``.
+
+    Columns that cannot be null are compared as they are, so a join finds the rows where a window by the same keys left them.
+    """
     right = facts.withColumnsRenamed({k: f"_key_{i}" for i, k in enumerate(keys)})
     same = F.lit(True)
     for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+        mine, other = F.col(k), F.col(f"_key_{i}")
+        same = same & (mine.eqNullSafe(other) if df.schema[k].nullable else mine == other)
     return df.join(right, same, "left").drop(*[f"_key_{i}" for i in range(len(keys))])
