@@ -29,8 +29,8 @@ from crestline.operators.greedy import follow, left_join, placed
 
 OPEN, CLOSE = "<turn>", "</turn>"
 BUDGET, HISTORY_TURNS, HISTORY_TOKENS = 2048, 4, 512
-#: Values of ``turn`` that are placed in one piece.
-PART = 1024
+#: Values of ``turn`` that are placed in one piece, as a power of two.
+PART = 10
 
 
 def escaped(text: Column) -> Column:
@@ -71,7 +71,7 @@ def formatted_turns(conversations: DataFrame, tokenizer: str) -> DataFrame:
     ``ends`` the tokens up to its end.
     """
     c = conversations.select("conv_id", "turn", *[F.coalesce(F.col(x), F.lit("")).alias(x) for x in ("role", "text")])
-    c = c.withColumns({"_conv": F.coalesce(F.col("conv_id").cast("string"), F.lit("~")), "_part": F.floor(F.coalesce(F.col("turn"), F.lit(-(1 << 62))) / PART)})
+    c = c.withColumns({"_conv": F.coalesce(F.col("conv_id").cast("string"), F.lit("~")), "_part": F.shiftright(F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))), PART)})
     head, body = F.concat(F.lit(OPEN), _role(F.col("role")), F.lit("\n")), escaped(F.col("text"))
     c = c.withColumns({"formatted": F.concat(head, body, F.lit(CLOSE + "\n")), "at": F.length(head), "chars": F.length(body)})
     c = c.withColumn("size", _tokens(tokenizer)("formatted"))
@@ -128,25 +128,26 @@ def format_windows(
     """
     turns = stage(formatted_turns(conversations, tokenizer))
     starts = _starts(turns, budget, history_tokens).withColumn("_opens", F.lit(True))
-    # Every turn learns the window it is new in, from the last start at or before it; starts lie in the same parts as turns.
-    rows = left_join(turns, starts.withColumnRenamed("start", "ord"), ["_conv", "ord"]).withColumn("_part", F.floor(F.col("ord") / PART))
+    slim = turns.select("_conv", "ord", "size", "ends", "system")
+    # Every turn learns the window it is new in, from the last start at or before it.
+    rows = left_join(slim, starts.withColumnRenamed("start", "ord"), ["_conv", "ord"]).withColumn("_part", F.shiftright("ord", PART))
     opened = F.when(F.col("_opens"), F.col("ord"))
     tops = rows.groupBy("_conv", "_part").agg(F.max(opened).alias("_top"))
     ahead = W.partitionBy("_conv").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     tops = tops.select("_conv", "_part", F.max("_top").over(ahead).alias("_before"))
     here = F.max(opened).over(W.partitionBy("_conv", "_part").orderBy("ord").rowsBetween(W.unboundedPreceding, 0))
     rows = left_join(rows.withColumn("_here", here), tops, ["_conv", "_part"]).withColumn("window", F.coalesce("_here", "_before"))
-    fresh = rows.select("_conv", "window", "ord", F.lit(True).alias("_new"), F.col("target"), "formatted", "at", "chars", "size")
+    fresh = rows.select("_conv", "ord", "window", F.lit(True).alias("_new"))
 
     begun = rows.filter("_opens").select("_conv", F.col("ord").alias("window"), (F.col("ends") - F.col("size")).alias("_sum")).filter("window > 0")
     back = begun.select("_conv", "window", "_sum", F.explode(F.sequence(F.greatest(F.lit(0), F.col("window") - history_turns), F.col("window") - 1)).alias("ord"))
-    texts = ["system", "formatted", "at", "chars", "size"]
-    told = left_join(back, turns.select("_conv", "ord", "ends", *texts), ["_conv", "ord"])
-    recent = told.filter(~F.col("system") & (F.col("_sum") - F.col("ends") + F.col("size") <= history_tokens))
-    system = begun.join(turns.filter("system").select("_conv", "ord", *texts[1:]), "_conv").select("_conv", "window", "ord", *texts[1:])
-    again = [d.select("_conv", "window", "ord", F.lit(False).alias("_new"), F.lit(False).alias("target"), "formatted", "at", "chars", "size") for d in (recent, system)]
+    told = back.join(slim, ["_conv", "ord"])
+    recent = told.filter(~F.col("system") & (F.col("_sum") - F.col("ends") + F.col("size") <= history_tokens)).select("_conv", "ord", "window", F.lit(False).alias("_new"))
+    system = begun.join(turns.filter("system").select("_conv"), "_conv").select("_conv", F.lit(0).cast("long").alias("ord"), "window", F.lit(False).alias("_new"))
 
-    parts = fresh.union(again[0]).union(again[1])
+    # One join brings the texts to all windows that show them.
+    shown = fresh.union(recent).union(system)
+    parts = shown.join(turns.select("_conv", "ord", "target", "formatted", "at", "chars", "size"), ["_conv", "ord"]).withColumn("target", F.col("target") & F.col("_new"))
     listed = F.array_sort(F.collect_list(F.struct("ord", "_new", "target", "formatted", "at", "chars", "size")))
     built = parts.groupBy("_conv", "window").agg(listed.alias("t"))
     spans = F.aggregate(

@@ -77,7 +77,7 @@ def many():
 
 def test_windows_against_a_plain_loop(spark, many, monkeypatch):
     monkeypatch.setattr(greedy.follow, "__defaults__", (64, 40))
-    monkeypatch.setattr(chat_windows, "PART", 32)
+    monkeypatch.setattr(chat_windows, "PART", 5)
     got = {}
     for r in format_windows(chats(spark, many).repartition(3), tokenizer_path(), 160, 3, 40).collect():
         got.setdefault(r["conv_id"], {})[r["window"]] = r
