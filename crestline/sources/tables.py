@@ -38,10 +38,11 @@ def scan_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, hig
     return spark.read.jdbc(url, table, column=key, lowerBound=low, upperBound=high, numPartitions=parts)
 
 
-def read_wav(spark: SparkSession, path: str, seconds: int = 1800) -> DataFrame:
-    """``path, chunk, rate, samples``: 16-bit PCM recordings as floats from -1 to 1, the mean of their channels.
+def read_wav(spark: SparkSession, path: str, seconds: int = 1800, overlap: float = 5.0) -> DataFrame:
+    """``path, chunk, offset, before, rate, samples``: 16-bit PCM recordings as floats from -1 to 1, the mean of their channels.
 
-    A chunk holds ``seconds`` of sound, so a row's size is bounded; a file that is no such recording gives no
+    A chunk begins every ``seconds``, at ``offset`` seconds, and goes on for ``overlap`` seconds into the next, so a row's size is
+    bounded; ``before`` is the number of samples of the chunk before.  A file that is no such recording gives no
     rows.  Files must be under 2 GB.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", True).load(path)
@@ -53,14 +54,17 @@ def read_wav(spark: SparkSession, path: str, seconds: int = 1800) -> DataFrame:
                     sound = wave.open(io.BytesIO(content))
                 except (wave.Error, EOFError):
                     continue
-                rate, channels = sound.getframerate(), sound.getnchannels()
+                rate, channels, total, before = sound.getframerate(), sound.getnchannels(), sound.getnframes(), 0
                 if sound.getsampwidth() != 2:
                     continue
-                for chunk, _ in enumerate(range(0, sound.getnframes(), rate * seconds)):
-                    raw = np.frombuffer(sound.readframes(rate * seconds), dtype="<i2").reshape(-1, channels)
-                    yield pd.DataFrame({"path": [name], "chunk": [chunk], "rate": [rate], "samples": [(raw.mean(axis=1) / 32768).astype(np.float32)]})
-
-    return files.select("path", "content").mapInPandas(decode, "path string, chunk int, rate int, samples array<float>")
+                for chunk, start in enumerate(range(0, total, rate * seconds)):
+                    sound.setpos(start)
+                    raw = np.frombuffer(sound.readframes(int(rate * (seconds + overlap))), dtype="<i2").reshape(-1, channels)
+                    row = {"path": [name], "chunk": [chunk], "offset": [float(chunk * seconds)], "before": [before], "rate": [rate]}
+                    yield pd.DataFrame(row | {"samples": [(raw.mean(axis=1) / 32768).astype(np.float32)]})
+                    before = len(raw)
+
+    return files.select("path", "content").mapInPandas(decode, "path string, chunk int, offset double, before long, rate int, samples array<float>")
 
 
 def stream_updates(spark: SparkSession, path: str, schema: str, per_trigger: int = 1000) -> DataFrame:
