@@ -42,6 +42,17 @@ EMOTES = (
 BOTS = ("streamelements", "nightbot", "streamlabs", "moobot", "fossabot", "wizebot", "sery_bot", "soundalerts")
 
 
+def scored(
+    messages: DataFrame, author: str, text: str, lexica: Mapping[str, Mapping[str, float]] = MOODS, emotes: Sequence[str] = EMOTES, bots: Sequence[str] = BOTS
+) -> tuple[DataFrame, list[str]]:
+    """Messages of no bot with ``sentiment_<mood>``, ``emote_density`` and ``caps_ratio`` of each, and these names; a null text has no word."""
+    told = F.coalesce(F.col(text), F.lit(""))
+    scores = {f"sentiment_{m}": best_weight(told, words) for m, words in lexica.items()}
+    scores["emote_density"] = F.regexp_count(told, F.lit(rf"(?iU)\b(?:{'|'.join(emotes)})\b")).cast("double")
+    scores["caps_ratio"] = F.when(shouted(told), 1.0).otherwise(0.0)
+    return without_bots(messages, F.col(author), list(bots)).withColumns(scores), list(scores)
+
+
 def chat_features(
     messages: DataFrame,
     durations: DataFrame,
@@ -61,11 +72,7 @@ def chat_features(
     ``emote_density`` (``emotes`` are patterns) and ``sentiment_<mood>``.  ``sentiment_intensity`` is the largest mood's and
     ``dominant_mood`` its name, empty up to 0.1.  Messages of bots do not count; a null text has no word.
     """
-    told = F.coalesce(F.col(text), F.lit(""))
-    scores = {f"sentiment_{m}": best_weight(told, words) for m, words in lexica.items()}
-    scores["emote_density"] = F.regexp_count(told, F.lit(rf"(?iU)\b(?:{'|'.join(emotes)})\b")).cast("double")
-    scores["caps_ratio"] = F.when(shouted(told), 1.0).otherwise(0.0)
-    heard = without_bots(messages, F.col(author), list(bots)).withColumns(scores)
-    seen = chat_windows(heard, durations, by, t, author, window, hop, list(scores))
+    heard, scores = scored(messages, author, text, lexica, emotes, bots)
+    seen = chat_windows(heard, durations, by, t, author, window, hop, scores)
     intensity, mood = moods([f"sentiment_{m}" for m in lexica])
     return seen.withColumn("sentiment_intensity", intensity).withColumn("dominant_mood", F.regexp_replace(mood, "^sentiment_", ""))
