@@ -74,7 +74,7 @@ def formatted_turns(conversations: DataFrame, tokenizer: str) -> DataFrame:
     c = c.withColumns({"_conv": F.coalesce(F.col("conv_id").cast("string"), F.lit("~")), "_part": F.shiftright(F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))), PART)})
     head, body = F.concat(F.lit(OPEN), _role(F.col("role")), F.lit("\n")), escaped(F.col("text"))
     c = c.withColumns({"formatted": F.concat(head, body, F.lit(CLOSE + "\n")), "at": F.length(head), "chars": F.length(body)})
-    c = c.withColumn("size", _tokens(tokenizer)("formatted"))
+    c = stage(c.withColumn("size", _tokens(tokenizer)("formatted")))  # read twice below, tokenised once
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
     c = placed(c, ["_conv"], "_part", order, "ord")
     sums = c.groupBy("_conv", "_part").agg(F.sum("size").alias("_size"))
