@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crestline.plans.catalog import query
 from crestline.plans.roles import load
-from crestline.streaming import state, windows
+from crestline.streaming import documents, state, windows
 
 
 def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
   nullif(arg_max(CASE event_id % 4 WHEN 0 THEN '' ELSE 'e' || event_id END, event_id) FILTER (event_id % 4 < 2), '') AS error FROM events GROUP BY user_id""")
 def stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document of each job after all partial updates."""
-    merged = state.merged_documents_batch(_updates(spark, sf_dir))
+    merged = documents.merged_documents_batch(_updates(spark, sf_dir))
     doc = F.from_json("document", "status string, error string")
     return merged.withColumn("d", doc).select("job_id", "seq", "d.status", "d.error")
 

@@ -1,99 +1,20 @@
-"""Keyed state over streams: partial updates, rate limits, dimensions, deduplication.
+"""Keyed state over streams: rate limits, dimensions, deduplication, progress.
 
 Each streaming operator has a batch function of the same result, so that a backfill and
-a live job agree.  Updates carry a sequence number; the order of a key's updates is its
-sequence, whatever order they arrive in within a trigger.
+a live job agree.  Documents from partial updates are in :mod:`crestline.streaming.documents`.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def apply_patch(document: dict, payload: str | None) -> dict:
-    """Merge a JSON patch: absent keys stay, null clears, ``clip_ready`` upserts one hot point.
-
-    On ``DONE`` the final list of hot points counts only where none was streamed before.  A
-    payload that is no JSON object changes nothing.
-    """
-    try:
-        patch = json.loads(payload or "")
-    except ValueError:
-        return document
-    if not isinstance(patch, dict):
-        return document
-    document = dict(document)
-    if patch.get("type") == "clip_ready" and isinstance(patch.get("hot_point"), dict):
-        point, points = patch["hot_point"], list(document.get("hot_points") or [])
-        spots = [i for i, p in enumerate(points) if p.get("clip_filename") == point.get("clip_filename")]
-        if spots:
-            points[spots[0]] = point
-        else:
-            points.append(point)
-        document["hot_points"] = points
-        return document
-    keep = patch.get("status") == "DONE" and document.get("hot_points")
-    for key, value in patch.items():
-        if key not in ("type", "job_id") and not (keep and key == "hot_points"):
-            document[key] = value
-    return document
-
-
-_STATE = T.StructType([T.StructField("seq", T.LongType()), T.StructField("document", T.StringType())])
-
-
-def _fold(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    seq, text = state.get if state.exists else (-1, "{}")
-    document, frame = json.loads(text), pd.concat(list(rows)).sort_values("seq", kind="stable")
-    for s, payload in zip(frame["seq"], frame["payload"], strict=True):
-        if s > seq:
-            document, seq = apply_patch(document, payload), int(s)
-    text = json.dumps(document, sort_keys=True, ensure_ascii=False)
-    state.update((seq, text))
-    state.setTimeoutDuration(15 * 60 * 1000)
-    yield pd.DataFrame({"job_id": [key[0]], "seq": [seq], "document": [text]})
-
-
-def merged_documents(updates: DataFrame) -> DataFrame:
-    """Stream of ``job_id, seq, document``: the state of a job after each trigger that touched it.
-
-    ``updates`` has ``job_id, seq, payload``.  A sequence number already applied is
-    skipped, so replays after a restart change nothing.  State of jobs that are quiet for 15
-    minutes is dropped.  That timeout keeps batches coming, so an ``availableNow`` query
-    does not end by itself: stop it once its input is read.
-    """
-    kind = updates.schema["job_id"].dataType.simpleString()
-    return updates.select("job_id", "seq", "payload").groupBy("job_id").applyInPandasWithState(
-        _fold, f"job_id {kind}, seq long, document string", _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout
-    )
-
-
-def merged_documents_batch(updates: DataFrame) -> DataFrame:
-    """The last state of every job, from all of its updates."""
-    kind = updates.schema["job_id"].dataType.simpleString()
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        document, last = {}, -1
-        for s, payload in group.sort_values("seq", kind="stable")[["seq", "payload"]].itertuples(index=False):
-            if s > last:
-                document, last = apply_patch(document, payload), int(s)
-        text = json.dumps(document, sort_keys=True, ensure_ascii=False)
-        return pd.DataFrame({"job_id": [group["job_id"].iloc[0]], "seq": [last], "document": [text]})
-
-    return updates.select("job_id", "seq", "payload").groupBy("job_id").applyInPandas(fold, f"job_id {kind}, seq long, document string")
-
-
 def decide(times: Sequence[float], log: list[float], most: int, window: float) -> tuple[list[tuple[bool, float]], list[float]]:
     """Sliding-log decisions for request times in order: allowed, and else the wait in seconds.
 

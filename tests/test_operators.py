@@ -262,18 +262,6 @@ def test_blend_rescues_and_demotes(spark):
 # -- state
 
 
-def test_patches_keep_clear_and_replace():
-    doc = state.apply_patch({}, '{"status": "RUN", "error": "x"}')
-    doc = state.apply_patch(doc, '{"status": "DONE", "error": null}')
-    assert doc == {"status": "DONE", "error": None}
-    assert state.apply_patch(doc, "no json") == doc and state.apply_patch(doc, None) == doc and state.apply_patch(doc, "[1]") == doc
-    ready = lambda f, s: json.dumps({"type": "clip_ready", "hot_point": {"clip_filename": f, "score": s}})
-    for f, s in (("a", 1), ("b", 2), ("a", 3)):
-        doc = state.apply_patch(doc, ready(f, s))
-    assert [(p["clip_filename"], p["score"]) for p in doc["hot_points"]] == [("a", 3), ("b", 2)]
-    assert len(state.apply_patch(doc, '{"status": "DONE", "hot_points": []}')["hot_points"]) == 2
-
-
 def test_rejected_requests_are_not_logged(spark):
     told, log = state.decide([0, 100, 200, 999, 1000, 1001], [], 2, 1000.0)
     assert [a for a, _ in told] == [True, True, False, False, True, False]
@@ -282,28 +270,3 @@ def test_rejected_requests_are_not_logged(spark):
     df = spark.createDataFrame(hits, "ip string, t long, i int").repartition(3)
     got = {r["i"]: r["allowed"] for r in state.rate_limited_batch(df, ["ip"], "t", "i", 2, 1000.0).collect()}
     assert got == {0: True, 1: True, 2: False, 3: False, 4: True, 5: False, 9: True}
-
-
-def test_streamed_documents_equal_the_batch_after_a_restart(spark, tmp_path):
-    updates = [(f"j{i % 4}", i, json.dumps({"status": f"s{i}", **({"error": None} if i % 5 == 0 else {"error": "e"})})) for i in range(40)]
-    schema = "job_id string, seq long, payload string"
-    source, out, seen = str(tmp_path / "in"), {}, str(tmp_path / "checkpoint")
-
-    def run(last):
-        def keep(batch, _epoch):
-            for r in batch.collect():
-                if r["seq"] >= out.get(r["job_id"], (-1, ""))[0]:
-                    out[r["job_id"]] = (r["seq"], r["document"])
-
-        stream = state.merged_documents(spark.readStream.schema(schema).json(source))
-        query = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", seen).start()
-        until = time.time() + 90  # state with a timeout never runs out of batches: the query is stopped
-        while time.time() < until and max((s for s, _ in out.values()), default=-1) < last:
-            time.sleep(0.3)
-        query.stop()
-
-    for part in (updates[:25], updates[25:]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(source)
-        run(part[-1][1])
-    want = state.merged_documents_batch(spark.createDataFrame(updates, schema)).collect()
-    assert out == {r["job_id"]: (r["seq"], r["document"]) for r in want}
