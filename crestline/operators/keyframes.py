@@ -77,7 +77,7 @@ def compose_animations(animations: Column, t: Column, clip: Column, fades: tuple
     return F.struct(F.greatest(F.lit(0.0), F.least(F.lit(1.0), opacity)).alias("opacity"), state["scale"].alias("scale"), state["x"].alias("x"), state["y"].alias("y"))
 
 
-def easing_table(points: DataFrame, t: str, names: Sequence[str]) -> DataFrame:
-    """Every named curve at every point."""
+def easing_table(points: DataFrame, t: str, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Every named curve at every point, which ``keys`` tell apart."""
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("easing"), eased(n, F.col(t)).alias("value")) for n in names]))
-    return points.select(t, pairs.alias("e")).select(t, "e.easing", "e.value")
+    return points.select(*keys, t, pairs.alias("e")).select(*keys, t, "e.easing", "e.value")

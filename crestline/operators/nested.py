@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,6 +47,17 @@ def first_list(text: Column, element: str) -> Column:
     return F.from_json(F.try_element_at(lists, F.lit(1)), f"array<{element}>")
 
 
+def entries(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
+    """``keys, pos, key, value, kind``: every entry of an open JSON object, its value as text and its type's name.
+
+    The document is parsed once, as a variant; a text that is no JSON object, or null, has no entry.  A JSON null is a
+    null value of kind ``VOID``.
+    """
+    parsed = df.select(*keys, F.try_parse_json(text).alias("_v")).filter(F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT")))
+    rows = parsed.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+    return rows.select(*keys, "pos", "key", F.try_variant_get("value", "$", "string").alias("value"), F.schema_of_variant("value").alias("kind"))
+
+
 def bounded(x: Column, default: float = 0.0) -> Column:
     """A number clamped to 0..1, ``default`` where missing."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.nanvl(x, F.lit(None).cast("double")), F.lit(default))))

@@ -335,8 +335,8 @@ def batch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.merge_groups(_clips(spark, sf_dir), ["job_id"], "start", "end", 900.0, ["rank"]).select("job_id", "rank", "grp")
 
 
-@query(f"""WITH RECURSIVE {MESSAGES}, {_CLIPS},
-state(job_id, rank, s, e, owner, active, gs, ge, ptr) USING KEY (job_id, rank) AS (
+#: CTE ``state`` absorbs the clips of ``clips``, one of each stream a step; ``_ABSORBED`` reads it.
+_ABSORB = """state(job_id, rank, s, e, owner, active, gs, ge, ptr) USING KEY (job_id, rank) AS (
   SELECT job_id, rank, "start", "end", CASE WHEN best THEN rank END, best, "start", "end", rank
   FROM (SELECT *, rank = min(rank) OVER (PARTITION BY job_id) AS best FROM clips)
   UNION
@@ -354,8 +354,11 @@ state(job_id, rank, s, e, owner, active, gs, ge, ptr) USING KEY (job_id, rank) A
   UNION ALL
   SELECT h.job_id, h.t.rank, h.t.s, h.t.e, c.rank, false, h.t.s, h.t.e, h.t.rank FROM hit h JOIN cur c USING (job_id)
   UNION ALL
-  SELECT f.job_id, f.rank, t.s, t.e, f.rank, true, t.s, t.e, f.rank FROM fresh f JOIN recurring.state t ON t.job_id = f.job_id AND t.rank = f.rank))
-SELECT c.job_id, c.rank, o.gs AS "start", o.ge AS "end", c.owner AS kept_rank FROM state c JOIN state o ON o.job_id = c.job_id AND o.rank = c.owner""")
+  SELECT f.job_id, f.rank, t.s, t.e, f.rank, true, t.s, t.e, f.rank FROM fresh f JOIN recurring.state t ON t.job_id = f.job_id AND t.rank = f.rank))"""
+_ABSORBED = """SELECT c.job_id, c.rank, o.gs AS "start", o.ge AS "end", c.owner AS kept_rank FROM state c JOIN state o ON o.job_id = c.job_id AND o.rank = c.owner"""
+
+
+@query(f"WITH RECURSIVE {MESSAGES}, {_CLIPS}, {_ABSORB} {_ABSORBED}")
 def overlap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy absorption of mostly covered clips; its twin absorbs one clip of each stream a step."""
     return intervals.overlap_dedup(_clips(spark, sf_dir), "job_id", "rank", "start", "end")

@@ -306,13 +306,6 @@ def merge_similar_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.merge_similar(e, "clip", "vec_id", "embedding", "seconds", 0.2)
 
 
-@query()
-def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-dependent clustering of boxes; tested against a plain twin."""
-    p = load(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 50).alias("clip"), "p_partkey", F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") % 50).alias("y"), F.lit(12.0).alias("r"))
-    return vectors.leader_clusters(p, "clip", "p_partkey", "x", "y", "r").select("clip", "p_partkey", "cluster")
-
-
 @query("SELECT p_brand, round(quantile_cont(p_size, 0.5), 6) AS p_size, round(quantile_cont(p_retailprice, 0.5), 6) AS p_retailprice FROM part GROUP BY p_brand")
 def median_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = vectors.median_box(load(spark, sf_dir, "part"), ["p_brand"], ["p_size", "p_retailprice"])
@@ -338,15 +331,16 @@ def envelope_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.envelope(e, ["event_type"], "i", "v", 50)
 
 
-@query("""WITH p AS (SELECT i / 20.0 AS t FROM range(-2, 23) AS r(i)), c AS (SELECT t, greatest(0, least(1, t)) AS x FROM p)
-SELECT t, easing, round(value, 6) AS value FROM (
-  SELECT t, 'linear' AS easing, x AS value FROM c UNION ALL SELECT t, 'easeIn', x * x FROM c UNION ALL SELECT t, 'easeOut', 1 - (1 - x) * (1 - x) FROM c
-  UNION ALL SELECT t, 'easeInOut.power3', CASE WHEN x < 0.5 THEN 4 * x ** 3 ELSE 1 - (2 - 2 * x) ** 3 / 2 END FROM c
-  UNION ALL SELECT t, 'elastic', CASE WHEN x = 0 OR x = 1 THEN x ELSE -(2 ** (10 * x - 10)) * sin((10 * x - 10.75) * 2 * pi() / 3) END FROM c)""")
+@query("""WITH c AS (SELECT event_id, greatest(0, least(1, value / 450 - 0.05)) AS x FROM events)
+SELECT event_id, easing, round(value, 6) AS value FROM (
+  SELECT event_id, 'linear' AS easing, x AS value FROM c UNION ALL SELECT event_id, 'easeIn', x * x FROM c UNION ALL SELECT event_id, 'easeOut', 1 - (1 - x) * (1 - x) FROM c
+  UNION ALL SELECT event_id, 'easeInOut.power3', CASE WHEN x < 0.5 THEN 4 * x ** 3 ELSE 1 - (2 - 2 * x) ** 3 / 2 END FROM c
+  UNION ALL SELECT event_id, 'elastic', CASE WHEN x = 0 OR x = 1 THEN x ELSE -(2 ** (10 * x - 10)) * sin((10 * x - 10.75) * 2 * pi() / 3) END FROM c)""")
 def easing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = spark.range(-2, 23).select((F.col("id") / 20.0).alias("t"))
-    table = keyframes.easing_table(points, "t", ["linear", "easeIn", "easeOut", "easeInOut.power3", "elastic"])
-    return table.withColumn("value", F.round("value", 6))
+    """Curves at the values of all events, some of them beyond the ends."""
+    points = load(spark, sf_dir, "events").select("event_id", (F.col("value") / 450 - 0.05).alias("t"))
+    names = ["linear", "easeIn", "easeOut", "easeInOut.power3", "elastic"]
+    return keyframes.easing_table(points, "t", names, ["event_id"]).select("event_id", "easing", F.round("value", 6).alias("value"))
 
 
 @query("""WITH k AS (SELECT o_custkey AS c, o_orderkey AS id, (o_orderkey % 97) / 10.0::DOUBLE AS t, o_totalprice AS x FROM orders),
