@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from crestline.operators.greedy import cut_lineage
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -29,46 +31,48 @@ def speaker_totals(turns: DataFrame, by: Sequence[str], speaker: str, start: str
     return per.withColumn("share", F.try_divide("seconds", F.sum("seconds").over(whole))).withColumn("dominant", rank == 1)
 
 
-#: References of a block: what a task holds of them at a time.
-REFERENCE_BLOCK = 4096
-
+#: References, and vectors, that a task holds at a time.
+REFERENCE_BLOCK, VECTOR_BLOCK = 4096, 16_384
 
-def _best_of(names: list[str], block: np.ndarray):
-    """Pandas UDF: the most similar reference of a block, the last by name of equals."""
-    norms = np.linalg.norm(block, axis=1)
-    unit = block / np.where(norms > 0, norms, 1)[:, None]
-
-    @F.pandas_udf("s double, n string")
-    def best(vectors: pd.Series) -> pd.DataFrame:
-        x = np.stack(vectors.to_numpy()).astype(float)
-        n = np.linalg.norm(x, axis=1)
-        sim = np.round((x / np.where(n > 0, n, 1)[:, None]) @ unit.T, 9)
-        at = sim.shape[1] - 1 - sim[:, ::-1].argmax(axis=1)
-        return pd.DataFrame({"s": sim[np.arange(len(x)), at], "n": [names[i] for i in at]})
 
-    return best
+def _most_similar(x: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest cosine of each row of ``x`` to a row of ``refs``, rounded to 9 places, and that row: the last of equals."""
+    norm, own = np.linalg.norm(refs, axis=1), np.linalg.norm(x, axis=1)
+    similar = np.round((x / np.where(own > 0, own, 1)[:, None]) @ (refs / np.where(norm > 0, norm, 1)[:, None]).T, 9)
+    at = similar.shape[1] - 1 - similar[:, ::-1].argmax(axis=1)
+    return similar[np.arange(len(x)), at], at
 
 
-def reference_match(vectors: DataFrame, references: DataFrame, by: str, vector: str, name: str, least: float = 0.55, block: int = REFERENCE_BLOCK) -> DataFrame:
-    """Every vector with the most similar reference; its name if similar enough.
+def reference_match(
+    vectors: DataFrame, references: DataFrame, by: str, vector: str, name: str, least: float = 0.55, block: int = REFERENCE_BLOCK, rows: int = VECTOR_BLOCK
+) -> DataFrame:
+    """Every vector with the most similar reference, the last by name of equals; its name if similar enough.
 
-    References travel to the tasks in blocks of some ``block`` rows, each of which is scored against all
-    vectors where they lie; so nothing is shuffled, and any number of references is taken in turn.  Vectors
-    and references must be of one length; zero vectors have similarity 0.
+    Vectors are dealt to blocks of some ``rows``, references to blocks of some ``block``, and each pair of blocks meets in a task, which
+    gives the best reference of each vector there; the best of these is a plain aggregate.  So a task holds two
+    blocks, the driver none, and the only sizes counted are the two tables'.  Vectors and references must be of one
+    length; zero vectors have similarity 0.  Rows are told apart, also where ``by`` repeats.
     """
-    blocks = max(1, -(-references.count() // block))
-    kind, best = references.schema[name].dataType, None
-    for turn in range(blocks):
-        part = references.filter(F.pmod(F.xxhash64(name), F.lit(blocks)) == turn)
-        rows = sorted((r["n"], r["v"]) for r in part.select(F.col(name).cast("string").alias("n"), F.col(vector).alias("v")).collect())
-        if rows:
-            told = _best_of([n for n, _ in rows], np.array([v for _, v in rows], dtype=float))(F.col(vector))
-            best = told if best is None else F.greatest(best, told)
-    if best is None:
-        best = F.lit(None).cast("struct<s: double, n: string>")
-    told = vectors.select(by, best.alias("_b"))
+    known = vectors.select(F.monotonically_increasing_id().alias("_row"), F.col(by).alias("_by"), F.col(vector).cast("array<double>").alias("_v"))
+    known = cut_lineage(known)
+    many, few = max(1, -(-known.count() // rows)), max(1, -(-references.count() // block))
+    kind = references.schema[name].dataType
+    named = references.select(F.col(name).cast("string").alias("_n"), F.col(vector).cast("array<double>").alias("_w"))
+    left = known.withColumns({"_i": F.pmod(F.xxhash64("_row"), F.lit(many)), "_j": F.explode(F.sequence(F.lit(0), F.lit(few - 1)))})
+    right = named.withColumns({"_j": F.pmod(F.xxhash64("_n"), F.lit(few)).cast("int"), "_i": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long")))})
+
+    def meet(key: tuple, own: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(refs):
+            return pd.DataFrame({"_row": np.zeros(0, dtype=np.int64), "s": np.zeros(0), "n": np.zeros(0, dtype=str)})
+        refs = refs.sort_values("_n", kind="stable")
+        similar, at = _most_similar(np.stack(own["_v"].to_numpy()).astype(float), np.stack(refs["_w"].to_numpy()).astype(float))
+        return pd.DataFrame({"_row": own["_row"].to_numpy(), "s": similar, "n": refs["_n"].to_numpy()[at]})
+
+    pairs = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(meet, "_row long, s double, n string")
+    best = pairs.groupBy("_row").agg(F.max(F.struct("s", "n")).alias("_b"))
+    told = known.select("_row", "_by").join(best, "_row", "left")
     nearest = F.col("_b.n").cast(kind)
-    return told.select(by, nearest.alias("nearest"), F.col("_b.s").alias("similarity"), F.when(F.col("_b.s") >= least, nearest).alias(name))
+    return told.select(F.col("_by").alias(by), nearest.alias("nearest"), F.col("_b.s").alias("similarity"), F.when(F.col("_b.s") >= least, nearest).alias(name))
 
 
 def merge_similar(speakers: DataFrame, by: str, name: str, vector: str, seconds: str, least: float = 0.75) -> DataFrame:

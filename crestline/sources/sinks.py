@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crestline.operators.catalog import insert_absent, merge_partial
+from crestline.operators.catalog import merge_partial, update_where
 
 
 def replace_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
@@ -89,14 +90,104 @@ def archive_rows(renders: DataFrame, batch: str, status: str, output: str, done:
     return kept.withColumn("entry", F.when(n == 1, base).otherwise(F.concat(stem, F.lit("-"), n.cast("string"), ext)))
 
 
-def update_table(spark: SparkSession, path: str, updates: DataFrame, key: str) -> None:
-    """Set the non-null columns of known rows; unknown keys change nothing."""
-    _swap(spark, merge_partial(spark.read.parquet(path), updates, key), path)
+#: What names the files that a finished rewrite replaces, in the folder of the rewrite.
+_MANIFEST = "_files.json"
+
+
+def _path_of(spark: SparkSession, file: str):
+    """Hadoop's path of a ``_metadata.file_path``."""
+    return spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+
+
+def _partitions(spark: SparkSession, path: str, file: str) -> list[str]:
+    """Partition columns of a table from the path of one of its files."""
+    at, fs = _files(spark, path)
+    inside = _path_of(spark, file).toString().removeprefix(fs.makeQualified(at).toString())
+    return [part.split("=", 1)[0] for part in inside.split("/")[:-1] if "=" in part]
+
+
+def finish_updates(spark: SparkSession, path: str) -> None:
+    """Complete the rewrites that a lost driver left half done, and drop those it had not written whole.
+
+    Each new file takes the place of its old one in a single step, so at any time a row is there once, old or new.
+    """
+    at, fs = _files(spark, path)
+    if not fs.exists(at):
+        return
+    hadoop, gateway = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
+    step = hadoop.FileContext.getFileContext(fs.makeQualified(at).toUri(), spark._jsc.hadoopConfiguration())
+    option = getattr(hadoop, "Options$Rename")
+    overwrite = gateway.new_array(option, 1)
+    overwrite[0] = option.OVERWRITE
+    for folder in [x.getPath() for x in fs.listStatus(at) if x.getPath().getName().startswith("_update-")]:
+        manifest = hadoop.Path(folder, _MANIFEST)
+        if fs.exists(manifest):
+            stream = fs.open(manifest)
+            try:
+                old = json.loads(bytes(stream.readAllBytes()).decode("utf-8"))
+            finally:
+                stream.close()
+            for i, file in enumerate(old):
+                part = hadoop.Path(folder, f"_i={i}")
+                for new in [x.getPath() for x in fs.listStatus(part)] if fs.exists(part) else []:
+                    if new.getName().endswith(".parquet"):
+                        step.rename(fs.makeQualified(new), _path_of(spark, file), overwrite)
+        fs.delete(folder, True)
+
+
+def _rewrite(spark: SparkSession, path: str, touched: Callable[[DataFrame], DataFrame], change: Callable[[DataFrame], DataFrame]) -> int:
+    """Rewrite the files of the rows that ``touched`` keeps, each as one new file with the rows changed; their number."""
+    finish_updates(spark, path)
+    base = spark.read.parquet(path)
+    found = touched(base.withColumn("_file", F.col("_metadata.file_path"))).select("_file").distinct()
+    files = sorted(r["_file"] for r in found.collect())  # one name a file touched
+    if not files:
+        return 0
+    fixed = _partitions(spark, path, files[0])
+    places = F.broadcast(spark.createDataFrame(list(enumerate(files)), "_i int, _file string"))
+    rows = spark.read.option("basePath", path).parquet(*[_path_of(spark, f).toString() for f in files])
+    new = change(rows.withColumn("_file", F.col("_metadata.file_path")).join(places, "_file"))
+    new = new.select("_i", *[c for c in base.columns if c not in fixed])
+    folder = f"{path.rstrip('/')}/_update-{uuid.uuid4().hex}"
+    new.repartition(len(files), "_i").write.partitionBy("_i").parquet(folder)
+    put_object(spark, json.dumps(files), f"{folder}/_written")
+    (written, fs), (manifest, _) = _files(spark, f"{folder}/_written"), _files(spark, f"{folder}/{_MANIFEST}")
+    _move(fs, written, manifest)  # from here on the rewrite counts
+    finish_updates(spark, path)
+    spark.catalog.refreshByPath(path)
+    return len(files)
+
+
+def update_table(spark: SparkSession, path: str, updates: DataFrame, key: str) -> int:
+    """Set the non-null columns of known rows; unknown keys change nothing.  Returns the number of files rewritten.
+
+    Only files that hold such a key are read whole and rewritten, each in one step, so readers see every row once and a lost
+    driver leaves work that :func:`finish_updates`, or the next update, completes.  ``updates`` must not move
+    rows to other partitions.
+    """
+    if moved := [c for c in updates.columns if c != key and c in _table_partitions(spark, path)]:
+        raise ValueError(f"partition columns cannot be updated in place: {', '.join(moved)}")
+    known = updates.select(key).filter(F.col(key).isNotNull()).distinct()
+    return _rewrite(spark, path, lambda base: base.join(known, key, "left_semi"), lambda rows: merge_partial(rows, updates, key))
+
+
+def update_rows(spark: SparkSession, path: str, condition: Column, values: Mapping[str, Column]) -> int:
+    """Set columns of the rows that meet a condition, as in :func:`update_table`; the number of files rewritten."""
+    return _rewrite(spark, path, lambda base: base.filter(condition), lambda rows: update_where(rows, condition, values))
+
+
+def _table_partitions(spark: SparkSession, path: str) -> list[str]:
+    first = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("f")).limit(1).collect()
+    return _partitions(spark, path, first[0]["f"]) if first else []
 
 
 def insert_new(spark: SparkSession, path: str, rows: DataFrame, key: str) -> None:
-    """Add the rows whose key the table lacks; running it again adds nothing."""
-    _swap(spark, insert_absent(spark.read.parquet(path), rows.dropDuplicates([key]), key), path)
+    """Add the rows whose key the table lacks as new files; running it again adds nothing."""
+    finish_updates(spark, path)
+    base = spark.read.parquet(path)
+    fresh = rows.dropDuplicates([key]).join(base.select(key), key, "left_anti").select(*base.columns)
+    fresh.write.mode("append").partitionBy(*_table_partitions(spark, path)).parquet(path)
+    spark.catalog.refreshByPath(path)
 
 
 def evolve(tables: Sequence[DataFrame]) -> DataFrame:

@@ -6,6 +6,7 @@ import wave
 from datetime import datetime, timezone
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,16 @@ def test_references_in_blocks(spark):
     assert vectors.reference_match(vs, rs.limit(0), "id", "v", "name").filter("nearest IS NOT NULL").count() == 0
 
 
+def test_a_hundred_thousand_references(spark):
+    rng = np.random.default_rng(6)
+    v, r = rng.standard_normal((300, 8)), rng.standard_normal((100_000, 8))
+    vs = spark.createDataFrame(pd.DataFrame({"id": np.arange(300) // 2, "v": v.tolist()}))  # ids that repeat
+    rs = spark.createDataFrame(pd.DataFrame({"name": np.arange(100_000), "v": r.tolist()}))
+    got = vectors.reference_match(vs, rs, "id", "v", "name", block=20_000, rows=100).collect()
+    sim = np.round((v / np.linalg.norm(v, axis=1, keepdims=True)) @ (r / np.linalg.norm(r, axis=1, keepdims=True)).T, 9)
+    assert sorted((x["id"], x["nearest"]) for x in got) == sorted((i // 2, int(sim[i].argmax())) for i in range(300))
+
+
 # -- chat, catalog, documents
 
 
