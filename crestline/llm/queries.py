@@ -41,7 +41,7 @@ def op3_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crestline.llm.license_scan import scan_licences
 
-    return scan_licences(table(spark, sf_dir, "documents")).drop("spans")
+    return scan_licences(table(spark, sf_dir, "documents")).withColumn("spans", F.to_json("spans"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
