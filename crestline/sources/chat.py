@@ -13,7 +13,19 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    DataSourceStreamReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+)
 
 from crestline.sources.schemas import MESSAGES
 
@@ -60,25 +72,78 @@ def page_through(fetch: Callable, video_id: str, start: int, end: int, keep: boo
         cursor = following
 
 
+def _read(fetch: str, partition: ChatRange, keep: bool) -> Iterator[tuple]:
+    module, _, name = fetch.partition(":")
+    function = getattr(importlib.import_module(module), name)
+    for ts, author, text in page_through(function, partition.video_id, partition.start, partition.end, keep):
+        yield partition.video_id, ts, author, text
+
+
 class ChatReader(DataSourceReader):
+    """Reads the ranges of time that the filters leave.
+
+    Comparisons of ``ts`` and of ``job_id`` with values narrow what is planned (where
+    ``spark.sql.python.filterPushdown.enabled`` is set); Spark still applies them to the rows.
+    """
+
     def __init__(self, options: dict):
         self.videos = [v for v in options.get("videos", "").split(",") if v]
-        self.duration = float(options.get("duration", "0"))
+        self.start, self.end = 0, int(-(-float(options.get("duration", "0")) // 1))
         self.fetch, self.keep = options["fetch"], options.get("keep", "false") == "true"
 
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            yield f
+            column = getattr(f, "attribute", None)
+            if column == ("job_id",) and isinstance(f, (EqualTo, In)):
+                wanted = [f.value] if isinstance(f, EqualTo) else f.value
+                self.videos = [v for v in self.videos if v in wanted]
+            elif column == ("ts",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                self.start = max(self.start, int(f.value // 1))
+            if column == ("ts",) and isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                # The end of a range is not in it.
+                self.end = min(self.end, int(-(-f.value // 1)) if isinstance(f, LessThan) else int(f.value // 1) + 1)
+
     def partitions(self) -> list[InputPartition]:
-        steps = range(0, max(1, int(-(-self.duration // 1))), RANGE_SECONDS)
-        return [ChatRange(v, s, min(s + RANGE_SECONDS, int(-(-self.duration // 1)))) for v in self.videos for s in steps]
+        first = self.start // RANGE_SECONDS * RANGE_SECONDS
+        steps = range(first, max(first + 1, self.end), RANGE_SECONDS)
+        found = [ChatRange(v, max(s, self.start), min(s + RANGE_SECONDS, self.end)) for v in self.videos for s in steps]
+        return [p for p in found if p.start < p.end] or [ChatRange("", 0, 0)]
 
     def read(self, partition: ChatRange) -> Iterator[tuple]:
-        module, _, name = self.fetch.partition(":")
-        fetch = getattr(importlib.import_module(module), name)
-        for ts, author, text in page_through(fetch, partition.video_id, partition.start, partition.end, self.keep):
-            yield partition.video_id, ts, author, text
+        return _read(self.fetch, partition, self.keep)
+
+
+class LiveChatReader(DataSourceStreamReader):
+    """Chats that are still going on.  An offset is a second of the recordings, so a trigger, and its replay, reads a range of time.
+
+    ``clock``, a callable named as ``fetch`` is, gives the second up to which chats are complete.
+    """
+
+    def __init__(self, options: dict):
+        self.videos = [v for v in options.get("videos", "").split(",") if v]
+        self.fetch, self.clock, self.begin = options["fetch"], options["clock"], int(options.get("begin", "0"))
+
+    def initialOffset(self) -> dict:
+        return {"second": self.begin}
+
+    def latestOffset(self) -> dict:
+        module, _, name = self.clock.partition(":")
+        return {"second": max(self.begin, int(getattr(importlib.import_module(module), name)()))}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        a, b = start["second"], end["second"]
+        return [ChatRange(v, s, min(s + RANGE_SECONDS, b)) for v in self.videos for s in range(a, b, RANGE_SECONDS)]
+
+    def read(self, partition: ChatRange) -> Iterator[tuple]:
+        return _read(self.fetch, partition, False)
 
 
 class ChatDataSource(DataSource):
-    """``spark.read.format("chat_pages").option("videos", "1,2").option("duration", ...).option("fetch", "mod:fn")``."""
+    """``spark.read.format("chat_pages").option("videos", "1,2").option("duration", ...).option("fetch", "mod:fn")``.
+
+    With ``readStream`` the option ``clock`` takes the place of ``duration``.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -89,3 +154,6 @@ class ChatDataSource(DataSource):
 
     def reader(self, schema) -> ChatReader:
         return ChatReader(self.options)
+
+    def streamReader(self, schema) -> LiveChatReader:
+        return LiveChatReader(self.options)

@@ -9,6 +9,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from crestline.operators.catalog import merge_partial, update_where
 
@@ -220,3 +221,19 @@ def status_messages(before: DataFrame, after: DataFrame, key: str, columns: Sequ
     changed = [F.struct(F.lit(c).alias("k"), F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}).alias("v"), (~F.col(c).eqNullSafe(F.col(f"_o_{c}"))).alias("d")) for c in columns]
     parts = F.transform(F.filter(F.array(*changed), lambda x: x["d"]), lambda x: F.concat(F.lit('"'), x["k"], F.lit('":'), F.substring(x["v"], F.lit(6), F.length(x["v"]) - 6)))
     return both.select(key, parts.alias("_p")).filter(F.size("_p") > 0).select(key, F.concat(F.lit("{"), F.array_join("_p", ","), F.lit("}")).alias("payload"))
+
+
+def publish(stream: DataFrame, path: str, channel: str, checkpoint: str) -> DataStreamWriter:
+    """Writer of a stream's rows to channels: a folder a trigger, and in it a folder for each value of ``channel``.
+
+    A trigger that is replayed after a crash finds its folder whole and writes nothing, or not whole and
+    writes it anew, so a row is published once.  :func:`crestline.sources.tables.subscribe` reads one channel, or all.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        folder = f"{path.rstrip('/')}/epoch={epoch}"
+        done, fs = _files(batch.sparkSession, f"{folder}/_SUCCESS")
+        if not fs.exists(done):
+            batch.withColumn("channel", F.col(channel).cast("string")).write.mode("overwrite").partitionBy("channel").json(folder)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

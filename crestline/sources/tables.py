@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import wave
 from collections.abc import Iterator, Sequence
 
@@ -73,6 +74,17 @@ def stream_updates(spark: SparkSession, path: str, schema: str, per_trigger: int
     return stream.withColumn("channel", F.regexp_extract(F.input_file_name(), r"([^/:]+?)(?:\.json)?$", 1))
 
 
+def subscribe(spark: SparkSession, path: str, schema: str, channel: str | None = None, per_trigger: int = 1000) -> DataFrame:
+    """Stream of what :func:`crestline.sources.sinks.publish` writes: the rows with their ``channel`` and ``epoch``, of one channel or all.
+
+    Only the folders of a channel with a plain name are listed; its offsets are Spark's own, kept in the reader's checkpoint.
+    """
+    rows = spark.readStream.schema(f"{schema}, epoch long, channel string").option("basePath", path).option("maxFilesPerTrigger", per_trigger)
+    plain = channel is not None and re.fullmatch(r"[A-Za-z0-9_.-]+", channel)  # others are escaped in the folder's name
+    found = rows.json(f"{path.rstrip('/')}/epoch=*/channel={channel if plain else '*'}")
+    return found if channel is None else found.filter(F.col("channel") == channel)
+
+
 def frame_times(start: Column, end: Column, n: int, duration: Column | None = None) -> Column:
     """``n`` evenly spaced times, to a tenth; with a ``duration`` the last stays half a second before its end."""
     if n <= 1:
