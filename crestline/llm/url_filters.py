@@ -81,15 +81,15 @@ def url_path(url: Column) -> Column:
     return F.regexp_replace(path, "/+$", "")
 
 
-def _lookup_keys(host: Column, path: Column) -> Column:
-    """Every pattern that could match: the host, its parent domains, its path prefixes."""
+def _lookup_keys(host: Column, path: Column, deepest: int) -> Column:
+    """Every pattern that could match: the host, its parent domains, its path prefixes as far as the ``deepest`` pattern goes."""
     labels, parts = F.split(host, r"\."), F.split(path, "/")
     domains = F.transform(
         F.sequence(F.lit(1), F.size(labels)),
         lambda i: F.concat(F.lit("domain "), F.array_join(F.slice(labels, i, F.size(labels)), ".")),
     )
     prefixes = F.transform(
-        F.sequence(F.lit(1), F.size(parts)),
+        F.sequence(F.lit(1), F.least(F.size(parts), F.lit(deepest))),
         lambda i: F.concat(F.lit("prefix "), host, F.array_join(F.slice(parts, 1, i), "/")),
     )
     return F.array_distinct(F.concat(domains, prefixes, F.array(F.concat(F.lit("host "), host))))
@@ -110,14 +110,16 @@ def filter_urls(
     spans = validity_intervals(log).select(
         F.concat_ws(" ", "kind", "pattern").alias("_key"), "list", "effect", "kind", "pattern", "valid_from", "valid_to"
     )
+    depth = F.when(F.col("kind") == "prefix", F.size(F.split("pattern", "/")))
+    n_spans, deepest = spans.agg(F.count(F.lit(1)), F.coalesce(F.max(depth), F.lit(1))).first()
     keyed = (
         pages.filter(F.col("host").isNotNull() & F.col("fetched_at").isNotNull())
-        .select("page_id", "url", "fetched_at", F.explode(_lookup_keys(F.col("host"), url_path(F.col("url")))).alias("_key"))
+        .select("page_id", "url", "fetched_at", F.explode(_lookup_keys(F.col("host"), url_path(F.col("url")), deepest)).alias("_key"))
     )
     active = (F.col("fetched_at") >= F.col("valid_from")) & (
         F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))
     )
-    if spans.count() <= broadcast_rows:
+    if n_spans <= broadcast_rows:
         hits = keyed.join(F.broadcast(spans), "_key").filter(active)
     else:
         salts = spans.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
