@@ -11,8 +11,10 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
+
+from crestline.streaming.live import use_rocksdb
 
 
 def decide(times: Sequence[float], log: list[float], most: int, window: float) -> tuple[list[tuple[bool, float]], list[float]]:
@@ -43,22 +45,30 @@ def rate_limited_batch(requests: DataFrame, keys: Sequence[str], t: str, order:
     return requests.groupBy(*keys).applyInPandas(limit, f"{kinds}, allowed boolean, retry_after double")
 
 
-def rate_limited(requests: DataFrame, key: str, t: str, order: str, most: int, window: float) -> DataFrame:
-    """Streaming twin of :func:`rate_limited_batch`; a key's log expires with its window."""
-    def limit(k: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        g = pd.concat(list(rows)).sort_values([t, order], kind="stable")
-        told, log = decide(g[t].tolist(), list(state.get[0]) if state.exists else [], most, window)
-        state.update((log,))
-        state.setTimeoutDuration(int(window))
+class SlidingLog(StatefulProcessor):
+    """The requests of one key that were let through within the window; what has left it is forgotten by the store."""
+
+    def __init__(self, t: str, order: str, most: int, window: float):
+        self.t, self.order, self.most, self.window = t, order, most, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.log = handle.getValueState("log", "times array<double>", max(1, int(self.window)))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        g = pd.concat(list(rows)).sort_values([self.t, self.order], kind="stable")
+        told, log = decide(g[self.t].tolist(), list(self.log.get()[0]) if self.log.exists() else [], self.most, self.window)
+        self.log.update(([float(x) for x in log],))
         yield g.assign(allowed=[a for a, _ in told], retry_after=[w for _, w in told])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema.fields)
-    return requests.groupBy(key).applyInPandasWithState(
-        limit, f"{kinds}, allowed boolean, retry_after double", "log array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    def close(self) -> None:
+        pass
+
+
+def rate_limited(requests: DataFrame, key: str, t: str, order: str, most: int, window: float) -> DataFrame:
+    """Streaming twin of :func:`rate_limited_batch`; a key's log expires with its window, on the RocksDB state store."""
+    use_rocksdb(requests.sparkSession)
+    schema = T.StructType([*requests.schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("retry_after", T.DoubleType())])
+    return requests.groupBy(key).transformWithStateInPandas(SlidingLog(t, order, most, window), schema, "Append", "ProcessingTime")
 
 
 def without_cancelled(jobs: DataFrame, cancelled: DataFrame, key: str, now: float, ttl: float = 3600.0) -> DataFrame:
