@@ -156,7 +156,7 @@ class GRU:
         for lo in range(0, len(token), SLICE):
             logits = h[lo : lo + SLICE] @ self.params["c"][:-1] + self.params["c"][-1]
             out[lo : lo + SLICE] = _log_softmax_at(logits, kind[lo : lo + SLICE])
-        order = np.argsort(token, kind="stable")
+        order = _by_token(token)
         edges = np.searchsorted(token[order], np.arange(0, HEAD + 1, _EACH))
         for k in np.flatnonzero(np.diff(edges)):
             at, w = order[edges[k] : edges[k + 1]], self.params["w"][k]
@@ -181,6 +181,11 @@ def _moved(x: np.ndarray, u: np.ndarray, h: np.ndarray, out: np.ndarray | None =
     return out
 
 
+def _by_token(token: np.ndarray) -> np.ndarray:
+    """Stable order by token; ids fit into 16 bits, which numpy sorts by digits."""
+    return np.argsort(token.astype(np.int16), kind="stable")
+
+
 def classes_of(token: np.ndarray) -> np.ndarray:
     return np.where(token < HEAD, token // _EACH, token - HEAD + HEAD_CLASSES)
 
@@ -243,7 +248,7 @@ def window_gradients(model: GRU, h: np.ndarray, before: np.ndarray, target: np.n
     if len(beyond):
         asked = flat_t.copy()
         asked[beyond] = -1
-    order = np.argsort(asked, kind="stable")
+    order = _by_token(asked)
     edges = np.searchsorted(asked[order], np.arange(0, HEAD + 1, _EACH))
     for k in np.flatnonzero(np.diff(edges)):
         at, w = order[edges[k] : edges[k + 1]], p["w"][k]
@@ -270,7 +275,7 @@ def window_gradients(model: GRU, h: np.ndarray, before: np.ndarray, target: np.n
     flat_x, flat_way = token.ravel(), way.reshape(3, -1, n)
     grad["u"] = np.concatenate([ahead.reshape(-1, n).T @ w for w in flat_way], axis=1)
     np.multiply(of_cand, dh, out=way[2])
-    order = np.argsort(flat_x, kind="stable")
+    order = _by_token(flat_x)
     ranked = flat_x[order]
     first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
     for k, w in enumerate(flat_way):
