@@ -17,6 +17,7 @@ Every step is a shuffle on (key, block); no task holds more than a block, and th
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -34,13 +35,18 @@ _END = 1 << 62
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the session names; local sessions without one get a temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+    """``df`` as a table in the folder that the session names; a local session without one takes a temporary folder."""
+    spark = df.sparkSession
+    conf = spark.sparkContext.getConf()
+    shared, master = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir(), conf.get("spark.master", "")
+    if not shared:
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+        shared = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.sparkContext.setCheckpointDir(shared)
+    path = f"{shared.rstrip('/')}/crestline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _hops(nodes: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

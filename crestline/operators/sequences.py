@@ -35,25 +35,29 @@ def chunk_words(
     :func:`crestline.operators.greedy.follow` walks from opening to opening.  ``order`` is a number without ties or nulls in a key;
     stretches of ``part`` places, each with the next ``most`` words as a halo, are windows of their own.
     """
-    who = F.col(speaker) if speaker else F.lit(0)
-    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(by).alias("_by"), F.col(order).alias("_o"), F.col(start).alias("_s"), F.col(end).alias("_e"), who.alias("_who"))
-    rows = placed(rows.withColumn("_part", F.floor(F.col("_o") / part)), ["_by"], "_part", ["_o"]).withColumn("_part", F.floor(F.col("_place") / part))
-    halo = F.when(F.col("_place") % part < most, F.array(F.col("_part"), F.col("_part") - 1)).otherwise(F.array("_part"))
+    # A key in a struct is never null, so joins and windows by it find rows where they lie.
+    who = [F.col(speaker).alias("_who")] if speaker else []
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.struct(F.col(by).alias("k")).alias("_by"), F.coalesce(F.floor(F.col(order) / part), F.lit(0)).alias("_part"), F.col(order).alias("_o"))
+    rows = placed(rows, ["_by"], "_part", ["_o"])
+    block = F.floor(F.col("_place") / part)
+    halo = F.when(F.col("_place") % part < most, F.array(block, block - 1)).otherwise(F.array(block))
     w = W.partitionBy("_by", "_in").orderBy("_place")
     opener = F.lead("_place", most).over(w)
     for k in range(most - 1, 0, -1):
-        too_long = F.coalesce(F.lead("_e", k).over(w) - F.col("_s") > longest, F.lit(False))
-        other = ~F.lead("_who", k).over(w).eqNullSafe(F.col("_who"))
+        moved = F.coalesce(F.lead("_e", k).over(w) - F.col("_s") > longest, F.lit(False))
+        if speaker:
+            moved = moved | ~F.lead("_who", k).over(w).eqNullSafe(F.col("_who"))
         there = F.lead("_place", k).over(w)
-        opener = F.when(there.isNotNull() & (too_long | other), there).otherwise(opener)
-    links = rows.select("_by", "_place", "_part", "_s", "_e", "_who", F.explode(halo).alias("_in")).withColumn("_next", opener)
-    opened = follow(links.filter(F.col("_part") == F.col("_in")), ["_by"], "_place", "_next").withColumn("_opens", F.lit(1))
-    marked = left_join(rows, opened, ["_by", "_place"])
-    per = marked.groupBy("_by", "_part").agg(F.count("_opens").alias("_n"))
-    earlier = W.partitionBy("_by").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    before = per.select("_by", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    here = F.count("_opens").over(W.partitionBy("_by", "_part").orderBy("_place"))
-    numbered = left_join(marked.withColumn("_here", here), before, ["_by", "_part"])
+        opener = F.when(there.isNotNull() & moved, there).otherwise(opener)
+    times = [F.col(f"_row.{start}").alias("_s"), F.col(f"_row.{end}").alias("_e"), *([F.col(f"_row.{speaker}").alias("_who")] if who else [])]
+    links = rows.select("_by", "_place", *times, F.explode(halo).alias("_in")).withColumn("_next", opener)
+    opened = follow(links.filter(block == F.col("_in")), ["_by"], "_place", "_next").withColumn("_opens", F.lit(1))
+    marked = left_join(rows.select("_row", "_by", "_place"), opened, ["_by", "_place"]).withColumn("_block", F.coalesce(block, F.lit(0)))
+    per = marked.groupBy("_by", "_block").agg(F.count("_opens").alias("_n"))
+    earlier = W.partitionBy("_by").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    before = per.select("_by", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    here = F.count("_opens").over(W.partitionBy("_by", "_block").orderBy("_place"))
+    numbered = left_join(marked.withColumn("_here", here), before, ["_by", "_block"])
     return numbered.select("_row.*", (F.col("_before") + F.col("_here") - 1).cast("int").alias("chunk"))
 
 

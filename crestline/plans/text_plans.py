@@ -160,7 +160,7 @@ FROM timed t LEFT JOIN v0 v ON v.doc_id = t.doc_id AND v.ord = t.ord"""
 @query(_chunk_twin())
 def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subtitle chunks of all documents' words: up to four words and 1.65 seconds."""
-    return sequences.chunk_words(_words(spark, sf_dir), "doc_id", "ord", "s", "e", longest=1.65).select("doc_id", "ord", "chunk")
+    return sequences.chunk_words(_words(spark, sf_dir).drop("word"), "doc_id", "ord", "s", "e", longest=1.65).select("doc_id", "ord", "chunk")
 
 
 @query("""WITH words AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(0, len(string_split(text, ' ')))) AS ord FROM documents),
