@@ -80,17 +80,26 @@ def _read(fetch: str, partition: ChatRange, keep: bool) -> Iterator[tuple]:
 
 
 class ChatReader(DataSourceReader):
-    """Reads the ranges of time that the filters leave.
-
-    Comparisons of ``ts`` and of ``job_id`` with values narrow what is planned (where
-    ``spark.sql.python.filterPushdown.enabled`` is set); Spark still applies them to the rows.
-    """
+    """Reads recordings in ranges of time."""
 
     def __init__(self, options: dict):
         self.videos = [v for v in options.get("videos", "").split(",") if v]
         self.start, self.end = 0, int(-(-float(options.get("duration", "0")) // 1))
         self.fetch, self.keep = options["fetch"], options.get("keep", "false") == "true"
 
+    def partitions(self) -> list[InputPartition]:
+        first = self.start // RANGE_SECONDS * RANGE_SECONDS
+        steps = range(first, max(first + 1, self.end), RANGE_SECONDS)
+        found = [ChatRange(v, max(s, self.start), min(s + RANGE_SECONDS, self.end)) for v in self.videos for s in steps]
+        return [p for p in found if p.start < p.end] or [ChatRange("", 0, 0)]
+
+    def read(self, partition: ChatRange) -> Iterator[tuple]:
+        return _read(self.fetch, partition, self.keep)
+
+
+class FilteredChatReader(ChatReader):
+    """Plans only the ranges that the filters leave: comparisons of ``ts`` and ``job_id`` with values; Spark still applies them to the rows."""
+
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             yield f
@@ -104,15 +113,6 @@ class ChatReader(DataSourceReader):
                 # The end of a range is not in it.
                 self.end = min(self.end, int(-(-f.value // 1)) if isinstance(f, LessThan) else int(f.value // 1) + 1)
 
-    def partitions(self) -> list[InputPartition]:
-        first = self.start // RANGE_SECONDS * RANGE_SECONDS
-        steps = range(first, max(first + 1, self.end), RANGE_SECONDS)
-        found = [ChatRange(v, max(s, self.start), min(s + RANGE_SECONDS, self.end)) for v in self.videos for s in steps]
-        return [p for p in found if p.start < p.end] or [ChatRange("", 0, 0)]
-
-    def read(self, partition: ChatRange) -> Iterator[tuple]:
-        return _read(self.fetch, partition, self.keep)
-
 
 class LiveChatReader(DataSourceStreamReader):
     """Chats that are still going on.  An offset is a second of the recordings, so a trigger, and its replay, reads a range of time.
@@ -142,7 +142,8 @@ class LiveChatReader(DataSourceStreamReader):
 class ChatDataSource(DataSource):
     """``spark.read.format("chat_pages").option("videos", "1,2").option("duration", ...).option("fetch", "mod:fn")``.
 
-    With ``readStream`` the option ``clock`` takes the place of ``duration``.
+    With the option ``pushdown`` filters narrow what is fetched; Spark takes that only with
+    ``spark.sql.python.filterPushdown.enabled`` set.  With ``readStream`` the option ``clock`` takes the place of ``duration``.
     """
 
     @classmethod
@@ -153,7 +154,7 @@ class ChatDataSource(DataSource):
         return MESSAGES
 
     def reader(self, schema) -> ChatReader:
-        return ChatReader(self.options)
+        return (FilteredChatReader if self.options.get("pushdown", "false") == "true" else ChatReader)(self.options)
 
     def streamReader(self, schema) -> LiveChatReader:
         return LiveChatReader(self.options)

@@ -36,7 +36,7 @@ def test_filters_reduce_the_calls(spark, calls):
     spark.dataSource.register(chat.ChatDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
     try:
-        pages = spark.read.format("chat_pages").option("videos", "7,8").option("duration", "4000").option("fetch", "tests.test_channels:noted")
+        pages = spark.read.format("chat_pages").option("videos", "7,8").option("duration", "4000").option("fetch", "tests.test_channels:noted").option("pushdown", "true")
         every = pages.load().collect()
         whole = len(calls())
         os.remove(NOTES)
