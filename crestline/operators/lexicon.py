@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,19 +16,29 @@ def word_pattern(word: str) -> str:
     return rf"(?iU)^{quoted}$" if len(word) == 1 else rf"(?iU)\b{quoted}\b"
 
 
+def words_of(text: Column) -> Column:
+    """The words of a message in lower case: what lies between word edges."""
+    return F.split(F.lower(text), r"(?U)\W+")
+
+
 def best_weight(text: Column, words: Mapping[str, float]) -> Column:
     """Largest weight of the words that a message has; 0 if none.
 
-    Words of equal weight share one pattern, so a message is searched once for each weight, the
-    largest first.
+    A message is cut into words once, and plain words are looked up among them, the largest weight first.  Only phrases and words
+    of one character are patterns, and a phrase is sought where its first word is there.
     """
-    best = F.lit(None).cast("double")
-    chain = None
+    own, best = words_of(text), None
     for weight in sorted({*words.values()}, reverse=True):
-        same = "|".join(word_pattern(w).removeprefix("(?iU)") for w in sorted(words) if words[w] == weight)
-        hit = text.rlike(f"(?iU){same}")
-        chain = F.when(hit, F.lit(float(weight))) if chain is None else chain.when(hit, F.lit(float(weight)))
-    return F.coalesce(chain.otherwise(F.lit(0.0)) if chain is not None else best, F.lit(0.0))
+        same = sorted(w for w in words if words[w] == weight)
+        plain = [w.lower() for w in same if re.fullmatch(r"\w{2,}", w)]
+        hits = [F.arrays_overlap(own, F.array(*map(F.lit, plain)))] if plain else []
+        for w in (w for w in same if w.lower() not in plain):
+            first = re.match(r"\w+", w.lower())
+            hit = text.rlike(word_pattern(w))
+            hits.append(F.array_contains(own, first[0]) & hit if first else hit)
+        met = F.coalesce(reduce(lambda a, b: a | b, hits), F.lit(False))
+        best = F.when(met, F.lit(float(weight))) if best is None else best.when(met, F.lit(float(weight)))
+    return F.lit(0.0) if best is None else best.otherwise(F.lit(0.0))
 
 
 def match_count(text: Column, words: Iterable[str]) -> Column:
