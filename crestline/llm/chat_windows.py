@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crestline.llm._common import stage
+from crestline.llm._common import stage, unstage
 from crestline.llm.packing import _encoder
 from crestline.operators.greedy import follow, left_join, placed
 
@@ -64,17 +64,20 @@ def _tokens(tokenizer: str):
     return F.arrow_udf(count, "long")
 
 
-def formatted_turns(conversations: DataFrame, tokenizer: str) -> DataFrame:
-    """Every turn in the template: ``_conv, conv_id, ord, system, target, formatted, at, chars, size, ends``.
-
-    ``ord`` counts turns from 0, ``at`` and ``chars`` place the text inside ``formatted``, ``size`` is its number of tokens and
-    ``ends`` the tokens up to its end.
-    """
+def templated_turns(conversations: DataFrame, tokenizer: str) -> DataFrame:
+    """Every turn in the template, ``formatted``: ``at`` and ``chars`` place the text in it, ``size`` is its number of tokens."""
     c = conversations.select("conv_id", "turn", *[F.coalesce(F.col(x), F.lit("")).alias(x) for x in ("role", "text")])
-    c = c.withColumns({"_conv": F.coalesce(F.col("conv_id").cast("string"), F.lit("~")), "_part": F.shiftright(F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))), PART)})
+    c = c.withColumns({"_conv": F.coalesce(F.concat(F.lit("i"), F.col("conv_id").cast("string")), F.lit("none")), "_part": F.shiftright(F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))), PART)})
     head, body = F.concat(F.lit(OPEN), _role(F.col("role")), F.lit("\n")), escaped(F.col("text"))
     c = c.withColumns({"formatted": F.concat(head, body, F.lit(CLOSE + "\n")), "at": F.length(head), "chars": F.length(body)})
-    c = stage(c.withColumn("size", _tokens(tokenizer)("formatted")))  # read twice below, tokenised once
+    return c.withColumn("size", _tokens(tokenizer)("formatted"))
+
+
+def placed_turns(c: DataFrame) -> DataFrame:
+    """The turns of :func:`templated_turns` in order: ``_conv, conv_id, ord, system, target, formatted, at, chars, size, ends``.
+
+    ``ord`` counts turns from 0, ``ends`` the tokens up to a turn's end.
+    """
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
     c = placed(c, ["_conv"], "_part", order, "ord")
     sums = c.groupBy("_conv", "_part").agg(F.sum("size").alias("_size"))
@@ -126,7 +129,9 @@ def format_windows(
     count as empty; repeated rows are turns of their own; rows of a null ``conv_id`` make one conversation.  Other columns are ignored,
     and an empty table gives no window.
     """
-    turns = stage(formatted_turns(conversations, tokenizer))
+    made = stage(templated_turns(conversations, tokenizer))  # read twice by what follows, tokenised once
+    turns = stage(placed_turns(made))
+    unstage(made)
     starts = _starts(turns, budget, history_tokens).withColumn("_opens", F.lit(True))
     slim = turns.select("_conv", "ord", "size", "ends", "system")
     # Every turn learns the window it is new in, from the last start at or before it.
@@ -162,7 +167,7 @@ def format_windows(
     kind = conversations.schema["conv_id"].dataType
     return built.select(
         "_conv",
-        F.when(F.col("_conv") != "~", F.col("_conv")).cast(kind).alias("conv_id"),
+        F.when(F.col("_conv") != "none", F.expr("substring(_conv, 2)")).cast(kind).alias("conv_id"),
         "window",
         F.size(F.filter("t", lambda x: ~x["_new"])).alias("repeated"),
         F.size(F.filter("t", lambda x: x["_new"])).alias("new"),
