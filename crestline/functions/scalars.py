@@ -210,7 +210,18 @@ def eased_by(column: Column, t: Column) -> Column:
 def utc_now(at: Column | None = None) -> Column:
     """A moment, by default the query's, as ISO text in UTC."""
     at = F.current_timestamp() if at is None else at
-    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return utc_stamp(F.unix_seconds(at.cast("timestamp")))
+
+
+def utc_stamp(seconds: Column) -> Column:
+    """Whole seconds since 1970 as ISO text in UTC; years beyond 9999 have more digits and no sign.
+
+    Dates reach further than timestamps, so seconds beyond the last timestamp are told as well.
+    """
+    day, rest = F.date_from_unix_date(F.floor(seconds / 86400).cast("int")), F.pmod(seconds, F.lit(86400))
+    clock = [F.floor(rest / 3600), F.floor(rest / 60) % 60, rest % 60]
+    text = F.format_string("%04d-%02d-%02dT%02d:%02d:%02dZ", F.year(day), F.month(day), F.day(day), *[x.cast("int") for x in clock])
+    return F.when(seconds.isNotNull(), text)
 
 
 def random_id(length: int = 32) -> Column:

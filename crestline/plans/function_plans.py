@@ -22,7 +22,7 @@ def compact_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, strftime(make_timestamp(o_orderkey * 1234567 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM orders")
 def utc_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moments as ISO text in UTC, whatever the session's zone."""
-    return load(spark, sf_dir, "orders").select("o_orderkey", scalars.utc_now(F.timestamp_seconds(F.col("o_orderkey") * 1234567)).alias("stamp"))
+    return load(spark, sf_dir, "orders").select("o_orderkey", scalars.utc_stamp(F.col("o_orderkey") * 1234567).alias("stamp"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR) || '%' AS discount, CAST(CAST(round(l_tax * 100) AS BIGINT) AS VARCHAR) || '%' AS tax FROM lineitem")

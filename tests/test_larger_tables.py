@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from crestline.functions import scalars
 from crestline.plans import all_plans
 
 
@@ -27,6 +28,15 @@ def against_sql(spark, tmp_path):
     return check
 
 
+def test_years_beyond_four_digits_have_no_sign(spark, against_sql):
+    keys = [0, 1, 205256, 205257, 205258, 899999]
+    orders = spark.createDataFrame([(k,) for k in keys], "o_orderkey bigint")
+    against_sql("utc_stamps", orders=orders)
+    # Beyond the last timestamp, where the SQL has no result.
+    late = spark.createDataFrame([(9_000_000 * 1_234_567,), (-1,), (None,)], "x bigint").select(scalars.utc_stamp(F.col("x")).alias("at"))
+    assert [r["at"] for r in late.collect()] == ["354066-11-02T04:00:00Z", "1969-12-31T23:59:59Z", None]
+
+
 def test_means_of_a_half_do_not_depend_on_where_rows_lie(spark, tmp_path):
     """Sums whose last bit hangs on the order are those in the order of jobs, however the table lies."""
     rng, want, rows = random.Random(1), {}, []
