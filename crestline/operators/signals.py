@@ -217,7 +217,8 @@ def interpolate_sampled(df: DataFrame, by: Sequence[str], index: str, value: str
     sample = F.pmod(F.col(index), F.lit(every)) == 0
     mark = F.when(sample, F.struct(F.col(index).alias("i"), F.col(value).alias("v")))
     back = F.last(mark, ignorenulls=True).over(W.partitionBy(*by).orderBy(index).rowsBetween(W.unboundedPreceding, 0))
-    ahead = F.first(mark, ignorenulls=True).over(W.partitionBy(*by).orderBy(index).rowsBetween(0, W.unboundedFollowing))
+    # Read backwards, as a frame that reaches to the end of a key is evaluated anew for every row.
+    ahead = F.last(mark, ignorenulls=True).over(W.partitionBy(*by).orderBy(F.desc(index)).rowsBetween(W.unboundedPreceding, 0))
     lo, hi = F.col("_lo"), F.col("_hi")
     line = lo.v + (hi.v - lo.v) * F.try_divide(F.col(index) - lo.i, hi.i - lo.i)
     out = F.when(sample, F.col(value)).when(hi.isNull(), F.lit(0.0)).otherwise(line)

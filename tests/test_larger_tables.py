@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crestline.functions import scalars
+from crestline.operators import signals
 from crestline.plans import all_plans
 
 
@@ -54,3 +55,11 @@ def test_means_of_a_half_do_not_depend_on_where_rows_lie(spark, tmp_path):
     customer.write.parquet(f"{tmp_path}/customer.parquet")
     got = {r["creator_id"]: r["avg_views"] for r in all_plans.queries()["creator_rollup"](spark, str(tmp_path)).collect()}
     assert got == want | {20: 0}
+
+
+def test_interpolation_reads_no_frame_to_the_end_of_a_key(spark):
+    """Such a frame is evaluated anew for every row, which is quadratic in a key's rows."""
+    df = spark.range(23).select(F.lit("a").alias("k"), F.col("id").alias("i"), (F.col("id") * 2.0).alias("x"))
+    out = signals.interpolate_sampled(df, ["k"], "i", "x", 5)
+    assert [r["x"] for r in out.orderBy("i").collect()] == [2.0 * i if i <= 20 else 0.0 for i in range(23)]
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
