@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crestline.functions import scalars
-from crestline.operators import signals
+from crestline.operators import align, signals
 from crestline.plans import all_plans
 
 
@@ -63,3 +63,30 @@ def test_interpolation_reads_no_frame_to_the_end_of_a_key(spark):
     out = signals.interpolate_sampled(df, ["k"], "i", "x", 5)
     assert [r["x"] for r in out.orderBy("i").collect()] == [2.0 * i if i <= 20 else 0.0 for i in range(23)]
     assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+
+
+@pytest.fixture(scope="module")
+def crowded_events(spark):
+    """Few moments, many events at each, and moments on the edges of others' spans."""
+    rows = [(i, 600.0 * (i % 7) + 300.0 * (i % 2) + 1500.0, i % 5, "ab"[i % 3 == 0]) for i in range(120)]
+    df = spark.createDataFrame(rows, "event_id bigint, t double, user_id bigint, event_type string")
+    ts = F.expr("timestamp_micros(1704067200000000 + CAST(t * 1000000 AS BIGINT))").cast("timestamp_ntz")
+    return df.select("event_id", ts.alias("ts"), "user_id", "event_type", F.lit(1.0).alias("value"))
+
+
+@pytest.mark.parametrize("name", ["max_overlap_assign", "point_in_interval_count", "point_in_interval_list", "overlap_pairs", "clip_words"])
+def test_crowded_moments(crowded_events, against_sql, monkeypatch, name):
+    monkeypatch.setattr(align, "BUNDLE", 4)
+    against_sql(name, events=crowded_events)
+
+
+def test_counts_and_largest_overlaps_form_no_sorted_pairs(spark):
+    p = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 2.0)], "k string, t double")
+    q = spark.createDataFrame([("a", 1, 1.0, 2.0), ("a", 2, 3.0, 2.0), ("a", 3, 2.5, 9.0), ("b", 4, 0.0, 9.0), ("a", 5, None, 2.0)], "k string, i int, s double, e double")
+    got = align.count_in_intervals(p, q, ["k"], "t", "s", "e", 1.0)
+    assert sorted((r["i"], r["n"]) for r in got.collect()) == [(1, 3), (2, 0), (3, 0), (4, 0), (5, 0)]
+    items = q.filter("e > s").select("k", "i", "s", "e")
+    turns = spark.createDataFrame([("a", 1, 7, 0.0, 3.0), ("a", 2, 8, 0.0, 3.0), ("a", 3, 9, 1.0, 2.0)], "k string, turn int, who int, x double, y double")
+    best = align.max_overlap(items, turns, ["k"], ("s", "e"), ("x", "y"), "turn", "who", 1.0)
+    assert sorted((r["i"], r["who"]) for r in best.collect()) == [(1, 7), (3, 7), (4, None)]
+    assert "SortAggregate" not in best._jdf.queryExecution().executedPlan().toString()
