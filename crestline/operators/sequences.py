@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crestline.operators.greedy import follow, left_join, placed
 
+#: Entries of a list that leave a task at once.
+SLICE = 1 << 15
+
 
 def consecutive_groups(df: DataFrame, by: Sequence[str], order: str, value: str, name: str = "grp") -> DataFrame:
     """Number, from 0, the stretches of rows with the same value; nulls are equal."""
@@ -61,16 +66,73 @@ def chunk_words(
     return numbered.select("_row.*", (F.col("_before") + F.col("_here") - 1).cast("int").alias("chunk"))
 
 
+def ends_sentence(text: str | Column) -> Column:
+    """Whether a word ends with ``.``, ``!``, ``?`` or an ellipsis."""
+    return F.coalesce(F.rtrim(text).rlike(r"[.!?…]$"), F.lit(False))
+
+
 def sentence_groups(df: DataFrame, by: str, order: str, text: str, most: int = 10) -> DataFrame:
     """Number the sentences: each ends with ``.``, ``!``, ``?`` or an ellipsis, or after ``most`` words."""
     w = W.partitionBy(by).orderBy(order)
-    ends = F.coalesce(F.rtrim(text).rlike(r"[.!?…]$"), F.lit(False)).cast("int")
+    ends = ends_sentence(text).cast("int")
     marked = df.withColumn("_stretch", F.coalesce(F.sum(ends).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     place = F.row_number().over(W.partitionBy(by, "_stretch").orderBy(order)) - 1
     opens = marked.withColumn("_opens", (place % most == 0).cast("int"))
     return opens.withColumn("sentence", (F.sum("_opens").over(w) - 1).cast("int")).drop("_stretch", "_opens")
 
 
+def _numbered_lists(df: DataFrame, by: Sequence[str], lists: Sequence[str], number: Callable[..., np.ndarray], name: str) -> DataFrame:
+    """A row for each entry of a row's lists: ``by``, its place ``ord`` and the number that ``number`` gives it.
+
+    A row's lists lie in that row, so nothing is shuffled; results leave in slices of ``SLICE`` entries.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                values = [batch.column(c)[r].values for c in lists]
+                if values[0] is None or not len(values[0]):
+                    continue
+                found = pa.array(number(*[v.to_numpy(zero_copy_only=False) for v in values]), pa.int32())
+                for a in range(0, len(found), SLICE):
+                    part = found[a : a + SLICE]
+                    keys = [pa.repeat(batch.column(c)[r], len(part)) for c in by]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(np.arange(a, a + len(part), dtype=np.int32)), part], names=[*by, "ord", name])
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    return df.select(*by, *lists).mapInArrow(read, f"{kinds}, ord int, {name} int")
+
+
+def chunk_lists(df: DataFrame, by: Sequence[str], start: str, end: str, most: int = 4, longest: float = 3.0) -> DataFrame:
+    """As :func:`chunk_words` for rows that hold the ``start`` and ``end`` of all their words as lists in order: ``by, ord, chunk``."""
+
+    def number(s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        n = len(s)
+        opener = np.minimum(np.arange(n) + most, n)
+        for k in range(min(most, n) - 1, 0, -1):
+            moved = np.flatnonzero(e[k:] - s[: n - k] > longest)
+            opener[moved] = moved + k
+        opens, to, at = np.zeros(n, dtype=np.int32), opener.tolist(), 0
+        while at < n:
+            opens[at] = 1
+            at = to[at]
+        return np.cumsum(opens, dtype=np.int32) - 1
+
+    return _numbered_lists(df, by, [start, end], number, "chunk")
+
+
+def sentence_lists(df: DataFrame, by: Sequence[str], ends: str, most: int = 10) -> DataFrame:
+    """As :func:`sentence_groups` for rows that hold, as a list in order, whether each of their words ends a sentence: ``by, ord, sentence``."""
+
+    def number(last: np.ndarray) -> np.ndarray:
+        fresh = np.concatenate([[True], last[:-1].astype(bool)])
+        place = np.arange(len(last))
+        place -= np.maximum.accumulate(np.where(fresh, place, 0))
+        return np.cumsum(place % most == 0, dtype=np.int32) - 1
+
+    return _numbered_lists(df, by, [ends], number, "sentence")
+
+
 def appearance_index(df: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
     """``by, value, idx``: distinct values numbered from 0 by first appearance."""
     first = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.min(order).alias("_o"))

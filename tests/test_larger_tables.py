@@ -90,3 +90,13 @@ def test_counts_and_largest_overlaps_form_no_sorted_pairs(spark):
     best = align.max_overlap(items, turns, ["k"], ("s", "e"), ("x", "y"), "turn", "who", 1.0)
     assert sorted((r["i"], r["who"]) for r in best.collect()) == [(1, 7), (3, 7), (4, None)]
     assert "SortAggregate" not in best._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["chunk_words", "sentence_groups"])
+def test_words_of_a_document_are_numbered_without_a_shuffle(spark, against_sql, monkeypatch, tmp_path, name):
+    monkeypatch.setattr("crestline.operators.sequences.SLICE", 5)
+    texts = [None, "", "a", "a. b? c", "w " * 45 + "end. x", " ".join("abcdefgh"[: 1 + i * 5 % 8] + ".!"[: i % 9 == 4] for i in range(60))]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    against_sql(name, documents=documents)
+    plan = all_plans.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
