@@ -5,11 +5,12 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from crestline.functions import scalars
-from crestline.operators import align, signals
+from crestline.operators import align, intervals, signals
 from crestline.plans import all_plans
 
 
@@ -100,3 +101,10 @@ def test_words_of_a_document_are_numbered_without_a_shuffle(spark, against_sql,
     against_sql(name, documents=documents)
     plan = all_plans.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_a_growing_group_asks_only_for_clips_in_its_new_part():
+    clips = intervals._OpenClips(np.arange(6.0), np.arange(6.0) + 3)
+    assert clips.starting(2.0, 4.0, 1) == [2, 3] and clips.ending(4.0, 6.0, 1) == [2, 3]
+    clips.open[2] = False
+    assert clips.starting(2.0, 4.0, -1) == [3] and clips.ending(3.0, 6.0, 2) == [3]
