@@ -1,6 +1,6 @@
 """LM scoring with a gated recurrent unit and a class-factored output softmax.
 
-Words are counted over the whole corpus.  The ``HEAD`` most frequent words (with the end
+Words are counted over the whole corpus; Arrow splits texts, counts words and looks them up, a column at a time.  The ``HEAD`` most frequent words (with the end
 token) have an input vector each and sit in output classes of their own; any other word
 is read as its tail class, a hash of its last two letters.  The network predicts
 the class of each token from its state; a second softmax on the same state picks
@@ -21,12 +21,13 @@ which, by that choice, no word is frequent.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,22 +43,43 @@ HOT = 100_000
 ROUNDS, UPDATES = 4, 100
 #: Tokens that a task lays out at a time, most streams they are cut into, and steps of a window.
 TOKENS, STREAMS, WINDOW, RATE = 1 << 21, 512, 24, 0.02
-#: Distinct words a counting task holds before it hands them on.
-FLUSH = 200_000
-#: Documents of an output frame of scoring, and rows of a slice of output logits.
-FRAME, SLICE = 1000, 32_768
+#: Rows of counted words that a task holds before it hands them on, and bytes of texts that are split into words at a time.
+FLUSH, BYTES = 500_000, 1 << 23
+#: Rows of a slice of output logits, few enough for a processor's cache, and states that wait for the output layer at most, but for a window's.
+SLICE, STATES = 2048, 1 << 16
 END = ""
 _CLASSES, _EACH = HEAD_CLASSES + TAIL_CLASSES, HEAD // HEAD_CLASSES
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words as UTF-8: runs of anything but ASCII white space, with A-Z in lower case."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch``, some ``BYTES`` of texts at a time or one row."""
+    ends = np.cumsum(pc.binary_length(batch["text"]).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BYTES, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
-def tail_class(word: bytes) -> int:
-    """Class of a word outside the head, from its last two bytes."""
-    return (word[-1] * 31 + (word[-2] if len(word) > 1 else 0) * 17) % TAIL_CLASSES
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all ``texts`` end to end, and how many each has: runs of anything but ASCII white space, with A-Z in lower case."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, sizes = split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False)
+    real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty word
+    if real.all():
+        return words, sizes
+    return words.filter(pa.array(real)), np.bincount(np.repeat(np.arange(len(sizes)), sizes)[real], minlength=len(sizes))
+
+
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """Class of each word outside the head, from its last two bytes."""
+    if not len(words):
+        return np.zeros(0, dtype=np.int64)
+    words = words.cast(pa.large_binary())
+    edges = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    letters, stops = np.frombuffer(words.buffers()[2], np.uint8), edges[1:]
+    ahead = np.where(np.diff(edges) > 1, letters[stops - 2], 0).astype(np.int64)
+    return (letters[stops - 1].astype(np.int64) * 31 + ahead * 17) % TAIL_CLASSES
 
 
 def held_out(doc_id: Column) -> Column:
@@ -71,31 +93,30 @@ def word_counts(docs: DataFrame) -> DataFrame:
     ``docs`` has ``text`` and ``train``; the end token is the empty word.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sides = (Counter(), Counter())
-
-        def handed_on() -> pd.DataFrame:
-            parts = [
-                pd.DataFrame({"word": list(side), "c": np.fromiter(side.values(), np.int64, len(side)), "train": bool(at)})
-                for at, side in enumerate(sides)
-            ]
-            for side in sides:
-                side.clear()
-            out = pd.concat(parts, ignore_index=True)
-            out["word"] = [w.decode("utf-8", "surrogatepass") for w in out["word"]]
-            return out
+    def handed_on(held: list[pa.Table]) -> list[pa.RecordBatch]:
+        both = pa.concat_tables(held).group_by(["word", "train"], use_threads=False).aggregate([("c", "sum")])
+        return both.select(["word", "c_sum", "train"]).rename_columns(["word", "c", "train"]).combine_chunks().to_batches()
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for text, train in zip(batch["text"], batch["train"], strict=True):
-                side = sides[bool(train)]
-                side.update(words_of(text))
-                side[b""] += 1
-                if len(side) > FLUSH:
-                    yield handed_on()
-        if any(sides):  # a task may get no rows
-            yield handed_on()
-
-    parts = docs.mapInPandas(count, "word string, c long, train boolean")
+            for piece in pieces(batch):
+                for train in (False, True):
+                    texts = piece["text"].filter(pc.equal(piece["train"], train))
+                    if not len(texts):
+                        continue
+                    found = words_of(texts)[0].value_counts()
+                    words = pa.concat_arrays([found.field("values"), pa.array([END], found.field("values").type)])
+                    c = pa.concat_arrays([found.field("counts"), pa.array([len(texts)], pa.int64())])
+                    held.append(pa.table({"word": words, "c": c, "train": pa.array(np.full(len(c), train))}))
+                    size += len(c)
+                if size > FLUSH:
+                    yield from handed_on(held)
+                    held, size = [], 0
+        if held:  # a task may get no rows
+            yield from handed_on(held)
+
+    parts = docs.mapInArrow(count, "word string, c long, train boolean")
     return parts.groupBy("word").agg(
         F.sum(F.when(F.col("train"), F.col("c")).otherwise(0)).alias("c"), F.sum("c").alias("seen")
     )
@@ -145,22 +166,26 @@ class GRU:
         """Inputs and recurrence by gate, each gate's block in one piece: update, reset, candidate."""
         return tuple(np.ascontiguousarray(self.params[k].reshape(-1, 3, HIDDEN).swapaxes(0, 1)) for k in ("x", "u"))
 
-    def step(self, layers: tuple[np.ndarray, np.ndarray], h: np.ndarray, token: np.ndarray) -> np.ndarray:
+    def step(self, layers: tuple[np.ndarray, np.ndarray], h: np.ndarray, token: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
         """State after reading ``token``, given :meth:`layers`."""
-        x, u = np.take(layers[0], token, axis=1), h @ layers[1]
-        return _moved(x, u, h)
+        return _moved(layers[0].take(token, axis=1), np.matmul(h, layers[1]), h, out)
 
     def log_probs(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Natural log of P(class) and, for head tokens, of P(class) P(word in class)."""
         out, kind = np.empty(len(token)), classes_of(token)
         for lo in range(0, len(token), SLICE):
-            logits = h[lo : lo + SLICE] @ self.params["c"][:-1] + self.params["c"][-1]
+            logits = h[lo : lo + SLICE] @ self.params["c"][:-1]
+            logits += self.params["c"][-1]
             out[lo : lo + SLICE] = _log_softmax_at(logits, kind[lo : lo + SLICE])
         order = _by_token(token)
         edges = np.searchsorted(token[order], np.arange(0, HEAD + 1, _EACH))
         for k in np.flatnonzero(np.diff(edges)):
-            at, w = order[edges[k] : edges[k + 1]], self.params["w"][k]
-            out[at] += _log_softmax_at(h[at] @ w[:-1] + w[-1], token[at] % _EACH)
+            w = self.params["w"][k]
+            for lo in range(edges[k], edges[k + 1], SLICE):
+                at = order[lo : min(lo + SLICE, edges[k + 1])]
+                logits = h.take(at, axis=0) @ w[:-1]
+                logits += w[-1]
+                out[at] += _log_softmax_at(logits, token[at] % _EACH)
         return out
 
 
@@ -190,19 +215,24 @@ def classes_of(token: np.ndarray) -> np.ndarray:
     return np.where(token < HEAD, token // _EACH, token - HEAD + HEAD_CLASSES)
 
 
+def _across(x: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``x``, by a product, as numpy adds up short rows one by one."""
+    return x @ np.ones(x.shape[1], dtype=x.dtype)
+
+
 def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log probabilities of the places ``at``; ``logits`` is overwritten."""
     np.minimum(logits, _TOP, out=logits)
     own = logits[np.arange(len(at)), at]
     np.exp(logits, out=logits)
-    return own - np.log(logits.sum(axis=1))
+    return own - np.log(_across(logits))
 
 
 def _softmax_error(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Probabilities less the places ``at``, in the place of ``logits``."""
     np.minimum(logits, _TOP, out=logits)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
+    logits *= np.reciprocal(_across(logits))[:, None]
     logits[np.arange(len(at)), at] -= 1
     return logits
 
@@ -239,12 +269,17 @@ def window_gradients(model: GRU, h: np.ndarray, before: np.ndarray, target: np.n
         np.copyto(inner[t], u[2])
         h = _moved(gates[:, t], u, ahead[t], after[t])
     flat_h, flat_t = after.reshape(-1, n), target.reshape(-1)
-    grad = {"w": np.zeros_like(p["w"]), "x": np.zeros_like(p["x"])}
-    d = _softmax_error(flat_h @ p["c"][:-1] + p["c"][-1], classes_of(flat_t))
-    d[beyond] = 0
-    grad["c"] = np.vstack([flat_h.T @ d, d.sum(0)])
-    dh = d @ p["c"][:-1].T
-    asked = flat_t
+    grad = {k: np.zeros_like(p[k]) for k in ("w", "x", "c")}
+    dh, kinds, asked = np.empty_like(flat_h), classes_of(flat_t), flat_t
+    for lo in range(0, len(flat_t), SLICE):
+        own = flat_h[lo : lo + SLICE]
+        d = own @ p["c"][:-1]
+        d += p["c"][-1]
+        d = _softmax_error(d, kinds[lo : lo + SLICE])
+        d[beyond[np.searchsorted(beyond, lo) : np.searchsorted(beyond, lo + SLICE)] - lo] = 0
+        grad["c"][:-1] += own.T @ d
+        grad["c"][-1] += np.ones(len(d), dtype=d.dtype) @ d
+        np.matmul(d, p["c"][:-1].T, out=dh[lo : lo + SLICE])
     if len(beyond):
         asked = flat_t.copy()
         asked[beyond] = -1
@@ -252,9 +287,11 @@ def window_gradients(model: GRU, h: np.ndarray, before: np.ndarray, target: np.n
     edges = np.searchsorted(asked[order], np.arange(0, HEAD + 1, _EACH))
     for k in np.flatnonzero(np.diff(edges)):
         at, w = order[edges[k] : edges[k + 1]], p["w"][k]
-        own = flat_h[at]
-        d = _softmax_error(own @ w[:-1] + w[-1], flat_t[at] % _EACH)
-        grad["w"][k, :-1], grad["w"][k, -1] = own.T @ d, d.sum(0)
+        own = flat_h.take(at, axis=0)
+        d = own @ w[:-1]
+        d += w[-1]
+        d = _softmax_error(d, flat_t[at] % _EACH)
+        grad["w"][k, :-1], grad["w"][k, -1] = own.T @ d, np.ones(len(d), dtype=d.dtype) @ d
         dh[at] += d @ w[:-1].T
     z, r, cand = gates
     dh, way = dh.reshape(steps, streams, n), np.empty((3, steps, streams, n), dtype=np.float32)
@@ -279,7 +316,7 @@ def window_gradients(model: GRU, h: np.ndarray, before: np.ndarray, target: np.n
     ranked = flat_x[order]
     first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
     for k, w in enumerate(flat_way):
-        grad["x"][ranked[first], k * n : (k + 1) * n] = np.add.reduceat(w[order], first, axis=0)
+        grad["x"][ranked[first], k * n : (k + 1) * n] = np.add.reduceat(w.take(order, axis=0), first, axis=0)
     return grad, h
 
 
@@ -336,7 +373,7 @@ def train_shard(flat: np.ndarray, lines: Iterator[np.ndarray]) -> tuple[np.ndarr
 class LanguageModel:
     """What scoring needs: word tables of bounded size, totals and the network."""
 
-    hot: dict[bytes, int]  # word: place in the next two
+    hot: pa.Array  # words, in the order of the next two
     hot_count: np.ndarray
     hot_token: np.ndarray
     ends: int
@@ -346,14 +383,20 @@ class LanguageModel:
     tail_words: np.ndarray
     network: np.ndarray | None = None
 
-    def places(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each word in the hot tables, or -1, and its token id."""
-        get = self.hot.get
-        at = np.array([get(w, -1) for w in words], dtype=np.int64)
-        token = self.hot_token[at]
-        for i in np.flatnonzero(at < 0):
-            token[i] = HEAD + tail_class(words[i])
-        return at, token
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Words of each text; of all their words end to end the place in the hot tables, or -1, and the token id; and the words without a place."""
+        words, sizes = words_of(texts)
+        at = pc.index_in(words, value_set=self.hot.cast(words.type)).fill_null(-1).to_numpy(zero_copy_only=False)
+        token, without = self.hot_token[at], at < 0
+        rare = words.filter(pa.array(without))
+        token[without] = HEAD + tail_classes(rare)
+        return sizes, at, token, rare
+
+    @staticmethod
+    def lines(sizes: np.ndarray, token: np.ndarray) -> list[np.ndarray]:
+        """Token ids of each text, with its end."""
+        ends = np.cumsum(sizes)
+        return np.split(np.insert(token, ends, 0), (ends + np.arange(1, len(ends) + 1))[:-1])
 
 
 def frequent(counts: DataFrame, most: int = HOT) -> DataFrame:
@@ -393,15 +436,21 @@ def _averaged(parts: DataFrame) -> DataFrame:
 def _round(known: DataFrame, shared, turn: int) -> np.ndarray | None:
     """The mean of the weights that the tasks have come to on one part of the documents."""
 
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, flat = shared.value
-        lines = (np.append(model.places(words_of(t))[1], 0) for batch in batches for t in batch["text"])
-        weights, tokens = train_shard(flat, lines)
+
+        def lines() -> Iterator[np.ndarray]:
+            for batch in batches:
+                for piece in pieces(batch):
+                    sizes, _, token, _ = model.read(piece["text"])
+                    yield from model.lines(sizes, token)
+
+        weights, tokens = train_shard(flat, lines())
         if tokens:
-            yield pd.DataFrame({"weights": [weights.astype("<f4").tobytes()], "n": [tokens]})
+            yield pa.RecordBatch.from_pydict({"weights": [weights.astype("<f4").tobytes()], "n": [tokens]})
 
     part = known.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == turn).select("text")
-    parts = stage(part.mapInPandas(fit, "weights binary, n long"))
+    parts = stage(part.mapInArrow(fit, "weights binary, n long"))
     tree = max(1, math.isqrt(parts.count()))
     sums = _averaged(parts.repartition(tree)).collect()  # the root of the number of tasks
     unstage(parts)
@@ -421,22 +470,21 @@ def learn(docs: DataFrame, counts: DataFrame) -> LanguageModel:
 
     @F.pandas_udf("int")
     def tail(words: pd.Series) -> pd.Series:
-        return words.map(tail_class).astype("int32")
+        return pd.Series(tail_classes(pa.array(words, pa.binary()))).astype("int32")
 
     rest = counts.filter((F.col("word") != END) & (F.col("c") > 0)).groupBy(tail(bodies).alias("k"))
     tokens, words = np.zeros(TAIL_CLASSES), np.zeros(TAIL_CLASSES)
     for r in rest.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         tokens[r["k"]], words[r["k"]] = r["n"], r["v"]
-    for r in head:
-        k = tail_class(r["word"].encode())
+    for r, k in zip(head, tail_classes(pa.array([r["word"] for r in head], pa.string())), strict=True):
         tokens[k] -= r["c"]
         words[k] -= 1  # what is left is outside the head
-    names = [r["word"].encode("utf-8", "surrogatepass") for r in hot]
-    token = [ids.get(r["word"], HEAD + tail_class(w)) for r, w in zip(hot, names, strict=True)]
+    names = pa.array([r["word"] for r in hot], pa.string())
+    token = [ids.get(r["word"], HEAD + k) for r, k in zip(hot, tail_classes(names), strict=True)]
     model = LanguageModel(
-        {w: i for i, w in enumerate(names)},
+        names,
         np.array([r["c"] for r in hot] + [0], dtype=np.int64),  # the last is for -1
-        np.array([*token, 0], dtype=np.int64),
+        np.array([*token, 0], dtype=np.int16),
         ends,
         total or 0,
         distinct or 0,
@@ -453,36 +501,47 @@ def learn(docs: DataFrame, counts: DataFrame) -> LanguageModel:
     return model
 
 
-def network_scores(model: LanguageModel, docs: list[np.ndarray], most: int = 4096) -> np.ndarray:
-    """Natural log probability of each token sequence under the network's part of the model."""
+def network_scores(model: LanguageModel, docs: list[np.ndarray], most: int = 1024) -> np.ndarray:
+    """Natural log probability of each token sequence under the network's part of the model.
+
+    ``most`` documents advance side by side, the longest first; their states wait for the output
+    layer until there are enough of them.
+    """
     out = np.zeros(len(docs))
-    order = sorted(range(len(docs)), key=lambda d: -len(docs[d]))
+    if not docs:
+        return out
+    lengths = np.array([len(x) for x in docs])
+    order = np.argsort(-lengths, kind="stable")
+    sizes, line = lengths[order], np.concatenate([docs[d] for d in order])
+    starts = np.cumsum(sizes) - sizes
     net = GRU.unpack(model.network)
     layers = net.layers()
+    waiting, rows = [], 0
+
+    def told() -> None:
+        states, tokens, owners = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        out[:] += np.bincount(owners, weights=net.log_probs(states, tokens), minlength=len(out))
+
     for lo in range(0, len(order), most):
-        part = order[lo : lo + most]
-        sizes = np.array([len(docs[d]) for d in part])
-        h, before = np.zeros((len(part), HIDDEN), dtype=np.float32), np.full(len(part), _START)
-        sums = np.zeros(len(part))
-        for t0 in range(0, int(sizes.max(initial=0)), WINDOW):
-            a = int(np.searchsorted(-sizes, -t0, side="left"))  # documents longer than t0
-            block = np.full((a, WINDOW), -1, dtype=np.int64)
-            for d in range(a):
-                piece = docs[part[d]][t0 : t0 + WINDOW]
-                block[d, : len(piece)] = piece
-            states, tokens, owners = [], [], []
-            for t in range(WINDOW):
-                b = int(np.searchsorted(-sizes[:a], -(t0 + t), side="left"))
-                if not b:
-                    break
-                h[:b] = net.step(layers, h[:b], before[:b])
-                states.append(h[:b].copy())
-                tokens.append(block[:b, t])
-                owners.append(np.arange(b))
-                before[:b] = block[:b, t]
-            got = net.log_probs(np.concatenate(states), np.concatenate(tokens))
-            sums += np.bincount(np.concatenate(owners), weights=got, minlength=len(part))
-        out[part] = sums
+        size, start, owner = sizes[lo : lo + most], starts[lo : lo + most], order[lo : lo + most]
+        h, before = np.zeros((len(size), HIDDEN), dtype=np.float32), np.full(len(size), _START)
+        for t0 in range(0, int(size[0]), WINDOW):
+            times = np.arange(t0, min(t0 + WINDOW, int(size[0])))
+            live = np.searchsorted(-size, -times, side="left")  # documents longer than that
+            a = int(live[0])
+            block = line.take(start[:a] + times[:, None], mode="clip")
+            states = np.empty((len(times), a, HIDDEN), dtype=np.float32)
+            for t, b in enumerate(live.tolist()):
+                h = net.step(layers, h[:b], before[:b], states[t, :b])
+                before = block[t]
+            own = np.arange(a) < live[:, None]
+            waiting.append((states[own], block[own], np.broadcast_to(owner[:a], own.shape)[own]))
+            rows += int(live.sum())
+            if rows >= STATES:
+                told()
+                waiting, rows = [], 0
+    if waiting:
+        told()
     return out
 
 
@@ -506,38 +565,43 @@ def score_documents(docs: DataFrame) -> DataFrame:
         + [T.StructField("cold", cold)]
     )
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         uid = TaskContext.get().partitionId() << 40
-        log_base = np.log10(m.hot_count + 1) - np.log10(m.total + m.distinct + 1)
+        log_base = np.append(np.log10(m.hot_count[:-1] + 1) - np.log10(m.total + m.distinct + 1), 0.0)  # the last is for -1
         rooms = np.log10(m.tail_tokens + m.tail_words + 1)
         log_tail = np.where(m.hot_token < HEAD, 0.0, np.log10(m.hot_count + 1) - rooms[np.maximum(m.hot_token - HEAD, 0)])
         end_base = np.log10(m.ends + 1) - np.log10(m.total + m.distinct + 1)
-
-        def told_of(doc_id, text, train, at, network):
-            hot = at[at >= 0]
-            known = int((m.hot_count[hot] > 0).sum()) + (m.ends > 0)
-            words = words_of(text) if len(hot) < len(at) else []
-            rare = Counter([words[i] for i in np.flatnonzero(at < 0)])
-            cold = [(w.decode("utf-8", "surrogatepass"), tail_class(w), times) for w, times in rare.items()]
-            return doc_id, train, len(at) + 1, known, log_base[hot].sum() + end_base, log_tail[hot].sum() + network, cold
+        met = (m.hot_count > 0).astype(float)
+
+        def told_of(piece: pa.RecordBatch) -> tuple[list[pa.Array], np.ndarray, list[np.ndarray]]:
+            """Columns but for the id and the score, the score without the network's part, and token ids."""
+            sizes, at, token, rare = m.read(piece["text"])
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            known, base, tail = (np.bincount(of, x[at], len(sizes)) for x in (met, log_base, log_tail))
+            times = pa.table({"of": of[at < 0], "word": rare}).group_by(["of", "word"], use_threads=False).aggregate([([], "count_all")])
+            times = times.sort_by("of").combine_chunks()
+            words = times["word"].combine_chunks()
+            kinds = pa.array(tail_classes(words), pa.int32())
+            each = pa.StructArray.from_arrays([words, kinds, times["count_all"].combine_chunks()], ["word", "k", "times"])
+            stops = np.cumsum(np.bincount(times["of"].to_numpy(), minlength=len(sizes)))
+            cold = pa.ListArray.from_arrays(pa.array(np.append(0, stops), pa.int32()), each)
+            counts = [pa.array(sizes + 1, pa.int64()), pa.array(known.astype(np.int64) + (m.ends > 0), pa.int64())]
+            return [piece["doc_id"], piece["train"], *counts, pa.array(base + end_base), cold], tail, m.lines(sizes, token)
 
         for batch in batches:
-            placed, lines = [], []
-            for text in batch["text"]:
-                at, token = m.places(words_of(text))
-                placed.append(at.astype(np.int32))
-                lines.append(np.append(token, 0).astype(np.int16))
-            network = network_scores(m, lines) / np.log(10)
-            for lo in range(0, len(batch), FRAME):  # words that go on to the join, a few documents at a time
-                part = batch.iloc[lo : lo + FRAME]
-                rows = [told_of(*x) for x in zip(part["doc_id"], part["text"], part["train"], placed[lo:], network[lo:], strict=False)]
-                frame = pd.DataFrame(rows, columns=schema.names[1:])
-                frame.insert(0, "uid", np.arange(uid, uid + len(frame)))
-                uid += len(frame)
-                yield frame
-
-    told = stage(rows.mapInPandas(score, schema))
+            told = [told_of(piece) for piece in pieces(batch)]
+            network = network_scores(m, [line for _, _, lines in told for line in lines]) / np.log(10)
+            at = 0
+            for columns, tail, _ in told:
+                n = len(tail)
+                ids = pa.array(np.arange(uid + at, uid + at + n))
+                scores = pa.array(tail + network[at : at + n])
+                yield pa.RecordBatch.from_arrays([ids, *columns[:-1], scores, columns[-1]], names=schema.names)
+                at += n
+            uid += at
+
+    told = stage(rows.mapInArrow(score, schema))
     room = F.lit(float(model.total + model.distinct + 1))
     rooms = F.array(*[F.lit(float(a + b + 1)) for a, b in zip(model.tail_tokens, model.tail_words, strict=True)])
     rare = told.select("uid", F.explode("cold").alias("x")).select("uid", "x.*")

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from crestline.llm import gru_lm, language_id, mixing
@@ -302,6 +303,51 @@ def test_windows_carry_the_state():
     assert np.allclose(together, gru_lm.network_scores(model, texts, most=2), atol=1e-3)
 
 
+def test_few_long_documents_ask_the_output_layer_seldom(monkeypatch):
+    """States wait for the output layer over windows, as a window of the longest documents alone has few of them."""
+    rng, asked, real = np.random.default_rng(9), [], gru_lm.GRU.log_probs
+    monkeypatch.setattr(gru_lm.GRU, "log_probs", lambda self, h, token: asked.append(len(token)) or real(self, h, token))
+    model = _lm(gru_lm.GRU.fresh(np.ones(50), np.ones(gru_lm.TAIL_CLASSES)).pack())
+    texts = [rng.integers(0, gru_lm._START, size=n) for n in (3000, 40, 1, 700)]
+    gru_lm.network_scores(model, texts)
+    assert sum(asked) == sum(map(len, texts)) and len(asked) == 1
+
+
+def test_words_are_told_as_by_definition():
+    """Whole arrays of texts are split and looked up at once, word for word as one by one."""
+    texts = [None, "", " ", "Ab\x1ccD\x85e\tF\x0b\x0cg\r\nÄÖ İ\u2003K\xa0", " the THE [@`z{ \0 x ", "é", "ab a", None, "the  \ud7ff \U0001f600b"]
+    plain = [(t or "").encode().lower().split() for t in texts]
+    tail = lambda w: (w[-1] * 31 + (w[-2] if len(w) > 1 else 0) * 17) % gru_lm.TAIL_CLASSES
+    want = [w for x in plain for w in x]
+    for array in (pa.array(texts, pa.string()), pa.array(texts, pa.large_string()), pa.array(["cut off", *texts], pa.string())[1:]):
+        words, sizes = gru_lm.words_of(array)
+        assert [w.encode() for w in words.to_pylist()] == want
+        assert sizes.tolist() == [len(x) for x in plain]
+        assert gru_lm.tail_classes(words).tolist() == [tail(w) for w in want]
+        assert gru_lm.tail_classes(words[5:]).tolist() == [tail(w) for w in want[5:]]
+        model = _lm(None)
+        model.hot, model.hot_token = pa.array(["the", "é"]), np.array([1, gru_lm.HEAD + 2, 0], dtype=np.int16)
+        sizes, at, token, rare = model.read(array)
+        assert at.tolist() == [{b"the": 0, "é".encode(): 1}.get(w, -1) for w in want]
+        assert token.tolist() == [{b"the": 1, "é".encode(): gru_lm.HEAD + 2}.get(w, gru_lm.HEAD + tail(w)) for w in want]
+        assert [w.encode() for w in rare.to_pylist()] == [w for w, k in zip(want, at, strict=True) if k < 0]
+        lines = model.lines(sizes, token)
+        assert [len(x) for x in lines] == [len(x) + 1 for x in plain] and all(x[-1] == 0 for x in lines)
+        assert [k for x in lines for k in x[:-1]] == token.tolist()
+    assert gru_lm.tail_classes(gru_lm.words_of(pa.array([None, " "], pa.string()))[0]).tolist() == []
+
+
+@pytest.mark.parametrize("most", [1, 5, 12, 1 << 20])
+def test_pieces_hold_every_row_once(monkeypatch, most):
+    monkeypatch.setattr(gru_lm, "BYTES", most)
+    texts = ["aaaa", None, "", "b" * 30, "éé", "c", None]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["cut off", *texts], pa.string()), "at": pa.array(range(-1, 7))})[1:]
+    got = [piece.to_pylist() for piece in gru_lm.pieces(batch)]
+    assert [r for piece in got for r in piece] == batch.to_pylist()
+    assert all(len(piece) == 1 or sum(len((r["text"] or "").encode()) for r in piece) <= most for piece in got)
+    assert list(gru_lm.pieces(batch[:0])) == []
+
+
 # -- mixing
 
 
