@@ -3,6 +3,7 @@
 import functools
 import math
 import random
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -108,3 +109,23 @@ def test_a_growing_group_asks_only_for_clips_in_its_new_part():
     assert clips.starting(2.0, 4.0, 1) == [2, 3] and clips.ending(4.0, 6.0, 1) == [2, 3]
     clips.open[2] = False
     assert clips.starting(2.0, 4.0, -1) == [3] and clips.ending(3.0, 6.0, 2) == [3]
+
+
+def test_thousandths_round_halves_away_from_zero(spark):
+    values = [0.0, 0.0005, 0.0015, 0.49999999999999994e-3, 0.0625, 1.0005, -0.0005, -1e-9, -2.5, 2699.9995, 1e13 + 0.25, 1e300, math.inf, math.nan, None]
+    got = [r["x"] for r in spark.createDataFrame([(v,) for v in values], "v double").select(scalars.thousandths(F.col("v")).alias("x")).collect()]
+
+    def exact(v):
+        y = abs(v * 1000)
+        near = math.floor(Fraction(y) + Fraction(1, 2)) / 1000 if y < 2**52 else y / 1000
+        return near if v >= 0 else 0.0 - near
+
+    assert got[:-2] == [exact(v) for v in values[:-2]] and math.isnan(got[-2]) and got[-1] is None
+
+
+@pytest.mark.parametrize("name", ["clip_words"])
+def test_pairs_are_listed_after_one_shuffle_of_each_side_and_rounded_plainly(spark, crowded_events, tmp_path, name):
+    """However small a side is, it is not broadcast: the tasks of the other side's few files would make all pairs."""
+    crowded_events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    plan = all_plans.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("Exchange") == 2 and "Window" not in plan and "round(" not in plan
