@@ -123,7 +123,7 @@ def test_thousandths_round_halves_away_from_zero(spark):
     assert got[:-2] == [exact(v) for v in values[:-2]] and math.isnan(got[-2]) and got[-1] is None
 
 
-@pytest.mark.parametrize("name", ["clip_words"])
+@pytest.mark.parametrize("name", ["clip_words", "point_in_interval_list"])
 def test_pairs_are_listed_after_one_shuffle_of_each_side_and_rounded_plainly(spark, crowded_events, tmp_path, name):
     """However small a side is, it is not broadcast: the tasks of the other side's few files would make all pairs."""
     crowded_events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
