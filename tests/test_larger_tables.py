@@ -129,3 +129,38 @@ def test_pairs_are_listed_after_one_shuffle_of_each_side_and_rounded_plainly(spa
     crowded_events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     plan = all_plans.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == plan.count("Exchange") == 2 and "Window" not in plan and "round(" not in plan
+
+
+def test_largest_overlaps_equal_those_of_all_pairs():
+    """Also where ends touch, lengths tie, spans are empty or reversed, and overlaps are equal after rounding only."""
+    rng = np.random.default_rng(4)
+    for i in range(400):
+        n, m, digits = rng.integers(0, 40), rng.integers(1, 30), [None, 6, 1, 0][i % 4]
+        times = [lambda k: rng.integers(0, 20, k) * 1.0, lambda k: rng.random(k) * 10, lambda k: rng.integers(0, 99, k) / 10.0 + rng.integers(-1, 2, k) * 1e-12][i % 3]
+        s, a = times(n), times(m)
+        e, b, rank = s + times(n) - (i % 5 == 0), a + times(m) * rng.random(), rng.permutation(n) * 1.0
+        shared = np.where(e > s, np.minimum(b[:, None], e) - np.maximum(a[:, None], s), 0.0)
+        told = np.where(shared > 0, shared if digits is None else np.floor(shared * 10.0**digits + 0.5), 0.0)
+        most = told.max(axis=1, initial=0.0)
+        first = np.where((told == most[:, None]) & (told > 0), rank, np.inf).min(axis=1, initial=np.inf)
+        got = align.largest_overlaps(a, b, s, e, rank, digits)
+        assert np.array_equal(got[0], most) and np.array_equal(got[1], first)
+
+
+def test_largest_overlap_forms_no_pairs(spark, against_sql, tmp_path):
+    """Different times, so that no spans are equal: a join on buckets would make pairs."""
+    rows = [(i, i * 7919 % 9000 + i / 1000.0, i % 5, "ab"[i % 3 == 0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "event_id bigint, t double, user_id bigint, event_type string")
+    ts = F.expr("timestamp_micros(1704067200000000 + CAST(round(t * 1000000) AS BIGINT))").cast("timestamp_ntz")
+    against_sql("max_overlap_assign", events=df.select("event_id", ts.alias("ts"), "user_id", "event_type", F.lit(1.0).alias("value")))
+    plan = all_plans.queries()["max_overlap_assign"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "_b#" in line]
+
+
+def test_items_of_no_key_or_time_stay_without_an_answer(spark):
+    spans = spark.createDataFrame([("a", 1, "x", 0.0, 3.0), (None, 2, "y", 0.0, 3.0), ("a", 0, "z", 9.0, 9.5)], "k string, turn int, who string, x double, y double")
+    rows = [("a", 1, 0.2, 0.4), ("a", 2, 0.5, 2.5), (None, 3, 0.2, 0.4), ("a", 4, None, 1.0), ("c", 5, 0.2, 0.4), ("a", 6, 0.2, 0.4), ("a", 7, 2.0, 9.2), (None, 8, 0.5, 2.5)]
+    items = spark.createDataFrame(rows, "k string, i int, s double, e double")
+    got = align.max_overlap(items, spans, ["k"], ("s", "e"), ("x", "y"), "turn", "who", 1.0)
+    assert got.columns == ["k", "i", "s", "e", "who"]
+    assert sorted((r["i"], r["who"]) for r in got.collect()) == [(1, "x"), (2, "x"), (3, None), (4, None), (5, None), (6, "x"), (7, "x"), (8, None)]
