@@ -123,7 +123,7 @@ def test_thousandths_round_halves_away_from_zero(spark):
     assert got[:-2] == [exact(v) for v in values[:-2]] and math.isnan(got[-2]) and got[-1] is None
 
 
-@pytest.mark.parametrize("name", ["clip_words", "point_in_interval_list"])
+@pytest.mark.parametrize("name", ["clip_words", "point_in_interval_list", "overlap_pairs"])
 def test_pairs_are_listed_after_one_shuffle_of_each_side_and_rounded_plainly(spark, crowded_events, tmp_path, name):
     """However small a side is, it is not broadcast: the tasks of the other side's few files would make all pairs."""
     crowded_events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
@@ -164,3 +164,22 @@ def test_items_of_no_key_or_time_stay_without_an_answer(spark):
     got = align.max_overlap(items, spans, ["k"], ("s", "e"), ("x", "y"), "turn", "who", 1.0)
     assert got.columns == ["k", "i", "s", "e", "who"]
     assert sorted((r["i"], r["who"]) for r in got.collect()) == [(1, "x"), (2, "x"), (3, None), (4, None), (5, None), (6, "x"), (7, "x"), (8, None)]
+
+
+def test_overlaps_round_as_sql_rounds_them(spark, against_sql):
+    """Overlaps a hair below a half of a thousandth, which scaling in doubles brings to the half."""
+    micros = [36324601236, 36509932736, 220558920501, 220621752001, 112022793447, 111687336947]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(micros)], "event_id bigint, t bigint").withColumn("ts", F.expr("timestamp_micros(1704067200000000 + t)").cast("timestamp_ntz"))
+    against_sql("overlap_pairs", events=df.select("event_id", "ts", F.lit(1).cast("long").alias("user_id"), F.lit("a").alias("event_type"), F.lit(1.0).alias("value")))
+
+
+def test_pairs_within_a_table_are_those_of_its_join_with_itself(spark):
+    rng = random.Random(5)
+    rows = [("ab"[i % 2] if i % 9 else None, None if i % 11 == 10 else i, t, None if i % 13 == 12 else t + rng.choice([-1.0, 0.0, 1.0, 2.5, 7.0])) for i in range(60) for t in [float(rng.randrange(12))]]
+    df = spark.createDataFrame(rows, "k string, i int, s double, e double")
+    sides = [df.select("k", *[F.col(c).alias(f"{x}_{c}") for c in "ise"]) for x in "ab"]
+    for share in (0.0, 0.5):
+        joined = align.overlap_pairs(*sides, ["k"], ("a_s", "a_e"), ("b_s", "b_e"), 2.0, share).filter("a_i < b_i").select("k", "a_i", "b_i", "overlap")
+        crowded = align.overlap_pairs(*sides, ["k"], ("a_s", "a_e"), ("b_s", "b_e"), 2.0, share, crowded=True).filter("a_i < b_i").select("k", "a_i", "b_i", "overlap")
+        got = sorted(map(tuple, align.pairs_within(df, ["k"], ("s", "e"), "i", 2.0, share).collect()))
+        assert got and got == sorted(map(tuple, joined.collect())) == sorted(map(tuple, crowded.collect()))
